@@ -132,7 +132,7 @@ def call_summary(df: DataFrame, *, pii_mask: bool = True) -> Column:
     if pii_mask:
         cust = tx.mask_name(cust)
     base = F.concat_ws("", F.lit("Call "), F.coalesce(F.col("call_id"), F.lit("None")), F.lit(" • "),
-                       F.coalesce(F.date_format("start_time", "yyyy-MM-dd HH:mm:ssXXX"), F.lit("NaT")),
+                       F.coalesce(F.date_format("start_time", "yyyy-MM-dd HH:mm:ssxxx"), F.lit("NaT")),
                        F.lit(" • "),
                        F.coalesce(F.col("Connected"), F.lit("None")), F.lit("/"),
                        F.coalesce(F.col("Type"), F.lit("None")), F.lit("/"),
