@@ -210,3 +210,21 @@ def batch_report(included: DataFrame, excluded: DataFrame) -> DataFrame:
                  F.count_if(inc & (F.col("Connected") == "Connected")).alias("connected"),
                  F.count_if(inc & (F.col("Connected") == "Disconnected")).alias("disconnected"),
                  F.count_if(F.col("_ex")).alias("excluded"))
+
+
+def scope_tallies(scope: DataFrame, key: str = "question_id", top: int = 3) -> DataFrame:
+    """Per key and dimension (type / outcome): top labels as 'Label (n), ...' ordered by
+    count desc then label, plus the scope size. Tallies are partial-aggregated counts; the
+    top-n per group is a WindowGroupLimit over at most #labels rows per group."""
+    from pyspark.sql.window import Window
+    t = (scope.groupBy(key, F.col("Type").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+              .withColumn("dim", F.lit("type"))
+              .unionByName(scope.groupBy(key, F.col("Outcome").alias("label")).agg(F.count(F.lit(1)).alias("n"))
+                           .withColumn("dim", F.lit("outcome"))))
+    w = Window.partitionBy(key, "dim").orderBy(F.col("n").desc(), F.col("label"))
+    ranked = t.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= int(top))
+    top3 = ranked.groupBy(key, "dim").agg(F.array_sort(F.collect_list(F.struct("r", "label", "n"))).alias("s"))
+    sizes = scope.groupBy(key).agg(F.count(F.lit(1)).alias("scope_n"))
+    text = F.array_join(F.transform("s", lambda x: F.concat(x["label"], F.lit(" ("), x["n"].cast("string"),
+                                                            F.lit(")"))), ", ")
+    return top3.join(sizes, key).select(key, "dim", text.alias("top3"), "scope_n")
