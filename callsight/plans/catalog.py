@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import q_calls, q_filters, q_questions, q_segments, q_storage, q_vectors  # noqa: F401
+from . import q_calls, q_filters, q_io, q_questions, q_segments, q_storage, q_vectors  # noqa: F401
 from .registry import REGISTRY, Query
 
 
