@@ -53,9 +53,10 @@ def csv_glob_rejects(spark, sf):
     root = _scratch(spark, "csvglob")
     from ..operators.normalize import ensure_columns
     io.write_csv(ensure_columns(fx.calls(spark, sf)).coalesce(1), f"{root}/good")   # canonical layout
+    # a second upload whose rows open a quote that never closes (written unquoted, .csv name)
     bad = fx.table(spark, sf, "documents").select(
-        F.concat(F.lit('"'), F.col("doc_id").cast("string"), F.lit(',"unterminated')).alias("value"))
-    bad.coalesce(1).write.mode("overwrite").text(f"{root}/bad")
+        F.concat(F.lit('"'), F.col("doc_id").cast("string"), F.lit(" unterminated")).alias("call_id"))
+    bad.coalesce(1).write.mode("overwrite").option("quote", "\u0000").option("header", "true").csv(f"{root}/bad")
     calls, rejects = io.read_calls_csv_glob(spark, f"{root}/*/*.csv")
     _, _ = io.read_calls_csv_glob(spark, f"{root}/*/*.csv", skip_unreadable=True)
     return calls.select("call_id", F.lit("included").alias("reason")).unionByName(rejects)
