@@ -271,7 +271,9 @@ def rule_hits(df: DataFrame, rules: RuleSet, text_col: str = "transcript",
     The rule set is compiled into a per-row array of structs and exploded — no
     join, so the work stays a narrow map over the calls.
     """
-    lc = F.lower(tx.safe_text(text_col))
+    # lower-case once; every phrase test below reads the materialized column
+    base = df.select(F.col(id_col), F.lower(tx.safe_text(text_col)).alias("_lc"))
+    lc = F.col("_lc")
     items = []
     for label, phrases in rules.types:
         for kw in _nonblank(phrases):
@@ -284,7 +286,7 @@ def rule_hits(df: DataFrame, rules: RuleSet, text_col: str = "transcript",
                                 F.struct(F.lit("outcome").alias("kind"), F.lit(label).alias("label"),
                                          F.lit(ph).alias("phrase"))))
     hits = F.array_compact(F.array(*items))
-    return (df.select(F.col(id_col), F.explode(hits).alias("h"))
+    return (base.select(F.col(id_col), F.explode(hits).alias("h"))
               .select(id_col, "h.kind", "h.label", "h.phrase"))
 
 
