@@ -77,15 +77,27 @@ def hash_sparse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def hash_embed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                dim: int = vx.HASH_DIM) -> DataFrame:
     """V1: docs + sparse L2-normalized hash vector ``vec_idx array<int>``, ``vec_val array<double>``
-    (sorted by index; empty arrays for a text without tokens)."""
-    sp = hash_sparse(docs, id_col, text_col, dim)
-    # at most ``dim`` entries per document: a bounded per-group collect
-    per_doc = (sp.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("bucket", "weight"))).alias("e"))
-                 .select(id_col, F.transform("e", lambda x: x["bucket"]).alias("vec_idx"),
-                         F.transform("e", lambda x: x["weight"]).alias("vec_val")))
-    out = docs.join(per_doc, id_col, "left")
-    return (out.withColumn("vec_idx", F.coalesce("vec_idx", F.array().cast("array<int>")))
-               .withColumn("vec_val", F.coalesce("vec_val", F.array().cast("array<double>"))))
+    (sorted by index; empty arrays for a text without tokens).
+
+    One pass over ``docs``: the other columns ride on each document's first token row
+    (``posexplode_outer`` keeps token-less documents), so the input is never joined back
+    and its lineage (labels, joins) is evaluated once. Shuffles: (doc, bucket) after a
+    map-side partial count, then per doc over at most ``dim`` rows."""
+    carry = [c for c in docs.columns if c != id_col]
+    head = (F.col("_pos").isNull()) | (F.col("_pos") == 0)
+    e = docs.select(F.col(id_col), F.posexplode_outer(vx.hash_tokens(F.col(text_col))).alias("_pos", "_tok"),
+                    *[F.when(head, F.col(c)).alias(c) for c in carry])
+    bucket = F.when(F.col("_tok").isNull(), F.lit(-1)).otherwise(vx.hash_bucket(F.col("_tok"), dim))
+    counts = (e.groupBy(F.col(id_col), bucket.alias("bucket"))
+               .agg(F.count("_tok").cast("double").alias("n"), *[F.first(c, ignorenulls=True).alias(c) for c in carry]))
+    entry = F.when(F.col("bucket") >= 0, F.struct("bucket", "n"))
+    per_doc = counts.groupBy(id_col).agg(
+        F.array_sort(F.collect_list(entry)).alias("_e"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("_norm"),
+        *[F.first(c, ignorenulls=True).alias(c) for c in carry])
+    return per_doc.select(
+        F.col(id_col), *carry,
+        F.transform("_e", lambda x: x["bucket"]).alias("vec_idx"),
+        F.transform("_e", lambda x: x["n"] / F.col("_norm")).alias("vec_val"))
 
 
 def to_dense(idx: str = "vec_idx", val: str = "vec_val", dim: int = vx.HASH_DIM):
