@@ -49,7 +49,7 @@ def sq_l2(a, b) -> Column:
 
 def sparse_dot(idx, val, dense) -> Column:
     """Dot product of a sparse vector (indices, values) with a dense array: O(nnz)."""
-    return F.aggregate(F.zip_with(_col(idx), _col(val), lambda i, v: v * F.element_at(_col(dense), i + 1)),
+    return F.aggregate(F.zip_with(_col(idx), _col(val), lambda i, v: v * F.try_element_at(_col(dense), i + 1)),
                        F.lit(0.0), lambda acc, x: acc + x)
 
 

@@ -271,7 +271,7 @@ def question_dates(spark, sf):
 SELECT question_id, type_label FROM parsed""")
 def question_types(spark, sf):
     p = parsed(spark, sf)
-    return p.select("question_id", F.element_at(F.col("type_any"), 1).alias("type_label"))
+    return p.select("question_id", F.try_element_at(F.col("type_any"), F.lit(1)).alias("type_label"))
 
 
 @register("question_outcomes", covers="Q6 Q7 U4 D30", oracle=PARSED_SQL + """

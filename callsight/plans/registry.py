@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 from typing import Callable, Optional
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..session import prepare
+
 
 @dataclass(frozen=True)
 class Query:
@@ -23,6 +26,11 @@ def register(name: str, oracle: Optional[str] = None, covers: str = ""):
     def deco(fn):
         if name in REGISTRY:
             raise ValueError(f"duplicate query {name}")
-        REGISTRY[name] = Query(name, fn, oracle, covers)
+
+        @functools.wraps(fn)
+        def build(spark: SparkSession, sf_dir: str) -> DataFrame:
+            prepare(spark)                       # UTC session time zone for every query
+            return fn(spark, sf_dir)
+        REGISTRY[name] = Query(name, build, oracle, covers)
         return fn
     return deco

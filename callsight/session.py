@@ -32,7 +32,7 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
         .config("spark.driver.memory", os.environ.get("CALLSIGHT_DRIVER_MEMORY", "16g"))
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
-        .config("spark.sql.ansi.enabled", "false")
+        .config("spark.sql.ansi.enabled", os.environ.get("CALLSIGHT_ANSI", "false"))
     )
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
