@@ -174,8 +174,10 @@ def outcome_expr(tail_lc: Column, rules: RuleSet) -> Column:
 
 def with_text_features(df: DataFrame, rules: RuleSet, text_col: str = "transcript") -> DataFrame:
     """Shared sub-expressions: lower-cased text, tokens, lower-cased tail."""
-    return (df.withColumn("_lc", F.lower(tx.safe_text(text_col)))
-              .withColumn("_tok", tx.tokens(text_col))
+    out = df.withColumn("_lc", F.lower(tx.safe_text(text_col)))
+    if "_tok" not in df.columns:                      # reuse the gate's tokens when present
+        out = out.withColumn("_tok", tx.tokens(text_col))
+    return (out
               .withColumn("_tail", F.lower(F.array_join(
                   tx.tail_tokens("_tok", rules.outcome_window_frac), " "))))
 
@@ -198,7 +200,7 @@ def apply_labels(df: DataFrame, rules: RuleSet = DEFAULT_RULES, *,
     labels = F.struct(connected_expr(dur, F.col("_lc"), F.size("_tok"), rules).alias("Connected"),
                       type_from_scores(scores, rules).alias("Type"),
                       outcome_expr(F.col("_tail"), rules).alias("Outcome"))
-    keep = [c for c in df.columns if c not in ("Connected", "Type", "Outcome")]
+    keep = [c for c in df.columns if c not in ("Connected", "Type", "Outcome", "_tok")]
     # The labels come out of a one-row ``inline`` generator: a later filter on Type or
     # Outcome cannot be pushed below a generator's output, so the optimizer never
     # re-inlines the phrase searches into that filter (which would evaluate them twice
@@ -224,7 +226,7 @@ def relabel(df: DataFrame, rules: RuleSet = DEFAULT_RULES, *,
             base = base.withColumn(c, F.lit(None).cast("string"))
     base = base.withColumnRenamed("Type", "_user_type").withColumnRenamed("Outcome", "_user_outcome")
     lab = apply_labels(base, rules, duration_cutoff_override=duration_cutoff_override)
-    cols = [c for c in df.columns] + [c for c in ("Connected", "Type", "Outcome") if c not in df.columns]
+    cols = [c for c in df.columns if c != "_tok"] + [c for c in ("Connected", "Type", "Outcome") if c not in df.columns]
     return (lab.withColumn("Type", prefer_existing("_user_type", "Type"))
                .withColumn("Outcome", prefer_existing("_user_outcome", "Outcome"))
                .select(*cols))

@@ -27,13 +27,13 @@ def fmt_ts(c) -> Column:
     return F.date_format(c, "yyyy-MM-dd HH:mm:ss")
 
 
-def gated(spark: SparkSession, sf: str):
-    return flt.gate(fx.calls_with_raw_labels(spark, sf))
+def gated(spark: SparkSession, sf: str, keep_tokens: bool = False):
+    return flt.gate(fx.calls_with_raw_labels(spark, sf), keep_tokens=keep_tokens)
 
 
 def labeled(spark: SparkSession, sf: str) -> DataFrame:
     """Gate -> rules (test profile). Raw user labels are replaced by rule labels."""
-    inc, _ = gated(spark, sf)
+    inc, _ = gated(spark, sf, keep_tokens=True)
     return lab.apply_labels(inc, LABEL_RULES)
 
 
