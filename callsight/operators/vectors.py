@@ -16,6 +16,8 @@ from __future__ import annotations
 
 from typing import Mapping, Sequence
 
+import numpy as np
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -134,12 +136,73 @@ def _pair_distance(cols: list[str], metric: str):
 
 def _score(docs: DataFrame, queries: DataFrame, k: int, metric: str,
            rank_digits: int | None) -> DataFrame:
-    q = queries.select("query_id", "qvec", vx.sq_norm(F.col("qvec")).alias("_qsq"))
-    pairs = docs.join(F.broadcast(q), how="inner")               # bounded, checked query batch
-    scored = pairs.select("query_id", "doc_id", _pair_distance(docs.columns, metric).alias("distance"))
+    """Score every document against one checked query batch; exact top-k per query.
+
+    The dot products are BLAS work: each task turns its documents into a dense block
+    (one Arrow batch at a time) and multiplies it with the broadcast query matrix, then
+    keeps its own top-k per query (ties -> doc_id). Only those partial winners are
+    shuffled; ``row_number() <= k`` picks the global top-k from them."""
+    spark = docs.sparkSession
+    rows = queries.select("query_id", "qvec").collect()          # <= BROADCAST_QUERY_LIMIT rows
+    if not rows:
+        return spark.createDataFrame([], "query_id string, doc_id string, distance double, rank int")
+    qids = [str(r.query_id) for r in rows]
+    qmat = np.asarray([list(r.qvec) for r in rows], dtype=np.float64)
+    shared = spark.sparkContext.broadcast((qids, qmat))
+    sparse = "vec_idx" in docs.columns
+    metric = metric.lower()
+    kk = int(k)
+
+    def score(batches):
+        import pandas as pd
+        q_ids, q = shared.value
+        q_sq = (q * q).sum(axis=1)
+        dim = q.shape[1]
+        for pdf in batches:
+            n = len(pdf)
+            if n == 0:
+                continue
+            if sparse:
+                lens = np.fromiter((len(x) for x in pdf["vec_idx"]), dtype=np.int64, count=n)
+                block = np.zeros((n, dim), dtype=np.float64)
+                if lens.sum():
+                    rows_ = np.repeat(np.arange(n), lens)
+                    cols = np.concatenate([np.asarray(x, dtype=np.int64) for x in pdf["vec_idx"]])
+                    vals = np.concatenate([np.asarray(x, dtype=np.float64) for x in pdf["vec_val"]])
+                    block[rows_, cols] = vals
+            else:
+                block = np.stack([np.asarray(x, dtype=np.float64) for x in pdf["_dv"]])
+            dots = block @ q.T
+            d_sq = pdf["_dsq"].to_numpy(dtype=np.float64)[:, None]
+            if metric == "cosine":
+                den = np.sqrt(d_sq) * np.sqrt(q_sq)[None, :]
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    dist = 1.0 - np.where(den == 0, 0.0, dots / np.where(den == 0, 1.0, den))
+            elif metric == "l2":
+                dist = d_sq + q_sq[None, :] - 2.0 * dots
+            else:
+                dist = 1.0 - dots
+            key = np.round(dist, rank_digits) if rank_digits is not None else dist
+            ids = pdf["doc_id"].astype(str).to_numpy()
+            out_q, out_d, out_v = [], [], []
+            for j, qid in enumerate(q_ids):
+                col = key[:, j]
+                if n > kk:
+                    kth = np.partition(col, kk - 1)[kk - 1]
+                    cand = np.nonzero(col <= kth)[0]
+                else:
+                    cand = np.arange(n)
+                best = sorted(cand, key=lambda i: (col[i], ids[i]))[:kk]
+                out_q += [qid] * len(best)
+                out_d += [ids[i] for i in best]
+                out_v += [float(dist[i, j]) for i in best]
+            yield pd.DataFrame({"query_id": out_q, "doc_id": out_d, "distance": out_v})
+
+    cols = ["doc_id", "_dsq"] + (["vec_idx", "vec_val"] if sparse else ["_dv"])
+    partial = docs.select(*cols).mapInPandas(score, "query_id string, doc_id string, distance double")
     key = F.col("distance") if rank_digits is None else F.round(F.col("distance"), int(rank_digits))
     w = Window.partitionBy("query_id").orderBy(key, F.col("doc_id"))
-    return scored.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= int(k))
+    return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= kk)
 
 
 def knn(index: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine", *,
