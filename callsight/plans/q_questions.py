@@ -318,11 +318,12 @@ def ground_entities(spark, sf):
     return g.select("question_id", "kind", F.array_join("values", "|").alias("vals"))
 
 
-def agent_tokens(spark, sf):
+def agent_tokens(spark, sf, qs=None, cat=None):
     """Per question: sorted distinct (grounded agents ∪ after-words phrases), with positions."""
-    qs = questions(spark, sf)
+    qs = qs if qs is not None else questions(spark, sf)
+    cat = cat if cat is not None else catalog(spark, sf)
     p = qx.parse_questions(qs).select("question_id", "agent_words")
-    g = (qx.ground_entities(qs, catalog(spark, sf)).filter(F.col("kind") == "agent")
+    g = (qx.ground_entities(qs, cat).filter(F.col("kind") == "agent")
            .select("question_id", F.col("values").alias("ga")))
     toks = p.join(g, "question_id", "left").select(
         "question_id", F.array_sort(F.array_distinct(F.concat(F.coalesce("ga", F.array().cast("array<string>")),
@@ -349,10 +350,11 @@ res AS (
 resolved AS (SELECT question_id, list(value ORDER BY pos) AS vals FROM res GROUP BY 1)"""
 
 
-def resolved_agents(spark, sf):
-    toks = agent_tokens(spark, sf)
+def resolved_agents(spark, sf, toks=None, cat=None):
+    toks = toks if toks is not None else agent_tokens(spark, sf)
+    cat = cat if cat is not None else catalog(spark, sf)
     tk = toks.select("question_id", F.posexplode("tokens").alias("pos", "token"))
-    return qx.resolve_entities(tk, catalog(spark, sf).filter(F.col("kind") == "agent"))
+    return qx.resolve_entities(tk, cat.filter(F.col("kind") == "agent"))
 
 
 @register("resolve_entities", covers="J4", oracle=PARSED_SQL + CATALOG_SQL + TOKENS_SQL + """
@@ -365,13 +367,20 @@ def resolve_entities(spark, sf):
 
 
 def specs(spark, sf):
-    """One spec row per question (null / empty = no constraint on that key)."""
-    qs = questions(spark, sf)
+    """One spec row per question (null / empty = no constraint on that key).
+
+    The question table and the entity catalog are small derived tables used by several
+    branches (parsing, grounding, resolution); each is materialized once in the shared
+    checkpoint folder instead of being recomputed per branch."""
+    from ..session import checkpoint_dir
+    checkpoint_dir(spark)
+    qs = questions(spark, sf).checkpoint(eager=True)
+    cat = catalog(spark, sf).checkpoint(eager=True)
     p = qx.parse_questions(qs)
-    g = qx.ground_entities(qs, catalog(spark, sf))
+    g = qx.ground_entities(qs, cat)
     gw = (g.groupBy("question_id").pivot("kind", ["agent", "campaign", "product"]).agg(F.first("values")))
-    toks = agent_tokens(spark, sf)
-    res = resolved_agents(spark, sf)
+    toks = agent_tokens(spark, sf, qs, cat)
+    res = resolved_agents(spark, sf, toks, cat)
     empty = F.array().cast("array<string>")
     out = (p.join(gw, "question_id", "left").join(toks, "question_id", "left").join(res, "question_id", "left"))
     agents = F.when(F.size(F.coalesce("resolved", empty)) > 0, F.col("resolved")).otherwise(
