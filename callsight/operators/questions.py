@@ -393,3 +393,22 @@ def resolve_entities(tokens: DataFrame, catalog: DataFrame, id_col: str = "quest
     per_q = best.groupBy("_qid").agg(F.array_sort(F.collect_list(F.struct("pos", "value"))).alias("_s"))
     return per_q.select(F.col("_qid").alias(id_col),
                         F.array_distinct(F.transform("_s", lambda x: x["value"])).alias("resolved"))
+
+
+# ----------------------------------------------------------------- F10
+DEFAULT_ALLOWED_KEYS = ("date_from", "date_to", "type_any", "outcome_any", "agents", "campaigns",
+                        "products", "min_amount", "max_amount")
+
+
+def restrict_specs(specs: DataFrame, allowed: Sequence[str] = DEFAULT_ALLOWED_KEYS) -> DataFrame:
+    """keep only whitelisted spec keys (dates always survive); a removed list key becomes an
+    empty list and a removed bound becomes null, i.e. 'no constraint'."""
+    keep = set(allowed) | {"date_from", "date_to"}
+    out = specs
+    for c in ("type_any", "outcome_any", "agents", "campaigns", "products"):
+        if c in specs.columns and c not in keep:
+            out = out.withColumn(c, F.array().cast("array<string>"))
+    for c in ("min_amount", "max_amount"):
+        if c in specs.columns and c not in keep:
+            out = out.withColumn(c, F.lit(None).cast("double"))
+    return out

@@ -385,9 +385,10 @@ def specs(spark, sf):
     out = (p.join(gw, "question_id", "left").join(toks, "question_id", "left").join(res, "question_id", "left"))
     agents = F.when(F.size(F.coalesce("resolved", empty)) > 0, F.col("resolved")).otherwise(
         F.coalesce("tokens", empty))
-    return out.select("question_id", "text", "date_from", "date_to", "type_any", "outcome_any",
+    spec = out.select("question_id", "text", "date_from", "date_to", "type_any", "outcome_any",
                       agents.alias("agents"), F.coalesce("campaign", empty).alias("campaigns"),
                       F.coalesce("product", empty).alias("products"), "min_amount", "max_amount")
+    return qx.restrict_specs(spec, qx.DEFAULT_ALLOWED_KEYS)
 
 
 SPECS_SQL = PARSED_SQL + CATALOG_SQL + TOKENS_SQL + """,

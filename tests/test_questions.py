@@ -38,3 +38,14 @@ def test_grounding_and_resolution(spark):
     toks = spark.createDataFrame([("q1", 0, "ali")], "question_id string, pos int, token string")
     res = qx.resolve_entities(toks, cat.filter("kind = 'agent'")).first()
     assert res.resolved == ["Alice"]
+
+
+def test_restrict_specs(spark):
+    df = spark.createDataFrame(
+        [("q", None, None, ["Support"], ["Refund"], ["A1"], ["X"], ["p"], 1.0, 2.0)],
+        "question_id string, date_from date, date_to date, type_any array<string>, outcome_any array<string>, "
+        "agents array<string>, campaigns array<string>, products array<string>, min_amount double, "
+        "max_amount double")
+    r = qx.restrict_specs(df, ["type_any", "min_amount"]).first()
+    assert r.type_any == ["Support"] and r.outcome_any == [] and r.agents == [] and r.min_amount == 1.0
+    assert r.max_amount is None

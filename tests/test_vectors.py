@@ -20,3 +20,23 @@ def test_rank_intersect_order_and_fallback(spark):
     assert out == ["C", "A"]
     none = spark.createDataFrame([("X", 1)], "doc_id string, rank int")
     assert vec.rank_intersect(scope, none).count() == 4
+
+
+def test_pluggable_embedder(spark):
+    """V7: any DataFrame -> vector function plugs in, e.g. an Arrow-batched pandas UDF model."""
+    import pandas as pd
+    from pyspark.sql import functions as F
+    from pyspark.sql.functions import pandas_udf
+
+    @pandas_udf("array<double>")
+    def letter_counts(texts: pd.Series) -> pd.Series:
+        return texts.fillna("").map(lambda t: [float(t.count(c)) for c in "aeiou"])
+
+    def embedder(df, id_col, text_col):
+        return df.withColumn("vector", letter_counts(F.col(text_col)))
+
+    docs = spark.createDataFrame([("d1", "aaa"), ("d2", "eee"), ("d3", "aae")], "doc_id string, text string")
+    idx = vec.embed_texts(docs, "doc_id", "text", embedder=embedder)
+    q = spark.createDataFrame([("q", [1.0, 0.0, 0.0, 0.0, 0.0])], "query_id string, qvec array<double>")
+    top = vec.knn(idx, q, k=1).first()
+    assert top.doc_id == "d1"
