@@ -61,64 +61,70 @@ def durations(spark, sf):
 
 
 def event_labels(spark, sf):
-    """Window labels per user: index of the event type among the sorted distinct types."""
+    """Window labels per recording: a recording is one user's events within one hour (the
+    reference segments one audio file at a time, and files are capped at 45 minutes, so a
+    recording's windows are bounded). Label = index of the event type among the sorted
+    distinct types; i = window position inside the recording."""
     ev = fx.table(spark, sf, "events")
     types = ev.select(F.array_sort(F.collect_set("event_type"))).scalar()
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    return ev.select(F.col("user_id").cast("string").alias("user_id"),
+    rec = F.concat(F.col("user_id").cast("string"), F.lit("|"), F.date_format("ts", "yyyy-MM-dd HH"))
+    ev = ev.withColumn("recording_id", rec)
+    w = Window.partitionBy("recording_id").orderBy("ts", "event_id")
+    return ev.select(F.col("recording_id"),
                      (F.row_number().over(w) - 1).alias("i"),
                      (F.array_position(types, F.col("event_type")) - 1).cast("int").alias("label"))
 
 
-SEG_SQL = f"""lab AS (
-  SELECT CAST(user_id AS VARCHAR) AS user_id,
-         row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i,
+SEG_SQL = f"""rec AS (SELECT *, CAST(user_id AS VARCHAR) || '|' || strftime(ts, '%Y-%m-%d %H') AS rec_id FROM events),
+lab AS (
+  SELECT rec_id AS recording_id,
+         row_number() OVER (PARTITION BY rec_id ORDER BY ts, event_id) - 1 AS i,
          list_position((SELECT list_sort(list(DISTINCT event_type)) FROM events), event_type) - 1 AS label
-  FROM events),
-flag AS (SELECT *, CASE WHEN lag(label) OVER (PARTITION BY user_id ORDER BY i) IS NULL
-                          OR lag(label) OVER (PARTITION BY user_id ORDER BY i) <> label THEN 1 ELSE 0 END AS nw
+  FROM rec),
+flag AS (SELECT *, CASE WHEN lag(label) OVER (PARTITION BY recording_id ORDER BY i) IS NULL
+                          OR lag(label) OVER (PARTITION BY recording_id ORDER BY i) <> label THEN 1 ELSE 0 END AS nw
          FROM lab),
-isl AS (SELECT *, sum(nw) OVER (PARTITION BY user_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seg
+isl AS (SELECT *, sum(nw) OVER (PARTITION BY recording_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seg
         FROM flag),
-runs AS (SELECT user_id, seg, min(i) AS f, max(i) AS l, min(label) AS label FROM isl GROUP BY 1, 2),
+runs AS (SELECT recording_id, seg, min(i) AS f, max(i) AS l, min(label) AS label FROM isl GROUP BY 1, 2),
 segs AS (
-  SELECT user_id, seg, f * {sg.HOP_S} AS start,
-         CASE WHEN lead(f) OVER (PARTITION BY user_id ORDER BY seg) IS NULL THEN l * {sg.HOP_S} + {sg.WINDOW_S}
-              ELSE greatest(f * {sg.HOP_S} + {sg.HOP_S}, lead(f) OVER (PARTITION BY user_id ORDER BY seg) * {sg.HOP_S} + {sg.WINDOW_S}) END AS "end",
+  SELECT recording_id, seg, f * {sg.HOP_S} AS start,
+         CASE WHEN lead(f) OVER (PARTITION BY recording_id ORDER BY seg) IS NULL THEN l * {sg.HOP_S} + {sg.WINDOW_S}
+              ELSE greatest(f * {sg.HOP_S} + {sg.HOP_S}, lead(f) OVER (PARTITION BY recording_id ORDER BY seg) * {sg.HOP_S} + {sg.WINDOW_S}) END AS "end",
          chr(CAST(65 + label % 26 AS INTEGER)) AS speaker
   FROM runs)"""
 
 
 def _window_segments(spark, sf):
-    return sg.window_segments(event_labels(spark, sf), "user_id", "i", "label")
+    return sg.window_segments(event_labels(spark, sf), "recording_id", "i", "label")
 
 
 @register("window_segments", covers="W3", oracle="WITH " + SEG_SQL + """
-SELECT user_id, seg, round(start, 6) AS start, round("end", 6) AS "end", speaker FROM segs""")
+SELECT recording_id, seg, round(start, 6) AS start, round("end", 6) AS "end", speaker FROM segs""")
 def window_segments(spark, sf):
     s = _window_segments(spark, sf)
-    return s.select("user_id", "seg", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"),
+    return s.select("recording_id", "seg", F.round("start", 6).alias("start"), F.round("end", 6).alias("end"),
                     "speaker")
 
 
 @register("clean_segments", covers="W4", oracle="WITH " + SEG_SQL + f""",
-s1 AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seg) = 1 AS fst,
+s1 AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY seg) = 1 AS fst,
               ("end" - start) < {sg.MIN_SEGMENT_S} AS tiny FROM segs),
 s2 AS (SELECT *, last(CASE WHEN fst OR NOT tiny THEN speaker END IGNORE NULLS) OVER (
-                   PARTITION BY user_id ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_anchor
+                   PARTITION BY recording_id ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_anchor
        FROM s1),
 s3 AS (SELECT *, sum(CASE WHEN fst OR (NOT tiny AND speaker <> prev_anchor) THEN 1 ELSE 0 END) OVER (
-                   PARTITION BY user_id ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m
+                   PARTITION BY recording_id ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m
        FROM s2),
-merged AS (SELECT user_id, m, arg_min(start, seg) AS start, max("end") AS "end", arg_min(speaker, seg) AS speaker
+merged AS (SELECT recording_id, m, arg_min(start, seg) AS start, max("end") AS "end", arg_min(speaker, seg) AS speaker
            FROM s3 GROUP BY 1, 2),
-cl AS (SELECT user_id, m, greatest(coalesce(max("end") OVER (PARTITION BY user_id ORDER BY m
+cl AS (SELECT recording_id, m, greatest(coalesce(max("end") OVER (PARTITION BY recording_id ORDER BY m
                                     ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), start) AS st,
               "end" AS en0, speaker FROM merged)
-SELECT user_id, m AS seg, round(st, 2) AS start, round(greatest(st, en0), 2) AS "end", speaker
+SELECT recording_id, m AS seg, round(st, 2) AS start, round(greatest(st, en0), 2) AS "end", speaker
 FROM cl WHERE greatest(st, en0) - st > {sg.MIN_KEEP_S}""")
 def clean_segments(spark, sf):
-    return sg.clean_segments(_window_segments(spark, sf), "user_id", "seg")
+    return sg.clean_segments(_window_segments(spark, sf), "recording_id", "seg")
 
 
 @register("batch_pipeline", covers="R3 S14 U1 A15", oracle=LABELED_SQL.rstrip() + ",\n" + ASSEMBLED_SQL + ",\n"
