@@ -79,14 +79,27 @@ def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return calls_with_raw_labels(spark, sf_dir).drop("Connected", "Type", "Outcome")
 
 
+# --- fixed values: how the two upload batches are cut (by order priority) ---
+BATCH1_EXCLUDES = ("5-LOW",)
+BATCH2_PRIORITIES = ("1-URGENT", "2-HIGH", "5-LOW")
+# --- end fixed values ---
+
+
+def order_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(order_id, priority) — the attribute that cuts the two upload batches."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").cast("string").alias("order_id"),
+                                                  F.col("o_orderpriority").alias("priority"))
+
+
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two upload batches: batch 1 = calls with id % 3 <> 0; batch 2 = even ids, amount + 1."""
-    base = calls_with_raw_labels(spark, sf_dir)
-    idn = F.col("call_id").cast("bigint")
-    b1 = base.filter(idn % 3 != 0).withColumn("batch", F.lit(1))
-    b2 = (base.filter(idn % 2 == 0).withColumn("amount", F.col("amount") + 1)
+    """Two overlapping upload batches over the whole calls table: batch 1 = every call whose
+    order is not low priority; batch 2 = urgent, high and low priority calls re-uploaded with
+    amount + 1 (so urgent/high calls are updated and low ones are new)."""
+    base = calls_with_raw_labels(spark, sf_dir).join(order_priority(spark, sf_dir), "order_id")
+    b1 = base.filter(~F.col("priority").isin(*BATCH1_EXCLUDES)).withColumn("batch", F.lit(1))
+    b2 = (base.filter(F.col("priority").isin(*BATCH2_PRIORITIES)).withColumn("amount", F.col("amount") + 1)
               .withColumn("batch", F.lit(2)))
-    return b1.unionByName(b2)
+    return b1.unionByName(b2).drop("priority")
 
 
 def messages(spark: SparkSession, sf_dir: str) -> DataFrame:

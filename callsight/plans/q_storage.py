@@ -13,10 +13,14 @@ from .oracle_sql import CALLS_RAW_CTE, fmt_ts as sfmt, label_ctes, r6 as sr6, to
 from .registry import register
 
 WITH_RAW = "WITH " + CALLS_RAW_CTE + ",\n"
-BATCHES_SQL = WITH_RAW + """batches AS (
-  SELECT *, 1 AS batch FROM calls_raw WHERE CAST(call_id AS BIGINT) % 3 <> 0
+BATCHES_SQL = WITH_RAW + """prio AS (SELECT CAST(o_orderkey AS VARCHAR) AS order_id, o_orderpriority AS priority FROM orders),
+batches AS (
+  SELECT c.*, 1 AS batch FROM calls_raw c JOIN prio p ON p.order_id = c.order_id
+  WHERE p.priority <> '5-LOW'
   UNION ALL
-  SELECT * REPLACE (amount + 1 AS amount), 2 AS batch FROM calls_raw WHERE CAST(call_id AS BIGINT) % 2 = 0)
+  SELECT * REPLACE (amount + 1 AS amount), 2 AS batch FROM (
+    SELECT c.* FROM calls_raw c JOIN prio p ON p.order_id = c.order_id
+    WHERE p.priority IN ('1-URGENT', '2-HIGH', '5-LOW')))
 """
 
 

@@ -182,16 +182,19 @@ def knn_text(spark, sf):
 
 # ------------------------------------------------------------------ upsert / delete
 UPSERT_SQL = DOCS_SQL.rstrip() + """,
-existing AS (SELECT doc_id, text FROM docs_ne WHERE CAST(doc_id AS BIGINT) % 3 <> 0),
-incoming AS (SELECT doc_id, text || ' v2' AS text FROM docs_ne WHERE CAST(doc_id AS BIGINT) % 2 = 0)
+prio AS (SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, o_orderpriority AS priority FROM orders),
+existing AS (SELECT d.doc_id, d.text FROM docs_ne d JOIN prio p ON p.doc_id = d.doc_id WHERE p.priority <> '5-LOW'),
+incoming AS (SELECT d.doc_id, d.text || ' v2' AS text FROM docs_ne d JOIN prio p ON p.doc_id = d.doc_id
+             WHERE p.priority IN ('1-URGENT', '2-HIGH', '5-LOW'))
 """
 
 
 def _upsert_frames(spark, sf):
     docs = vec.prepare_docs(labeled(spark, sf), DOC_FIELDS).select("doc_id", "text")
-    idn = F.col("doc_id").cast("bigint")
-    existing = docs.filter(idn % 3 != 0)
-    incoming = docs.filter(idn % 2 == 0).withColumn("text", F.concat(F.col("text"), F.lit(" v2")))
+    docs = docs.join(fx.order_priority(spark, sf).withColumnRenamed("order_id", "doc_id"), "doc_id")
+    existing = docs.filter(~F.col("priority").isin(*fx.BATCH1_EXCLUDES)).select("doc_id", "text")
+    incoming = (docs.filter(F.col("priority").isin(*fx.BATCH2_PRIORITIES))
+                    .select("doc_id", F.concat(F.col("text"), F.lit(" v2")).alias("text")))
     return existing, incoming
 
 
