@@ -267,6 +267,18 @@ def rerank_scope(scope: DataFrame, index: DataFrame, query_vec: DataFrame, metri
     return s.withColumn("distance", dist).drop(*[c for c in docs.columns], "qvec", "_qsq")
 
 
+def rerank_indexed(index: DataFrame, query_vec: DataFrame, scope=None, metric: str = "cosine",
+                   vec_col: str = "vector") -> DataFrame:
+    """J2 for a scope that lives inside the index: the index rows passing ``scope`` (a Column
+    predicate, e.g. on ``metadata``) with their distance to one query vector. No join: one
+    pass over the index, so the documents' upstream work is done once."""
+    rows = index if scope is None else index.filter(scope)
+    parts = _doc_side(rows, vec_col, "doc_id")
+    q = query_vec.select("qvec", vx.sq_norm(F.col("qvec")).alias("_qsq")).limit(1)   # one query row
+    s = parts.join(F.broadcast(q), how="inner")
+    return s.select("doc_id", _pair_distance(parts.columns, metric).alias("distance"))
+
+
 def topk_display(ranked_scope: DataFrame, k: int, id_col: str = "call_id") -> DataFrame:
     """O3: first ``max(1,k)`` rows by (distance, id) plus the full scope count."""
     k = max(1, int(k))

@@ -241,16 +241,17 @@ sdist AS (SELECT s.call_id, CASE WHEN s.call_id IN (SELECT doc_id FROM docs_ne)
 @register("rerank_scope", covers="J2 D31", oracle=_scope_dist_sql() + """
 SELECT call_id, round(distance, 6) AS distance FROM sdist""")
 def rerank_scope(spark, sf):
-    out = vec.rerank_scope(_scope(spark, sf), index(spark, sf), _question_vec(spark))
-    return out.select("call_id", r6("distance").alias("distance"))
+    # every gated call has text, so the Support scope is a subset of the index
+    out = vec.rerank_indexed(index(spark, sf), _question_vec(spark), F.col("metadata")["type"] == "Support")
+    return out.select(F.col("doc_id").alias("call_id"), r6("distance").alias("distance"))
 
 
 @register("topk_display", covers="O3", oracle=_scope_dist_sql() + """
 SELECT call_id, round(distance, 6) AS distance, (SELECT count(*) FROM sdist) AS scope_count
 FROM sdist ORDER BY round(distance, 9) NULLS LAST, call_id LIMIT 10""")
 def topk_display(spark, sf):
-    ranked = vec.rerank_scope(_scope(spark, sf), index(spark, sf), _question_vec(spark))
-    ranked = ranked.withColumn("distance", F.round("distance", 9))
+    ranked = vec.rerank_indexed(index(spark, sf), _question_vec(spark), F.col("metadata")["type"] == "Support")
+    ranked = ranked.select(F.col("doc_id").alias("call_id"), F.round("distance", 9).alias("distance"))
     out = vec.topk_display(ranked, 10)
     return out.select("call_id", r6("distance").alias("distance"), "scope_count")
 

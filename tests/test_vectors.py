@@ -40,3 +40,16 @@ def test_pluggable_embedder(spark):
     q = spark.createDataFrame([("q", [1.0, 0.0, 0.0, 0.0, 0.0])], "query_id string, qvec array<double>")
     top = vec.knn(idx, q, k=1).first()
     assert top.doc_id == "d1"
+
+
+def test_rerank_scope_and_indexed_agree(spark):
+    from pyspark.sql import functions as F
+    docs = spark.createDataFrame([("a", "red apple pie", "x"), ("b", "green pear", "y"), ("c", "apple tart", "x")],
+                                 "doc_id string, text string, kind string")
+    idx = vec.hash_embed(docs.withColumn("metadata", F.create_map(F.lit("kind"), F.col("kind"))), "doc_id", "text")
+    q = vec.question_vectors(spark.createDataFrame([("q", "apple")], "question_id string, text string"))
+    scope = spark.createDataFrame([("a",), ("c",)], "call_id string")
+    j = {r.call_id: round(r.distance, 9) for r in vec.rerank_scope(scope, idx, q).collect()}
+    i = {r.doc_id: round(r.distance, 9)
+         for r in vec.rerank_indexed(idx, q, F.col("metadata")["kind"] == "x").collect()}
+    assert j == i and set(j) == {"a", "c"}
