@@ -318,13 +318,13 @@ def ground_entities(spark, sf):
     return g.select("question_id", "kind", F.array_join("values", "|").alias("vals"))
 
 
-def agent_tokens(spark, sf, qs=None, cat=None):
+def agent_tokens(spark, sf, qs=None, cat=None, parsed_q=None, grounded=None):
     """Per question: sorted distinct (grounded agents ∪ after-words phrases), with positions."""
     qs = qs if qs is not None else questions(spark, sf)
     cat = cat if cat is not None else catalog(spark, sf)
-    p = qx.parse_questions(qs).select("question_id", "agent_words")
-    g = (qx.ground_entities(qs, cat).filter(F.col("kind") == "agent")
-           .select("question_id", F.col("values").alias("ga")))
+    p = (parsed_q if parsed_q is not None else qx.parse_questions(qs)).select("question_id", "agent_words")
+    g = ((grounded if grounded is not None else qx.ground_entities(qs, cat)).filter(F.col("kind") == "agent")
+         .select("question_id", F.col("values").alias("ga")))
     toks = p.join(g, "question_id", "left").select(
         "question_id", F.array_sort(F.array_distinct(F.concat(F.coalesce("ga", F.array().cast("array<string>")),
                                                                F.col("agent_words")))).alias("tokens"))
@@ -379,7 +379,7 @@ def specs(spark, sf):
     p = qx.parse_questions(qs)
     g = qx.ground_entities(qs, cat)
     gw = (g.groupBy("question_id").pivot("kind", ["agent", "campaign", "product"]).agg(F.first("values")))
-    toks = agent_tokens(spark, sf, qs, cat)
+    toks = agent_tokens(spark, sf, qs, cat, p, g)
     res = resolved_agents(spark, sf, toks, cat)
     empty = F.array().cast("array<string>")
     out = (p.join(gw, "question_id", "left").join(toks, "question_id", "left").join(res, "question_id", "left"))
