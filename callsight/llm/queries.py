@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, exact, near, packing, quality
+from . import decontaminate, exact, huffman, near, packing, quality, sharding
 from .staging import table
 
 
@@ -10,6 +10,10 @@ def op2_near_dedup(spark, sf_dir):
     return near.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_token_ids(spark, sf_dir):
+    return huffman.round_trip(table(spark, sf_dir, "documents"))
+
+
 def op5_decontaminate(spark, sf_dir):
     return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -18,6 +22,10 @@ def op6_exact_dedup(spark, sf_dir):
     return exact.mark(table(spark, sf_dir, "documents"))
 
 
+def op7_sharding(spark, sf_dir):
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
@@ -41,5 +49,6 @@ SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
        row_number() OVER (PARTITION BY text_sha256 ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, text_sha256
 FROM d WINDOW g AS (PARTITION BY text_sha256)"""
 
-QUERIES = {f.__name__: f for f in (op2_near_dedup, op5_decontaminate, op6_exact_dedup, op9_packing, op10_quality, pipeline)}
+QUERIES = {f.__name__: f for f in (op2_near_dedup, op3_token_ids, op5_decontaminate, op6_exact_dedup, op7_sharding,
+                                op9_packing, op10_quality, pipeline)}
 ORACLES = {"op6_exact_dedup": OP6_SQL}
