@@ -136,10 +136,10 @@ _SYLLABLES = {
 }
 
 
-def _person(draw: _Draw, canon: str) -> str:
+def _person(draw: _Draw, canon: str, attempt: int) -> str:
     sex, part, name = canon.split("/", 2)
     consonants, vowels, female, male, ends = _SYLLABLES["cyrillic" if re.search("[а-яё]", name) else "latin"]
-    stem = "".join(consonants[draw.below(len(consonants))] + vowels[draw.below(len(vowels))] for _ in range(3))
+    stem = "".join(consonants[draw.below(len(consonants))] + vowels[draw.below(len(vowels))] for _ in range(3 + attempt // 4))
     if part == "surname":
         return stem + consonants[draw.below(len(consonants))] + ends[draw.below(len(ends))]
     return stem + consonants[draw.below(len(consonants))] + female if sex == "f" else stem + male
@@ -151,11 +151,12 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
     if kind == "email":
         local, domain = canon.split("@", 1)
         name, tld = domain.rsplit(".", 1)
-        return f"{draw.like(local)}@{_Draw(key, f'domain|{domain}').like(name)}.{tld}"
+        local = draw.like(local + "x" * (attempt // 8))  # longer where the format has too few values
+        return f"{local}@{_Draw(key, f'domain|{domain}').like(name)}.{tld}"
     if kind == "ip":
         return f"{1 + draw.below(223)}.{draw.below(256)}.{draw.below(256)}.{1 + draw.below(254)}"
     if kind == "person":
-        return "/".join([*canon.split("/", 2)[:2], _person(draw, canon)])
+        return "/".join([*canon.split("/", 2)[:2], _person(draw, canon, attempt)])
     if kind == "card":
         body = canon[0] + draw.like(canon[1:-1])
         return next(body + d for d in "0123456789" if luhn(body + d))
@@ -179,7 +180,7 @@ def written(kind: str, canon: str, original: str, value: str) -> str:
         symbols = iter(value)
         return "".join(next(symbols) if c.isalnum() else c for c in original)
     if kind == "email":
-        return "".join(v.upper() if o.isupper() else v for o, v in zip(original, value))
+        return "".join(v.upper() if o.isupper() else v for o, v in zip(original.ljust(len(value)), value))
     return value
 
 
