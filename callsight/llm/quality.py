@@ -96,6 +96,7 @@ def _statistics(column: pa.Array) -> np.ndarray:
     line_starts = line_starts[line_starts < len(raw)]
     line_at = np.searchsorted(line_starts, offsets)
     line_ends = np.concatenate([line_starts[1:], [len(raw)]])
+    line_ends = line_ends - (raw[line_ends - 1] == 0x0A)
     lines = np.maximum(np.diff(line_at), 1)
     columns = [
         np.log1p(size), np.log1p(words), mean,
