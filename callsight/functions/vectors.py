@@ -9,7 +9,6 @@ from .text import WS_CLASS
 
 # --- fixed values: hash embedder defaults ---
 HASH_DIM = 384
-HASH_SEED = 13
 # --- end fixed values ---
 
 
@@ -35,12 +34,6 @@ def l2_norm(a) -> Column:
     return F.sqrt(sq_norm(a))
 
 
-def normalize(a) -> Column:
-    """Divide by the L2 norm; a zero vector is returned unchanged."""
-    n = l2_norm(a)
-    return F.when(n == 0, _col(a)).otherwise(F.transform(_col(a), lambda x: x / n))
-
-
 def sq_l2(a, b) -> Column:
     """Squared Euclidean distance."""
     return F.aggregate(F.zip_with(_col(a), _col(b), lambda x, y: (x - y) * (x - y)), F.lit(0.0),
@@ -54,31 +47,16 @@ def sparse_dot(idx, val, dense) -> Column:
 
 
 def distance_from_parts(dotp: Column, sq_a: Column, sq_b: Column, metric: str = "cosine") -> Column:
-    """V3 from precomputed pieces: dot product and the two squared norms."""
+    """V3 cosine and inner product from the dot product and the two squared norms (L2: ``sq_l2``)."""
     metric = metric.lower()
     if metric == "cosine":
         den = F.sqrt(sq_a) * F.sqrt(sq_b)
         return F.lit(1.0) - F.when(den == 0, F.lit(0.0)).otherwise(dotp / den)
-    if metric == "l2":
-        return sq_a + sq_b - F.lit(2.0) * dotp
     if metric == "ip":
         return F.lit(1.0) - dotp
     raise ValueError(f"unknown metric {metric}")
 
 
-def distance(a, b, metric: str = "cosine") -> Column:
-    """V3: cosine = 1 - cos, l2 = squared Euclidean, ip = 1 - dot."""
-    metric = metric.lower()
-    if metric == "cosine":
-        den = l2_norm(a) * l2_norm(b)
-        return F.lit(1.0) - F.when(den == 0, F.lit(0.0)).otherwise(dot(a, b) / den)
-    if metric == "l2":
-        return sq_l2(a, b)
-    if metric == "ip":
-        return F.lit(1.0) - dot(a, b)
-    raise ValueError(f"unknown metric {metric}")
-
-
 def hash_tokens(text) -> Column:
     """V1 tokenizer: lower-case, split on (Unicode) whitespace, drop empties."""
     parts = F.split(F.lower(F.coalesce(_col(text), F.lit(""))), f"{WS_CLASS}+")

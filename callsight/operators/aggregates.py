@@ -165,33 +165,24 @@ def summary_sections(df: DataFrame, context: Mapping[str, object], *,
 
 def entity_catalog(df: DataFrame) -> DataFrame:
     """Distinct non-blank (kind, value) for agents (id/name columns), campaigns, products."""
-    parts = []
-    for kind, cols in (("agent", ("agent_id", "agent_name", "agent")),
-                       ("campaign", ("campaign",)), ("product", ("product_name",))):
-        for c in cols:
-            if c in df.columns:
-                v = tx.unicode_trim(F.col(c).cast("string"))
-                parts.append(df.select(F.lit(kind).alias("kind"), v.alias("value"))
-                               .filter(F.col("value").isNotNull() & (F.col("value") != "")))
-    if not parts:
+    sources = [(kind, c) for kind, cols in (("agent", ("agent_id", "agent_name", "agent")),
+                                            ("campaign", ("campaign",)), ("product", ("product_name",)))
+               for c in cols if c in df.columns]
+    return _distinct_values(df, [(kind, tx.unicode_trim(F.col(c).cast("string"))) for kind, c in sources])
+
+
+def _distinct_values(df: DataFrame, sources) -> DataFrame:
+    """Distinct non-empty (kind, value) of several columns, in one pass over the rows."""
+    if not sources:
         return df.sparkSession.createDataFrame([], "kind string, value string")
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct()
+    pairs = F.array(*[F.struct(F.lit(kind).alias("kind"), v.alias("value")) for kind, v in sources])
+    return df.select(F.inline(pairs)).filter(F.col("value").isNotNull() & (F.col("value") != "")).distinct()
 
 
 def filter_options(df: DataFrame) -> DataFrame:
     """Sorted distinct non-empty agents and campaigns as (kind, value)."""
-    parts = []
-    for kind, c in (("agent", "agent_id"), ("campaign", "campaign")):
-        if c in df.columns:
-            parts.append(df.select(F.lit(kind).alias("kind"), F.col(c).alias("value"))
-                           .filter(F.col("value").isNotNull() & (F.col("value") != "")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.distinct().orderBy("kind", "value")
+    sources = [(kind, F.col(c)) for kind, c in (("agent", "agent_id"), ("campaign", "campaign")) if c in df.columns]
+    return _distinct_values(df, sources).orderBy("kind", "value")
 
 
 def date_extent(df: DataFrame, tz: str = "Europe/Berlin") -> DataFrame:
@@ -217,14 +208,14 @@ def scope_tallies(scope: DataFrame, key: str = "question_id", top: int = 3) -> D
     count desc then label, plus the scope size. Tallies are partial-aggregated counts; the
     top-n per group is a WindowGroupLimit over at most #labels rows per group."""
     from pyspark.sql.window import Window
-    t = (scope.groupBy(key, F.col("Type").alias("label")).agg(F.count(F.lit(1)).alias("n"))
-              .withColumn("dim", F.lit("type"))
-              .unionByName(scope.groupBy(key, F.col("Outcome").alias("label")).agg(F.count(F.lit(1)).alias("n"))
-                           .withColumn("dim", F.lit("outcome"))))
-    w = Window.partitionBy(key, "dim").orderBy(F.col("n").desc(), F.col("label"))
-    ranked = t.withColumn("r", F.row_number().over(w)).filter(F.col("r") <= int(top))
-    top3 = ranked.groupBy(key, "dim").agg(F.array_sort(F.collect_list(F.struct("r", "label", "n"))).alias("s"))
-    sizes = scope.groupBy(key).agg(F.count(F.lit(1)).alias("scope_n"))
+    labels = scope.groupBy(key, "Type", "Outcome").agg(F.count(F.lit(1)).alias("n"))
+    dims = F.array(*[F.struct(F.lit(d).alias("dim"), F.col(c).alias("label")) for d, c in (("type", "Type"), ("outcome", "Outcome"))])
+    t = labels.select(key, "n", F.inline(dims)).groupBy(key, "dim", "label").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy(key, "dim")
+    ranked = (t.withColumn("r", F.row_number().over(w.orderBy(F.col("n").desc(), F.col("label"))))
+               .withColumn("scope_n", F.sum("n").over(w)).filter(F.col("r") <= int(top)))
+    top3 = ranked.groupBy(key, "dim").agg(F.array_sort(F.collect_list(F.struct("r", "label", "n"))).alias("s"),
+                                          F.first("scope_n").alias("scope_n"))
     text = F.array_join(F.transform("s", lambda x: F.concat(x["label"], F.lit(" ("), x["n"].cast("string"),
                                                             F.lit(")"))), ", ")
-    return top3.join(sizes, key).select(key, "dim", text.alias("top3"), "scope_n")
+    return top3.select(key, "dim", text.alias("top3"), "scope_n")

@@ -6,6 +6,7 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import MapType
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
@@ -22,24 +23,20 @@ def union_all(frames: Sequence[DataFrame]) -> DataFrame:
 
 
 def keep_last(df: DataFrame, key: Sequence[str] = CALL_KEY, order: Sequence[str] = ("batch",)) -> DataFrame:
-    """One row per key — the one with the greatest ``order`` (later batch wins).
-
-    ``row_number() = 1`` lets Spark insert a partial WindowGroupLimit before the
-    shuffle, so each map task forwards at most one row per key: a key duplicated
-    across a third of the input does not pile up in one reducer. Null key parts
-    group together (same as the reference's de-dup).
+    """One row per key — the one with the greatest ``order`` (later batch, then later row).
+
+    ``order`` should be total: give the batch first, then what orders rows inside it (upload
+    time, file, row number). Rows that still tie are ordered by a hash of all their values, so the
+    result never depends on how the input was split. ``row_number() = 1`` lets Spark insert a
+    partial WindowGroupLimit before the shuffle, so each map task forwards at most one row per
+    key: a key duplicated across a third of the input does not pile up in one reducer. Null key
+    parts group together (same as the reference's de-dup).
     """
-    w = Window.partitionBy(*key).orderBy(*[F.col(c).desc() for c in order])
+    plain = [F.col(c) for c in df.columns if not isinstance(df.schema[c].dataType, MapType)]
+    w = Window.partitionBy(*key).orderBy(*[F.col(c).desc_nulls_last() for c in order], F.xxhash64(*plain).desc())
     return (df.withColumn("_rn", F.row_number().over(w)).filter(F.col("_rn") == 1).drop("_rn"))
 
 
-def append_keep_last(existing: DataFrame, new: DataFrame, key: Sequence[str] = CALL_KEY) -> DataFrame:
-    """W1 as an append: existing rows (batch 0) plus new rows (batch 1), keep last per key."""
-    a = existing.withColumn("_batch", F.lit(0))
-    b = new.withColumn("_batch", F.lit(1))
-    return keep_last(union_all([a, b]), key, ("_batch",)).drop("_batch")
-
-
 def new_only(candidates: DataFrame, processed: DataFrame, key: Sequence[str]) -> DataFrame:
     """Candidates whose key is not yet in ``processed`` (left anti join)."""
     return candidates.join(processed.select(*key).distinct(), list(key), "left_anti")

@@ -2,18 +2,17 @@
 
 Scale notes
 -----------
-* Hash embedding explodes tokens, but all tokens of a document sit in the same
-  task, so the map-side partial aggregate of ``(doc, bucket)`` collapses them to at
-  most ``dim`` rows per document before the shuffle.
-* k-NN scores every indexed document against a *batch of queries*. The batch is
-  broadcast only after its row count is checked (``BROADCAST_QUERY_LIMIT``);
-  larger query sets are processed batch by batch, so the result stays exact.
-  Top-k uses ``row_number() <= k`` so Spark inserts a partial WindowGroupLimit
-  before the shuffle (each task forwards at most k rows per query).
+* Hash embedding is a projection of each row; it shuffles nothing.
+* k-NN is exact: all indexed documents are scored against the stated query set, block by
+  block. A block holds about ``QUERY_BLOCK`` queries (by hash) and is one broadcast; the
+  same plan serves every number of queries, with one pass over the index per block. Each
+  task keeps a running top-k over all its Arrow batches and yields it once, so at most
+  k rows per query and task are shuffled.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from typing import Mapping, Sequence
 
 import numpy as np
@@ -25,7 +24,8 @@ from pyspark.sql.window import Window
 from ..functions import text as tx
 from ..functions import vectors as vx
 
-BROADCAST_QUERY_LIMIT = 4096
+#: queries in a block, on average
+QUERY_BLOCK = 4096
 
 # --- fixed values: document metadata keys ---
 META_FIELDS = {"call_id": "call_id", "start_time": "start_time", "agent_id": "agent_id", "agent": "agent",
@@ -65,41 +65,36 @@ def validate_docs(docs: DataFrame, id_field: str = "doc_id", text_field: str = "
         .alias("empty_texts"))
 
 
-def hash_sparse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                dim: int = vx.HASH_DIM) -> DataFrame:
-    """V1 (sparse): (id, bucket, weight) with weights L2-normalized per document."""
-    tok = docs.select(F.col(id_col), F.explode(vx.hash_tokens(F.col(text_col))).alias("tok"))
-    counts = (tok.groupBy(id_col, vx.hash_bucket(F.col("tok"), dim).alias("bucket"))
-                 .agg(F.count(F.lit(1)).cast("double").alias("n")))
-    w = Window.partitionBy(id_col)
-    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(w))
-    return counts.select(id_col, "bucket", (F.col("n") / norm).alias("weight"))
-
-
 def hash_embed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                dim: int = vx.HASH_DIM) -> DataFrame:
     """V1: docs + sparse L2-normalized hash vector ``vec_idx array<int>``, ``vec_val array<double>``
     (sorted by index; empty arrays for a text without tokens).
 
-    One pass over ``docs``: the other columns ride on each document's first token row
-    (``posexplode_outer`` keeps token-less documents), so the input is never joined back
-    and its lineage (labels, joins) is evaluated once. Shuffles: (doc, bucket) after a
-    map-side partial count, then per doc over at most ``dim`` rows."""
-    carry = [c for c in docs.columns if c != id_col]
-    head = (F.col("_pos").isNull()) | (F.col("_pos") == 0)
-    e = docs.select(F.col(id_col), F.posexplode_outer(vx.hash_tokens(F.col(text_col))).alias("_pos", "_tok"),
-                    *[F.when(head, F.col(c)).alias(c) for c in carry])
-    bucket = F.when(F.col("_tok").isNull(), F.lit(-1)).otherwise(vx.hash_bucket(F.col("_tok"), dim))
-    counts = (e.groupBy(F.col(id_col), bucket.alias("bucket"))
-               .agg(F.count("_tok").cast("double").alias("n"), *[F.first(c, ignorenulls=True).alias(c) for c in carry]))
-    entry = F.when(F.col("bucket") >= 0, F.struct("bucket", "n"))
-    per_doc = counts.groupBy(id_col).agg(
-        F.array_sort(F.collect_list(entry)).alias("_e"), F.sqrt(F.sum(F.col("n") * F.col("n"))).alias("_norm"),
-        *[F.first(c, ignorenulls=True).alias(c) for c in carry])
-    return per_doc.select(
-        F.col(id_col), *carry,
-        F.transform("_e", lambda x: x["bucket"]).alias("vec_idx"),
-        F.transform("_e", lambda x: x["n"] / F.col("_norm")).alias("vec_val"))
+    A narrow projection: every row is embedded from its own text, so rows with equal or null
+    ids stay apart and nothing is shuffled. Counts come from the sorted buckets: the place of a
+    bucket's first occurrence, subtracted from that of the next bucket."""
+    buckets = F.array_sort(F.transform(vx.hash_tokens(F.col(text_col)), lambda t: vx.hash_bucket(t, dim)))
+    # one-row generators keep the optimizer from evaluating the token work once per use
+    rows = docs.select("*", F.inline(F.array(F.struct(buckets.alias("_b")))))
+    rows = rows.select("*", F.inline(F.array(F.struct(F.array_distinct("_b").alias("vec_idx")))))
+    first = F.transform("vec_idx", lambda x: F.array_position(F.col("_b"), x))
+    rows = rows.select("*", F.inline(F.array(F.struct(first.alias("_f")))))
+    after = F.concat(F.slice("_f", F.lit(2), F.greatest(F.size("_f") - 1, F.lit(0))),
+                     F.array(F.size("_b").cast("bigint") + 1))
+    counts = F.zip_with("_f", F.slice(after, F.lit(1), F.size("_f")), lambda x, y: (y - x).cast("double"))
+    rows = rows.select("*", F.inline(F.array(F.struct(counts.alias("_n")))))
+    norm = vx.l2_norm(F.col("_n"))
+    return (rows.withColumn("_norm", norm)
+                .withColumn("vec_val", F.transform("_n", lambda x: x / F.col("_norm")))
+                .drop("_b", "_f", "_n", "_norm"))
+
+
+def hash_sparse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                dim: int = vx.HASH_DIM) -> DataFrame:
+    """V1 (sparse): (id, bucket, weight), a row for each bucket of each document row."""
+    e = hash_embed(docs.select(id_col, text_col), id_col, text_col, dim)
+    return e.select(F.col(id_col), F.inline(F.arrays_zip(F.col("vec_idx").alias("bucket"),
+                                                         F.col("vec_val").alias("weight"))))
 
 
 def to_dense(idx: str = "vec_idx", val: str = "vec_val", dim: int = vx.HASH_DIM):
@@ -127,6 +122,11 @@ def _doc_side(index: DataFrame, vec_col: str, id_col: str) -> DataFrame:
 
 
 def _pair_distance(cols: list[str], metric: str):
+    if metric.lower() == "l2":
+        dense = F.col("_dv") if "_dv" in cols else F.transform(
+            F.sequence(F.lit(0), F.size("qvec") - 1),
+            lambda i: F.coalesce(F.try_element_at(F.map_from_arrays("vec_idx", "vec_val"), i.cast("int")), F.lit(0.0)))
+        return vx.sq_l2(dense, F.col("qvec"))
     if "vec_idx" in cols:
         dotp = vx.sparse_dot(F.col("vec_idx"), F.col("vec_val"), F.col("qvec"))
     else:
@@ -136,14 +136,15 @@ def _pair_distance(cols: list[str], metric: str):
 
 def _score(docs: DataFrame, queries: DataFrame, k: int, metric: str,
            rank_digits: int | None) -> DataFrame:
-    """Score every document against one checked query batch; exact top-k per query.
+    """Score every document against one block of queries; exact top-k per query.
 
     The dot products are BLAS work: each task turns its documents into a dense block
-    (one Arrow batch at a time) and multiplies it with the broadcast query matrix, then
-    keeps its own top-k per query (ties -> doc_id). Only those partial winners are
-    shuffled; ``row_number() <= k`` picks the global top-k from them."""
+    (one Arrow batch at a time) and multiplies it with the broadcast query matrix, and
+    keeps a running top-k per query (ties -> doc_id) until its input ends. Only those
+    partial winners are shuffled; ``row_number() <= k`` picks the global top-k from them.
+    Squared L2 sums the squared differences: the expanded form loses small distances."""
     spark = docs.sparkSession
-    rows = queries.select("query_id", "qvec").collect()          # <= BROADCAST_QUERY_LIMIT rows
+    rows = queries.select("query_id", "qvec").collect()          # one block
     if not rows:
         return spark.createDataFrame([], "query_id string, doc_id string, distance double, rank int")
     qids = [str(r.query_id) for r in rows]
@@ -157,7 +158,9 @@ def _score(docs: DataFrame, queries: DataFrame, k: int, metric: str,
         import pandas as pd
         q_ids, q = shared.value
         q_sq = (q * q).sum(axis=1)
-        dim = q.shape[1]
+        dim, nq = q.shape[1], len(q_ids)
+        best_key = np.empty((0, nq))                     # at most k rows: the best so far of every query
+        best_dist, best_id = np.empty((0, nq)), np.empty((0, nq), dtype=object)
         for pdf in batches:
             n = len(pdf)
             if n == 0:
@@ -172,31 +175,29 @@ def _score(docs: DataFrame, queries: DataFrame, k: int, metric: str,
                     block[rows_, cols] = vals
             else:
                 block = np.stack([np.asarray(x, dtype=np.float64) for x in pdf["_dv"]])
-            dots = block @ q.T
-            d_sq = pdf["_dsq"].to_numpy(dtype=np.float64)[:, None]
-            if metric == "cosine":
-                den = np.sqrt(d_sq) * np.sqrt(q_sq)[None, :]
-                with np.errstate(divide="ignore", invalid="ignore"):
-                    dist = 1.0 - np.where(den == 0, 0.0, dots / np.where(den == 0, 1.0, den))
-            elif metric == "l2":
-                dist = d_sq + q_sq[None, :] - 2.0 * dots
+            if metric == "l2":
+                dist = np.stack([((block - v) ** 2).sum(axis=1) for v in q], axis=1)
             else:
+                dots = block @ q.T
+                if metric == "cosine":
+                    den = np.sqrt(pdf["_dsq"].to_numpy(dtype=np.float64))[:, None] * np.sqrt(q_sq)[None, :]
+                    dots = np.where(den == 0, 0.0, dots / np.where(den == 0, 1.0, den))
                 dist = 1.0 - dots
             key = np.round(dist, rank_digits) if rank_digits is not None else dist
             ids = pdf["doc_id"].astype(str).to_numpy()
-            out_q, out_d, out_v = [], [], []
-            for j, qid in enumerate(q_ids):
-                col = key[:, j]
-                if n > kk:
-                    kth = np.partition(col, kk - 1)[kk - 1]
-                    cand = np.nonzero(col <= kth)[0]
-                else:
-                    cand = np.arange(n)
-                best = sorted(cand, key=lambda i: (col[i], ids[i]))[:kk]
-                out_q += [qid] * len(best)
-                out_d += [ids[i] for i in best]
-                out_v += [float(dist[i, j]) for i in best]
-            yield pd.DataFrame({"query_id": out_q, "doc_id": out_d, "distance": out_v})
+            keys, dists = np.concatenate([best_key, key]), np.concatenate([best_dist, dist])
+            names = np.concatenate([best_id, np.broadcast_to(ids[:, None], key.shape)])
+            keep = min(kk, len(keys))
+            picked = np.empty((keep, nq), dtype=np.int64)
+            for j in range(nq):
+                col = keys[:, j]
+                cand = np.nonzero(col <= np.partition(col, keep - 1)[keep - 1])[0]
+                picked[:, j] = cand[np.lexsort((names[cand, j].astype(str), col[cand]))[:keep]]
+            across = np.arange(nq)[None, :]
+            best_key, best_dist, best_id = keys[picked, across], dists[picked, across], names[picked, across]
+        if len(best_key):
+            yield pd.DataFrame({"query_id": np.repeat(np.asarray(q_ids, dtype=object), len(best_key)),
+                                "doc_id": best_id.T.ravel(), "distance": best_dist.T.ravel()})
 
     cols = ["doc_id", "_dsq"] + (["vec_idx", "vec_val"] if sparse else ["_dv"])
     partial = docs.select(*cols).mapInPandas(score, "query_id string, doc_id string, distance double")
@@ -223,17 +224,10 @@ def knn(index: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine"
         return index.sparkSession.createDataFrame(
             [], "query_id string, doc_id string, distance double, rank int")
     docs = _doc_side(index, vec_col, id_col)
-    n = queries.count()
-    if n <= BROADCAST_QUERY_LIMIT:
-        return _score(docs, queries, k, metric, rank_digits)
-    # Exact beyond the broadcast bound: split the query set into checked batches.
-    nb = (n + BROADCAST_QUERY_LIMIT - 1) // BROADCAST_QUERY_LIMIT
-    qb = queries.withColumn("_qb", F.pmod(F.xxhash64("query_id"), F.lit(nb)))
-    out = None
-    for b in range(nb):
-        part = _score(docs, qb.filter(F.col("_qb") == b).drop("_qb"), k, metric, rank_digits)
-        out = part if out is None else out.unionByName(part)
-    return out
+    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    hashed = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    parts = [_score(docs, queries.filter(hashed == b), k, metric, rank_digits) for b in range(blocks)]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def question_vectors(questions: DataFrame, id_col: str = "question_id", text_col: str = "text",
@@ -249,39 +243,48 @@ def rank_intersect(scope: DataFrame, ranked: DataFrame, id_col: str = "call_id")
     """Keep scope rows whose id is ranked, ordered by rank; with no ranked ids or no
     overlap the scope is returned unchanged (rank null). ``ranked`` is (doc_id, rank), bounded by k."""
     r = ranked.select(F.col("doc_id").alias("_rid"), F.col("rank"))
-    joined = scope.join(F.broadcast(r), scope[id_col] == r["_rid"], "left").drop("_rid")
+    joined = scope.join(r, scope[id_col] == r["_rid"], "left").drop("_rid")
     overlap = joined.select(F.count_if(F.col("rank").isNotNull())).scalar()
-    return joined.filter((overlap == 0) | F.col("rank").isNotNull())
+    return (joined.filter((overlap == 0) | F.col("rank").isNotNull())
+                  .orderBy(F.col("rank").asc_nulls_last(), F.col(id_col)))
+
+
+def _with_queries(rows: DataFrame, query_vecs: DataFrame, metric: str, has_vector=None) -> DataFrame:
+    """Every row with its distance to each query of the stated set: (columns, query_id, distance).
 
+    The queries are one array, computed once as a scalar subquery, and each row is expanded by
+    it; the row set per query never changes."""
+    one = query_vecs.select("query_id", vx.as_double("qvec").alias("qvec"), vx.sq_norm(F.col("qvec")).alias("_qsq"))
+    queries = one.agg(F.collect_list(F.struct("query_id", "qvec", "_qsq")).alias("q")).select("q").scalar()
+    out = rows.withColumn("_qs", queries).select("*", F.inline("_qs")).drop("_qs")
+    dist = _pair_distance(out.columns, metric)
+    return out.withColumn("distance", dist if has_vector is None else F.when(has_vector, dist))
 
-def rerank_scope(scope: DataFrame, index: DataFrame, query_vec: DataFrame, metric: str = "cosine",
+
+def rerank_scope(scope: DataFrame, index: DataFrame, query_vecs: DataFrame, metric: str = "cosine",
                  id_col: str = "call_id", vec_col: str = "vector") -> DataFrame:
-    """J2 (D31): score only the scope rows against one query vector; the row set never changes.
-    Rows without an index vector get a null distance (ordered last)."""
-    docs = _doc_side(index, vec_col, "doc_id")
-    q = query_vec.select("qvec", vx.sq_norm(F.col("qvec")).alias("_qsq")).limit(1)   # one query row
-    s = scope.join(docs, scope[id_col] == docs["doc_id"], "left")
-    s = s.join(F.broadcast(q), how="inner")
-    dist = F.when(F.col("doc_id").isNull(), F.lit(None).cast("double")).otherwise(
-        _pair_distance(docs.columns, metric))
-    return s.withColumn("distance", dist).drop(*[c for c in docs.columns], "qvec", "_qsq")
-
-
-def rerank_indexed(index: DataFrame, query_vec: DataFrame, scope=None, metric: str = "cosine",
+    """J2 (D31): the scope rows with their distance to each query vector (``query_id``); per query the
+    row set is the scope. Rows without an index vector get a null distance (ordered last)."""
+    docs = _doc_side(index, vec_col, "doc_id").withColumnRenamed("doc_id", "_did")
+    s = scope.join(docs, scope[id_col] == docs["_did"], "left")
+    out = _with_queries(s, query_vecs, metric, F.col("_did").isNotNull())
+    return out.drop(*docs.columns, "qvec", "_qsq")
+
+
+def rerank_indexed(index: DataFrame, query_vecs: DataFrame, scope=None, metric: str = "cosine",
                    vec_col: str = "vector") -> DataFrame:
     """J2 for a scope that lives inside the index: the index rows passing ``scope`` (a Column
-    predicate, e.g. on ``metadata``) with their distance to one query vector. No join: one
+    predicate, e.g. on ``metadata``) with their distance to each query vector. No join: one
     pass over the index, so the documents' upstream work is done once."""
     rows = index if scope is None else index.filter(scope)
-    parts = _doc_side(rows, vec_col, "doc_id")
-    q = query_vec.select("qvec", vx.sq_norm(F.col("qvec")).alias("_qsq")).limit(1)   # one query row
-    s = parts.join(F.broadcast(q), how="inner")
-    return s.select("doc_id", _pair_distance(parts.columns, metric).alias("distance"))
+    return _with_queries(_doc_side(rows, vec_col, "doc_id"), query_vecs, metric).select("query_id", "doc_id", "distance")
 
 
-def topk_display(ranked_scope: DataFrame, k: int, id_col: str = "call_id") -> DataFrame:
-    """O3: first ``max(1,k)`` rows by (distance, id) plus the full scope count."""
-    k = max(1, int(k))
+def topk_display(ranked_scope: DataFrame, k: int, id_col: str = "call_id", semantic: bool = True) -> DataFrame:
+    """O3: first ``max(1,k)`` rows by (distance, id) plus the full scope count; with ``semantic`` off
+    all rows in id order, with a null distance."""
+    rows = ranked_scope if semantic else ranked_scope.withColumn("distance", F.lit(None).cast("double"))
+    order = [F.col("distance").asc_nulls_last(), F.col(id_col)]
     scope_count = ranked_scope.select(F.count(F.lit(1))).scalar()
-    top = ranked_scope.orderBy(F.col("distance").asc_nulls_last(), F.col(id_col)).limit(k)
-    return top.withColumn("scope_count", scope_count)
+    top = rows.orderBy(*order)
+    return (top.limit(max(1, int(k))) if semantic else top).withColumn("scope_count", scope_count)

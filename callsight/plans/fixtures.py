@@ -12,15 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.labels import RuleSet
-from ..session import prepare, spread
+from ..session import prepare
 
 TEXT_TABLES = ("documents", "conversations", "pages")
+#: session setting: tasks over which a caller wants the text tables dealt (unset: as the files are split)
+TEXT_TASKS = "spark.callsight.textTasks"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table; small text tables are spread over all cores (checked size)."""
+    """A driver table. A caller whose text tables come as one file may ask for more tasks by ``TEXT_TASKS``."""
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return spread(df) if name in TEXT_TABLES else df
+    tasks = int(spark.conf.get(TEXT_TASKS, "0"))
+    return df.repartition(tasks) if tasks and name in TEXT_TABLES else df
 
 
 def _raw_label(doc_id, one: str, other: str):

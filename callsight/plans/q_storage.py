@@ -44,6 +44,28 @@ def keep_last(spark, sf):
                       r6("amount").alias("amount"))
 
 
+KEEP_DUPS_SQL = WITH_RAW + """dups AS (
+  SELECT CASE WHEN CAST(call_id AS BIGINT) % 5 = 0 THEN NULL ELSE CAST(CAST(call_id AS BIGINT) % 40 AS VARCHAR) END AS call_id,
+         CASE WHEN CAST(call_id AS BIGINT) % 3 = 0 THEN NULL ELSE date_trunc('year', start_time) END AS start_time,
+         CAST(call_id AS BIGINT) % 4 AS batch, CAST(call_id AS BIGINT) AS seq, amount FROM calls_raw)
+"""
+
+
+@register("keep_last_in_batch", covers="W1", oracle=KEEP_DUPS_SQL + f"""
+SELECT call_id, {sfmt('start_time')} AS start_time, batch, seq, {sr6('amount')} AS amount FROM (
+  SELECT *, row_number() OVER (PARTITION BY call_id, start_time ORDER BY batch DESC, seq DESC) AS rn FROM dups)
+WHERE rn = 1""")
+def keep_last_in_batch(spark, sf):
+    """Keys repeat inside a batch and may be null: the last row of the last batch stays."""
+    n = F.col("call_id").cast("bigint")
+    d = fx.calls(spark, sf).select(
+        F.when(n % 5 != 0, (n % 40).cast("string")).alias("call_id"),
+        F.when(n % 3 != 0, F.date_trunc("year", "start_time")).alias("start_time"),
+        (n % 4).alias("batch"), n.alias("seq"), "amount")
+    out = mg.keep_last(d, ("call_id", "start_time"), ("batch", "seq"))
+    return out.select("call_id", fmt_ts("start_time").alias("start_time"), "batch", "seq", r6("amount").alias("amount"))
+
+
 @register("append_excluded", covers="U2", oracle=BATCHES_SQL + f"""
 SELECT call_id, 'short/non-English' AS reason, batch FROM batches
 WHERE len({stokens('transcript')}) < 20""")

@@ -246,6 +246,48 @@ def rerank_scope(spark, sf):
     return out.select(F.col("doc_id").alias("call_id"), r6("distance").alias("distance"))
 
 
+RERANK_QUESTIONS = {"q1": QUESTION_TEXT, "q2": "refund of a broken order", "q3": "der die das und la que"}
+MANY_SQL = (DOCS_SQL.rstrip() + _sparse_sql("docs_ne", "doc_id", "text", "sd")
+            + _sparse_sql("(SELECT * FROM (VALUES " + ", ".join(f"({q(k)}, {q(t)})" for k, t in RERANK_QUESTIONS.items())
+                          + ") AS v(qid, text))", "qid", "text", "qv"))
+
+
+@register("rerank_many", covers="J2 D31", oracle=MANY_SQL + """,
+scope AS (SELECT call_id FROM labeled WHERE Type = 'Support'),
+held AS (SELECT * FROM docs_ne WHERE right(doc_id, 1) <> '3'),
+dots AS (SELECT qv.id AS query_id, sd.id AS doc_id, sum(qv.weight * sd.weight) AS d FROM qv JOIN sd ON qv.bucket = sd.bucket
+         GROUP BY 1, 2)
+SELECT s.call_id, u.query_id, round(CASE WHEN h.doc_id IS NOT NULL THEN 1.0 - coalesce(dots.d, 0.0) END, 6) AS distance
+FROM scope s CROSS JOIN (SELECT DISTINCT id AS query_id FROM qv) u LEFT JOIN held h ON h.doc_id = s.call_id
+LEFT JOIN dots ON dots.doc_id = s.call_id AND dots.query_id = u.query_id""")
+def rerank_many(spark, sf):
+    """Several questions over one scope; calls ending in 3 are not in the index and keep a null distance."""
+    qdf = spark.createDataFrame(list(RERANK_QUESTIONS.items()), "question_id string, text string")
+    held = index(spark, sf).filter(F.substring("doc_id", -1, 1) != "3")
+    out = vec.rerank_scope(_scope(spark, sf).select("call_id"), held, vec.question_vectors(qdf))
+    return out.select("call_id", "query_id", r6("distance").alias("distance"))
+
+
+@register("hash_embedding_dups", covers="V1", oracle=DOCS_SQL.rstrip() + f""",
+dups AS (SELECT row_number() OVER () AS r, CASE WHEN CAST(doc_id AS BIGINT) % 3 = 0 THEN NULL ELSE right(doc_id, 1) END AS id,
+                text FROM docs_ne),
+t AS (SELECT r, unnest(string_split_regex(lower(text), '{WS}+')) AS tok FROM dups),
+c AS (SELECT r, CAST(('0x' || substr(md5(tok), 1, 8))::BIGINT % 384 AS INTEGER) AS bucket, count(*) AS n
+      FROM t WHERE tok <> '' GROUP BY 1, 2)
+SELECT d.id, sha256(d.text) AS text_sha, count(c.bucket) AS buckets, coalesce(sum(c.bucket), 0) AS bucket_sum,
+       round(max(c.n) / sqrt(sum(c.n * c.n)), 6) AS top_weight
+FROM dups d LEFT JOIN c ON c.r = d.r GROUP BY d.r, d.id, d.text""")
+def hash_embedding_dups(spark, sf):
+    """Documents whose ids repeat or are null are embedded one by one."""
+    docs = vec.prepare_docs(labeled(spark, sf), DOC_FIELDS)
+    n = F.col("doc_id").cast("bigint")
+    docs = docs.select(F.when(n % 3 != 0, F.substring("doc_id", -1, 1)).alias("id"), "text")
+    e = vec.hash_embed(docs, "id", "text")
+    total = F.aggregate("vec_idx", F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    return e.select("id", F.sha2("text", 256).alias("text_sha"), F.size("vec_idx").cast("bigint").alias("buckets"),
+                    total.alias("bucket_sum"), r6(F.array_max("vec_val")).alias("top_weight"))
+
+
 @register("topk_display", covers="O3", oracle=_scope_dist_sql() + """
 SELECT call_id, round(distance, 6) AS distance, (SELECT count(*) FROM sdist) AS scope_count
 FROM sdist ORDER BY round(distance, 9) NULLS LAST, call_id LIMIT 10""")

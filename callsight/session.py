@@ -47,45 +47,22 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by the cluster.
-
-    Reads ``spark.checkpoint.dir`` from the session; only when it is unset
-    (local tests) is a fresh scratch folder created and registered.
-    """
-    current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
+    """The shared checkpoint folder: that of ``spark.checkpoint.dir``, or the one the context already has.
+
+    Only a local session without either (tests) gets a fresh folder of its own; a cluster
+    must name one that all executors share."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    current = spark.sparkContext.getCheckpointDir()
+    if not folder and not current:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="callsight-ckpt-")
     if not current:
-        current = tempfile.mkdtemp(prefix="callsight-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", current)
-    spark.sparkContext.setCheckpointDir(current)
-    return current
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder or current
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A folder below the shared checkpoint directory for written tables."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
-
-
-SPREAD_MAX_BYTES = 2 << 30
-
-
-def spread(df, min_partitions: int | None = None):
-    """Round-robin a *small* input over all cores before CPU-heavy text work.
-
-    A small table often arrives as one Parquet row group, i.e. one task. When the
-    optimizer's size estimate is below ``parallelism x maxPartitionBytes`` (capped at
-    2 GB) the table is repartitioned to the default parallelism; larger inputs already
-    come in many splits and are left alone, so this never adds a shuffle of big data.
-    """
-    spark = df.sparkSession
-    parts = min_partitions or spark.sparkContext.defaultParallelism
-    try:
-        size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # noqa: BLE001 - statistics unavailable: keep the input as it is
-        return df
-    max_split = int(str(spark.conf.get("spark.sql.files.maxPartitionBytes", "134217728")).rstrip("b"))
-    if size < min(parts * max_split, SPREAD_MAX_BYTES):
-        return df.repartition(parts)
-    return df
