@@ -59,9 +59,13 @@ def normalize_labels(df: DataFrame) -> DataFrame:
     return out
 
 
-def normalize_calls(df: DataFrame) -> DataFrame:
-    """P1 -> P2 -> P3, canonical order."""
-    return df.transform(ensure_columns).transform(coerce_types).transform(normalize_labels)
+def normalize_calls(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """P1 -> P2 -> P3, canonical order; ``keep`` names further columns to carry along as they are."""
+    if not keep:
+        return df.transform(ensure_columns).transform(coerce_types).transform(normalize_labels)
+    src = {f.name: f.dataType for f in df.schema.fields}
+    casts = [(_lenient(c, _TYPES[c], src[c]) if c in src else F.lit(None).cast(_TYPES[c])).alias(c) for c in CALL_COLUMNS]
+    return normalize_labels(df.select(*casts, *keep))
 
 
 def empty_calls(spark: SparkSession) -> DataFrame:

@@ -18,7 +18,8 @@ from .common import LABELED_SQL, fmt_ts, labeled, r6
 from .oracle_sql import CALLS_RAW_CTE, fmt_ts as sfmt, r6 as sr6, tokens as stokens
 from .q_segments import ASSEMBLED_SQL, DURATIONS_SQL
 from .q_storage import BATCHES_SQL
-from .q_vectors import DOC_FIELDS
+from .q_questions import _answer_sql
+from .q_vectors import DOC_FIELDS, DOCS_SQL, _sparse_sql
 from .registry import register
 
 
@@ -32,7 +33,7 @@ SELECT call_id, {sfmt('start_time')} AS start_time, {sr6('duration_seconds')} AS
 def csv_roundtrip(spark, sf):
     path = _scratch(spark, "csv")
     io.write_csv(fx.calls(spark, sf), path)
-    back = io.read_calls_csv(spark, path)
+    back = io.read_calls_csv(spark, path, multiline=True)
     return back.select("call_id", fmt_ts("start_time").alias("start_time"),
                        r6("duration_seconds").alias("duration_seconds"), "agent_id",
                        r6("amount").alias("amount"), F.sha2("transcript", 256).alias("transcript_sha"))
@@ -48,18 +49,35 @@ def snapshot_roundtrip(spark, sf):
     return back.select("call_id", fmt_ts("start_time").alias("start_time"), "Connected", "Type", "Outcome")
 
 
-@register("csv_glob_rejects", covers="S2 S3")
+CSV_PARTS = 4
+
+
+@register("csv_glob_rejects", covers="S2 S3 U1", oracle="WITH " + CALLS_RAW_CTE + f"""
+SELECT call_id, agent_id, CASE WHEN CAST(call_id AS BIGINT) % {CSV_PARTS} <> 2 THEN campaign END AS campaign,
+       CASE WHEN CAST(call_id AS BIGINT) % {CSV_PARTS} <> 2 THEN {sr6('amount')} END AS amount, 'included' AS reason
+FROM calls_raw WHERE CAST(call_id AS BIGINT) % {CSV_PARTS} <> 3
+UNION ALL SELECT NULL, NULL, NULL, NULL, 'csv-fail: missing header in '
+UNION ALL SELECT NULL, NULL, NULL, NULL, 'csv-fail: malformed row in '""")
 def csv_glob_rejects(spark, sf):
+    """Uploads of the calls in three layouts (full, columns reversed, a subset in another order), one
+    without a usable header and one with malformed rows; file names are cut from the reasons."""
     root = _scratch(spark, "csvglob")
-    from ..operators.normalize import ensure_columns
-    io.write_csv(ensure_columns(fx.calls(spark, sf)).coalesce(1), f"{root}/good")   # canonical layout
-    # a second upload whose rows open a quote that never closes (written unquoted, .csv name)
-    bad = fx.table(spark, sf, "documents").select(
-        F.concat(F.lit('"'), F.col("doc_id").cast("string"), F.lit(" unterminated")).alias("call_id"))
-    bad.coalesce(1).write.mode("overwrite").option("quote", "\u0000").option("header", "true").csv(f"{root}/bad")
-    calls, rejects = io.read_calls_csv_glob(spark, f"{root}/*/*.csv")
-    _, _ = io.read_calls_csv_glob(spark, f"{root}/*/*.csv", skip_unreadable=True)
-    return calls.select("call_id", F.lit("included").alias("reason")).unionByName(rejects)
+    calls = fx.calls(spark, sf).drop("transcript")
+    part = F.col("call_id").cast("bigint") % CSV_PARTS
+    columns = [c for c in calls.columns if c not in ("Connected", "Type", "Outcome")]
+    layouts = {0: columns, 1: columns[::-1], 2: ["agent_id", "call_id"]}
+    for k, names in layouts.items():
+        io.write_csv(calls.filter(part == k).select(*names), f"{root}/layout{k}")
+    odd = calls.filter(part == 3).limit(3).select("agent_id", "campaign")
+    odd.coalesce(1).write.csv(f"{root}/noheader", header=False)
+    line = F.concat_ws(",", "call_id", F.lit("x"), F.lit("one too many"))
+    lines = calls.filter(part == 3).limit(3).agg(F.concat_ws("\n", F.lit("call_id,agent_id"), F.collect_list(line)).alias("value"))
+    lines.write.text(f"{root}/malformed")
+    read, rejects = io.read_calls_csv_glob(spark, f"{root}/*/part-*", skip_unreadable=True)
+    empty = F.lit(None).cast("string")
+    return read.select("call_id", "agent_id", "campaign", r6("amount").alias("amount"), F.lit("included").alias("reason")).unionByName(
+        rejects.select(empty.alias("call_id"), empty.alias("agent_id"), empty.alias("campaign"), F.lit(None).cast("double").alias("amount"),
+                       F.regexp_replace("reason", " in .*", " in ").alias("reason")))
 
 
 @register("file_listing", covers="S9 S10 T8")
@@ -100,44 +118,85 @@ def payload_scan(spark, sf):
                         (tx.token_count("transcript") >= flt.GATE_MIN_TOKENS).alias("included"))
 
 
-@register("audit_log", covers="S8 T12")
+@register("audit_log", covers="S8 T12", oracle=_answer_sql() + """
+SELECT row_count, has_offset, n_agents, from_day, count(*) AS entries FROM (
+  SELECT s.question_id, count(sc.call_id) AS row_count, TRUE AS has_offset, len(any_value(s.agents)) AS n_agents,
+         CAST(any_value(s.date_from) AS VARCHAR) AS from_day
+  FROM specs s LEFT JOIN scope sc ON sc.question_id = s.question_id GROUP BY 1)
+GROUP BY 1, 2, 3, 4""")
 def audit_log(spark, sf):
     from .q_questions import answer_scope, specs
     root = _scratch(spark, "audit")
     sp = specs(spark, sf)
     counts = answer_scope(spark, sf).groupBy("question_id").agg(F.count(F.lit(1)).alias("row_count"))
-    spec_json = F.to_json(F.struct(*[F.col(c) for c in ("date_from", "date_to", "type_any", "outcome_any",
-                                                         "agents", "campaigns", "products", "min_amount",
-                                                         "max_amount")]))
+    lists = ("type_any", "outcome_any", "agents", "campaigns", "products")
+    given = [F.when(F.size(c) > 0, F.col(c)).alias(c) if c in lists else F.col(c)     # keys without a value aren't written
+             for c in ("date_from", "date_to", *lists, "min_amount", "max_amount")]
+    spec_json = F.to_json(F.struct(*given))
     rows = sp.join(counts, "question_id", "left").select(
         spec_json.alias("filter"), F.coalesce("row_count", F.lit(0)).cast("bigint").alias("row_count"))
     io.append_audit(rows, root)
-    return io.read_audit(spark, root).drop("ts")               # clock column dropped
+    log = io.read_audit(spark, root)
+    # the clock itself is dropped; its form and the logged filter are compared
+    spec = F.from_json("filter", "date_from string, agents array<string>")
+    return log.groupBy("row_count", F.col("ts").rlike(r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d[+-]\d\d:\d\d$").alias("has_offset"),
+                       F.size(F.coalesce(spec["agents"], F.array().cast("array<string>"))).cast("bigint").alias("n_agents"),
+                       spec["date_from"].alias("from_day")).agg(F.count(F.lit(1)).alias("entries"))
 
 
 INDEX_LIMIT = 500
+INDEX_SQL = DOCS_SQL.rstrip() + """,
+lim AS (SELECT * FROM docs_ne{limit})""" + _sparse_sql("lim", "doc_id", "text", "sd") + """
+SELECT d.doc_id, sha256(d.text) AS text_sha, any_value(d.m_type) AS type, count(sd.bucket) AS buckets,
+       coalesce(sum(sd.bucket), 0) AS bucket_sum, round(coalesce(max(sd.weight), 0), 6) AS top_weight
+FROM lim d LEFT JOIN sd ON sd.id = d.doc_id GROUP BY d.doc_id, d.text"""
+
+
+def _stored(coll):
+    total = F.aggregate("vec_idx", F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    top = F.coalesce(F.array_max("vec_val"), F.lit(0.0))
+    return coll.select("doc_id", F.sha2("text", 256).alias("text_sha"), F.col("metadata")["type"].alias("type"),
+                       F.size("vec_idx").cast("bigint").alias("buckets"), total.alias("bucket_sum"), r6(top).alias("top_weight"))
 
 
-@register("index_build", covers="S13 V5 V6 V7 O8", oracle=LABELED_SQL.rstrip() + f""",
-docs AS (SELECT call_id AS doc_id FROM labeled ORDER BY call_id LIMIT {INDEX_LIMIT})
-SELECT doc_id FROM docs""")
+@register("index_build", covers="S13 V5 V6 V7 P14", oracle=INDEX_SQL.replace("{limit}", ""))
 def index_build(spark, sf):
     root = _scratch(spark, "collections")
-    calls = labeled(spark, sf).orderBy("call_id").limit(INDEX_LIMIT)        # O8: --limit N
-    docs = vec.prepare_docs(calls, DOC_FIELDS)
-    bad = vec.validate_docs(docs)
-    emb = vec.embed_texts(docs, "doc_id", "text")
-    io.wipe_collection(spark, root, "calls")                                 # rebuild = drop + create
-    io.save_collection(emb, root, "calls")
-    coll = io.open_collection(spark, root, "calls")
-    return coll.select("doc_id").join(bad.filter(F.col("empty_ids") + F.col("empty_texts") > 0), how="left_anti")
+    io.build_index(labeled(spark, sf), root, "calls", DOC_FIELDS, rebuild=True)
+    return _stored(io.open_collection(spark, root, "calls"))
+
+
+@register("index_limit", covers="O8 V6", oracle=INDEX_SQL.replace("{limit}", f" ORDER BY doc_id LIMIT {INDEX_LIMIT}"))
+def index_limit(spark, sf):
+    root = _scratch(spark, "collections")
+    io.build_index(labeled(spark, sf), root, "calls", DOC_FIELDS, limit=INDEX_LIMIT, rebuild=True)
+    return _stored(io.open_collection(spark, root, "calls"))
+
+
+@register("index_update", covers="V5 V6 J6 S13", oracle=DOCS_SQL.rstrip() + """,
+upd AS (SELECT doc_id, CASE WHEN CAST(doc_id AS BIGINT) % 3 = 1 THEN text || chr(10) || 'v2' ELSE text END AS text, m_type FROM docs_ne),
+lim AS (SELECT * FROM upd)""" + _sparse_sql("lim", "doc_id", "text", "sd") + """
+SELECT d.doc_id, sha256(d.text) AS text_sha, any_value(d.m_type) AS type, count(sd.bucket) AS buckets,
+       coalesce(sum(sd.bucket), 0) AS bucket_sum, round(coalesce(max(sd.weight), 0), 6) AS top_weight
+FROM lim d LEFT JOIN sd ON sd.id = d.doc_id GROUP BY d.doc_id, d.text""")
+def index_update(spark, sf):
+    """A first build of two thirds of the calls, then an update that replaces one third and adds the rest."""
+    root = _scratch(spark, "collections")
+    calls, n = labeled(spark, sf), F.col("call_id").cast("bigint") % 3
+    io.build_index(calls.filter(n != 2), root, "calls", DOC_FIELDS, rebuild=True)
+    io.build_index(calls.filter(n == 2), root, "calls", DOC_FIELDS)
+    changed = calls.filter(n == 1).withColumn("note", F.lit("v2"))
+    io.build_index(changed, root, "calls", (*DOC_FIELDS, "note"))
+    return _stored(io.open_collection(spark, root, "calls"))
 
 
 @register("stream_ingest", covers="X1 W1", oracle=BATCHES_SQL + f""",
 g AS (SELECT * FROM batches WHERE len({stokens('transcript')}) >= 20)
-SELECT call_id, {sfmt('start_time')} AS start_time, {sr6('amount')} AS amount FROM (
+SELECT call_id, {sfmt('start_time')} AS start_time, {sr6('amount')} AS amount, 'included' AS reason FROM (
   SELECT *, row_number() OVER (PARTITION BY call_id, start_time ORDER BY batch DESC) AS rn FROM g)
-WHERE rn = 1""")
+WHERE rn = 1
+UNION ALL SELECT DISTINCT call_id, NULL, NULL, 'short/non-English' || ' ' || CAST(batch - 1 AS VARCHAR) FROM batches
+WHERE len({stokens('transcript')}) < 20""")
 def stream_ingest(spark, sf):
     root = _scratch(spark, "stream")
     landing, snap, rej, ck = f"{root}/landing", f"{root}/calls", f"{root}/rejects", f"{root}/checkpoint"
@@ -147,4 +206,8 @@ def stream_ingest(spark, sf):
         q = ingest.start_ingest(spark, landing, snap, rej, ck)
         q.awaitTermination()
     out = io.load_snapshot(spark, snap)
-    return out.select("call_id", fmt_ts("start_time").alias("start_time"), r6("amount").alias("amount"))
+    rejects = spark.read.parquet(rej).select(
+        "call_id", F.lit(None).cast("string").alias("start_time"), F.lit(None).cast("double").alias("amount"),
+        F.concat_ws(" ", "reason", F.col("batch").cast("string")).alias("reason"))
+    return out.select("call_id", fmt_ts("start_time").alias("start_time"), r6("amount").alias("amount"),
+                      F.lit("included").alias("reason")).unionByName(rejects)

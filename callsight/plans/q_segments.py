@@ -61,21 +61,18 @@ def durations(spark, sf):
 
 
 def event_labels(spark, sf):
-    """Window labels per recording: a recording is one user's events within one hour (the
-    reference segments one audio file at a time, and files are capped at 45 minutes, so a
-    recording's windows are bounded). Label = index of the event type among the sorted
-    distinct types; i = window position inside the recording."""
+    """Window labels per recording: a recording is one user's events in time order. Label = index of
+    the event type among the sorted distinct types; i = window position inside the recording."""
     ev = fx.table(spark, sf, "events")
     types = ev.select(F.array_sort(F.collect_set("event_type"))).scalar()
-    rec = F.concat(F.col("user_id").cast("string"), F.lit("|"), F.date_format("ts", "yyyy-MM-dd HH"))
-    ev = ev.withColumn("recording_id", rec)
+    ev = ev.withColumn("recording_id", F.col("user_id").cast("string"))
     w = Window.partitionBy("recording_id").orderBy("ts", "event_id")
     return ev.select(F.col("recording_id"),
                      (F.row_number().over(w) - 1).alias("i"),
                      (F.array_position(types, F.col("event_type")) - 1).cast("int").alias("label"))
 
 
-SEG_SQL = f"""rec AS (SELECT *, CAST(user_id AS VARCHAR) || '|' || strftime(ts, '%Y-%m-%d %H') AS rec_id FROM events),
+SEG_SQL = f"""rec AS (SELECT *, CAST(user_id AS VARCHAR) AS rec_id FROM events),
 lab AS (
   SELECT rec_id AS recording_id,
          row_number() OVER (PARTITION BY rec_id ORDER BY ts, event_id) - 1 AS i,
@@ -107,26 +104,38 @@ def window_segments(spark, sf):
                     "speaker")
 
 
-@register("clean_segments", covers="W4", oracle="WITH " + SEG_SQL + f""",
-s1 AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY seg) = 1 AS fst,
-              ("end" - start) < {sg.MIN_SEGMENT_S} AS tiny FROM segs),
-s2 AS (SELECT *, last(CASE WHEN fst OR NOT tiny THEN speaker END IGNORE NULLS) OVER (
-                   PARTITION BY recording_id ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev_anchor
-       FROM s1),
-s3 AS (SELECT *, sum(CASE WHEN fst OR (NOT tiny AND speaker <> prev_anchor) THEN 1 ELSE 0 END) OVER (
-                   PARTITION BY recording_id ORDER BY seg ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m
-       FROM s2),
-merged AS (SELECT recording_id, m, arg_min(start, seg) AS start, max("end") AS "end", arg_min(speaker, seg) AS speaker
-           FROM s3 GROUP BY 1, 2),
-cl AS (SELECT recording_id, m, greatest(coalesce(max("end") OVER (PARTITION BY recording_id ORDER BY m
-                                    ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0), start) AS st,
-              "end" AS en0, speaker FROM merged)
-SELECT recording_id, m AS seg, round(st, 2) AS start, round(greatest(st, en0), 2) AS "end", speaker
-FROM cl WHERE greatest(st, en0) - st > {sg.MIN_KEEP_S}""")
+def _fold_sql(min_segment_s: float) -> str:
+    """W4 as a plain fold, one segment after another (recursive), then the clamp, one merged segment after another."""
+    merge = f"""(s.speaker = f.speaker OR s."end" - s.start < {min_segment_s})"""
+    return "WITH RECURSIVE " + SEG_SQL + f""",
+numbered AS (SELECT *, row_number() OVER (PARTITION BY recording_id ORDER BY seg) AS n FROM segs),
+fold AS (
+  SELECT recording_id, n, 1 AS m, start, "end", speaker FROM numbered WHERE n = 1
+  UNION ALL
+  SELECT s.recording_id, s.n, CASE WHEN {merge} THEN f.m ELSE f.m + 1 END, CASE WHEN {merge} THEN f.start ELSE s.start END,
+         CASE WHEN {merge} THEN greatest(f."end", s."end") ELSE s."end" END, CASE WHEN {merge} THEN f.speaker ELSE s.speaker END
+  FROM fold f JOIN numbered s ON s.recording_id = f.recording_id AND s.n = f.n + 1),
+merged AS (SELECT recording_id, m, arg_max(start, n) AS start, arg_max("end", n) AS "end", arg_max(speaker, n) AS speaker
+           FROM fold GROUP BY 1, 2),
+clamp AS (
+  SELECT recording_id, m, greatest(0.0, start) AS st, greatest(greatest(0.0, start), "end") AS en, speaker FROM merged WHERE m = 1
+  UNION ALL
+  SELECT x.recording_id, x.m, greatest(c.en, x.start), greatest(greatest(c.en, x.start), x."end"), x.speaker
+  FROM clamp c JOIN merged x ON x.recording_id = c.recording_id AND x.m = c.m + 1)
+SELECT recording_id, m AS seg, round(st, 2) AS start, round(en, 2) AS "end", speaker FROM clamp WHERE en - st > {sg.MIN_KEEP_S}"""
+
+
+@register("clean_segments", covers="W4", oracle=_fold_sql(sg.MIN_SEGMENT_S))
 def clean_segments(spark, sf):
     return sg.clean_segments(_window_segments(spark, sf), "recording_id", "seg")
 
 
+@register("clean_segments_tiny", covers="W4", oracle=_fold_sql(2.3))
+def clean_segments_tiny(spark, sf):
+    """A longer least segment, so that single windows are tiny and join the segment before them."""
+    return sg.clean_segments(_window_segments(spark, sf), "recording_id", "seg", 2.3)
+
+
 @register("batch_pipeline", covers="R3 S14 U1 A15", oracle=LABELED_SQL.rstrip() + ",\n" + ASSEMBLED_SQL + ",\n"
           + DURATIONS_SQL + f""",
 conv_calls AS (

@@ -1,53 +1,91 @@
 """Sources and sinks: CSV uploads, versioned snapshots, media listings, transcript payloads,
 audit log, vector collections.
 
-All paths are Hadoop paths (local, HDFS, object stores). Snapshot publication writes
-a new version directory and never overwrites the directory being read; readers pick
-the newest version that has a ``_SUCCESS`` marker, so a lost executor or a failed
-job never exposes a half-written snapshot.
+All paths are Hadoop paths (local, HDFS, object stores). Snapshots are written to a
+folder of each run's own and published by one pointer file, so a lost executor or a
+failed job never exposes a half-written snapshot nor blocks a later one.
 """
 
 from __future__ import annotations
 
+import csv
+import uuid
+from functools import reduce
 from typing import Iterable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..operators import merge
+from ..operators import vectors as vec
 from ..operators.normalize import empty_calls, normalize_calls
 from ..schema import CALL_COLUMNS, CALLS, EXCLUDED, PAYLOAD
 
-CSV_OPTIONS = {"header": "true", "multiLine": "true", "escape": '"', "quote": '"'}
-RAW_CSV = T.StructType([T.StructField(c, T.StringType()) for c in CALL_COLUMNS])
+CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"'}
 
 
 # ------------------------------------------------------------------ CSV
-def read_calls_csv(spark: SparkSession, path: str | Sequence[str]) -> DataFrame:
-    """Header CSV read as strings (no inference), then lenient casts."""
-    df = spark.read.options(**CSV_OPTIONS).csv(path)
+def read_calls_csv(spark: SparkSession, path: str | Sequence[str], *, multiline: bool = False) -> DataFrame:
+    """Header CSV read as strings (no inference), then lenient casts.
+
+    Values with line breaks need ``multiline``; such files can't be split into tasks."""
+    df = spark.read.options(**CSV_OPTIONS).option("multiLine", multiline).csv(path)
     return normalize_calls(df)
 
 
-def read_calls_csv_glob(spark: SparkSession, glob: str, *, skip_unreadable: bool = False):
-    """Many CSV files in the canonical column layout; a file with a malformed row
-    becomes one reject row ``csv-fail: <file>`` and contributes no calls. With ``skip_unreadable`` unreadable
-    files are ignored (S3). Returns (calls, rejects)."""
-    schema = T.StructType(RAW_CSV.fields + [T.StructField("_corrupt_record", T.StringType())])
-    reader = (spark.read.options(**CSV_OPTIONS).schema(schema).option("mode", "PERMISSIVE")
-              .option("columnNameOfCorruptRecord", "_corrupt_record"))
-    if skip_unreadable:
-        reader = reader.option("ignoreCorruptFiles", "true")
-    raw = reader.csv(glob).select("*", F.col("_metadata.file_name").alias("_file"))
-    # One aggregate per file; it also reads a data column, since Spark refuses plans that read
-    # only the corrupt-record column of a raw CSV scan.
+def _headers(spark: SparkSession, glob: str) -> list[tuple[str, str]]:
+    """(file, first line) of every non-empty file: one row a file, as the file listing itself.
+
+    Only the first split of each file is aggregated; line numbers grow along a split."""
+    lines = spark.read.text(glob).select("value", F.monotonically_increasing_id().alias("n"),
+                                         F.col("_metadata.file_path").alias("file"),
+                                         F.col("_metadata.file_block_start").alias("at"))
+    first = lines.filter("at = 0").groupBy("file").agg(F.min_by("value", "n").alias("header"))
+    return sorted((r["file"], r["header"]) for r in first.collect())
+
+
+def _columns(header: str) -> list[str]:
+    """Column names of a header line, trimmed, without a byte order mark."""
+    return [c.strip() for c in next(csv.reader([header.lstrip("\ufeff")]), [])]
+
+
+def read_calls_csv_glob(spark: SparkSession, glob: str, *, skip_unreadable: bool = False, multiline: bool = False):
+    """Many CSV files, each with any subset of the call columns in any order, by its header.
+
+    Files of one header are read together, and the layouts are united by name. A file without
+    a header that names ``call_id`` and a file with a malformed row each become one reject row
+    ``csv-fail: ...`` and give no calls. With ``skip_unreadable`` files that can't be read are left
+    out (S3). Returns (calls, rejects)."""
+    layouts: dict[tuple[str, ...], list[str]] = {}
+    rejects = []
+    for file, header in _headers(spark, glob):
+        names = _columns(header)
+        if "call_id" in names and len(set(names)) == len(names):
+            layouts.setdefault(tuple(names), []).append(file)
+        else:
+            rejects.append((file.rsplit("/", 1)[-1], "csv-fail: missing header in " + file.rsplit("/", 1)[-1]))
+    parts = []
+    for names, files in sorted(layouts.items()):
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in (*names, "_corrupt_record")])
+        reader = (spark.read.options(**CSV_OPTIONS).option("multiLine", multiline).option("columnPruning", False).schema(schema)
+                  .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
+                  .option("ignoreCorruptFiles", skip_unreadable).option("ignoreMissingFiles", skip_unreadable))
+        known = [c for c in names if c in CALL_COLUMNS]
+        parts.append(reader.csv(files).select(*known, "_corrupt_record", F.col("_metadata.file_name").alias("_file")))
+    rejected = spark.createDataFrame(rejects, "call_id string, reason string")
+    if not parts:
+        return empty_calls(spark), rejected
+    raw = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
+    # one aggregate per file; it also reads a data column, since Spark refuses plans that read
+    # only the corrupt-record column of a raw CSV scan
     per_file = raw.groupBy("_file").agg(F.max(F.col("_corrupt_record").isNotNull().cast("int")).alias("_bad"),
                                         F.count("call_id").alias("_n"))
     bad = per_file.filter((F.col("_bad") == 1) & (F.col("_n") >= 0)).select("_file")
     good = raw.join(bad, "_file", "left_anti").drop("_corrupt_record", "_file")
-    rejects = bad.select(F.col("_file").alias("call_id"),
-                         F.concat(F.lit("csv-fail: malformed row in "), F.col("_file")).alias("reason"))
-    return normalize_calls(good), rejects
+    malformed = bad.select(F.col("_file").alias("call_id"),
+                           F.concat(F.lit("csv-fail: malformed row in "), F.col("_file")).alias("reason"))
+    return normalize_calls(good), rejected.unionByName(malformed)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -62,38 +100,52 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def _versions(spark: SparkSession, root: str) -> list[int]:
-    fs, p = _fs(spark, root)
-    if not fs.exists(p):
-        return []
-    out = []
-    for st in fs.listStatus(p):
-        name = st.getPath().getName()
-        if st.isDirectory() and name.startswith("v") and name[1:].isdigit():
-            if fs.exists(st.getPath().suffix("/_SUCCESS")):
-                out.append(int(name[1:]))
-    return sorted(out)
+def _pointers(spark: SparkSession, root: str) -> list[str]:
+    """Names of the published versions, oldest first: ``<number>-<run>``, each an empty file."""
+    fs, p = _fs(spark, f"{root.rstrip('/')}/_published")
+    return sorted(st.getPath().getName() for st in fs.listStatus(p)) if fs.exists(p) else []
+
+
+def _current(spark: SparkSession, root: str) -> str | None:
+    names = _pointers(spark, root)
+    return f"{root.rstrip('/')}/run-{names[-1].split('-', 1)[1]}" if names else None
 
 
 def save_snapshot(df: DataFrame, root: str, partition_by: Sequence[str] | None = None) -> str:
-    """Publish a new version (replace-all semantics for readers)."""
+    """Publish a new version (replace-all semantics for readers).
+
+    Each run writes a folder of its own and is published by creating one empty pointer file,
+    which is atomic: a failed run leaves an unpublished folder that no reader sees and no later
+    run meets; of two writers at once, both publish, and the pointers' order decides."""
     spark = df.sparkSession
-    vs = _versions(spark, root)
-    path = f"{root.rstrip('/')}/v{(vs[-1] + 1) if vs else 1}"
+    run = uuid.uuid4().hex
+    path = f"{root.rstrip('/')}/run-{run}"
     w = df.write.mode("errorifexists")
-    if partition_by:
-        w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
+    names = _pointers(spark, root)
+    number = int(names[-1].split("-", 1)[0]) + 1 if names else 1
+    fs, pointer = _fs(spark, f"{root.rstrip('/')}/_published/{number:012d}-{run}")
+    fs.create(pointer, False).close()
     return path
 
 
-def load_snapshot(spark: SparkSession, root: str, schema: T.StructType = CALLS) -> DataFrame:
-    """Newest complete version, re-normalized; empty canonical frame when none exists."""
-    vs = _versions(spark, root)
-    if not vs:
+def load_snapshot(spark: SparkSession, root: str, schema: T.StructType = CALLS, csv_fallback: str | None = None) -> DataFrame:
+    """The published version, re-normalized; without one the CSV export if given, else an empty
+    frame. A calls snapshot keeps its partition column ``start_month``, by which date windows prune."""
+    path = _current(spark, root)
+    if path is None:
+        if csv_fallback is not None and _fs(spark, csv_fallback)[0].exists(_fs(spark, csv_fallback)[1]):
+            df = spark.read.options(**CSV_OPTIONS).option("multiLine", True).csv(csv_fallback)
+            return normalize_calls(df) if schema is CALLS else df.select(*[F.col(f.name).cast(f.dataType) for f in schema])
         return spark.createDataFrame([], schema) if schema is not CALLS else empty_calls(spark)
-    df = spark.read.parquet(f"{root.rstrip('/')}/v{vs[-1]}")
-    return normalize_calls(df) if schema is CALLS else df
+    df = spark.read.parquet(path)
+    if schema is not CALLS:
+        return df
+    if "start_month" not in df.columns:
+        return normalize_calls(df)
+    # the month stays a string: a partition column's type would be inferred from its values
+    fields = [T.StructField(f.name, T.StringType() if f.name == "start_month" else f.dataType) for f in df.schema.fields]
+    return normalize_calls(spark.read.schema(T.StructType(fields)).parquet(path), keep=["start_month"])
 
 
 def save_calls_snapshot(calls: DataFrame, root: str, tz: str = "Europe/Berlin") -> str:
@@ -102,6 +154,12 @@ def save_calls_snapshot(calls: DataFrame, root: str, tz: str = "Europe/Berlin")
     return save_snapshot(calls.withColumn("start_month", month), root, ["start_month"])
 
 
+def append_excluded(excluded: DataFrame, root: str) -> str:
+    """The excluded snapshot with new (call_id, reason) rows; one row of each."""
+    old = load_snapshot(excluded.sparkSession, root, EXCLUDED)
+    return save_snapshot(old.select("call_id", "reason").unionByName(excluded.select("call_id", "reason")).distinct(), root)
+
+
 # ------------------------------------------------------------------ media files
 def list_media(spark: SparkSession, root: str, extensions: Iterable[str]) -> DataFrame:
     """Recursive listing filtered by lower-cased extension, de-duplicated by path.
@@ -154,7 +212,13 @@ def payload_calls(payloads: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ audit log
 def append_audit(specs: DataFrame, root: str, tz: str = "Europe/Berlin") -> None:
     """Append (ts, filter, row_count); the question text is never stored."""
-    ts = F.date_format(F.from_utc_timestamp(F.current_timestamp(), tz), "yyyy-MM-dd'T'HH:mm:ss")
+    now = F.current_timestamp()
+    local = F.from_utc_timestamp(now, tz)
+    # Local time with its offset from UTC
+    minutes = F.round((F.unix_seconds(local) - F.unix_seconds(now)) / 60).cast("int")
+    offset = F.format_string("%s%02d:%02d", F.when(minutes < 0, "-").otherwise("+"),
+                             F.floor(F.abs(minutes) / 60).cast("int"), F.abs(minutes) % 60)
+    ts = F.concat(F.date_format(local, "yyyy-MM-dd'T'HH:mm:ss"), offset)
     specs.select(ts.alias("ts"), F.col("filter"), F.col("row_count")).write.mode("append").json(root)
 
 
@@ -170,10 +234,27 @@ def save_collection(index: DataFrame, root: str, name: str) -> str:
 
 
 def open_collection(spark: SparkSession, root: str, name: str) -> DataFrame | None:
-    vs = _versions(spark, f"{root.rstrip('/')}/{name}")
-    if not vs:
-        return None
-    return spark.read.parquet(f"{root.rstrip('/')}/{name}/v{vs[-1]}")
+    path = _current(spark, f"{root.rstrip('/')}/{name}")
+    return None if path is None else spark.read.parquet(path)
+
+
+def build_index(calls: DataFrame, root: str, name: str, fields: Sequence[str] = ("transcript",), *,
+                limit: int | None = None, rebuild: bool = False, embedder=None) -> int:
+    """V5/V6: validate, embed and store the calls' documents; returns the collection's size.
+
+    ``rebuild`` starts the collection anew, else documents replace those of their id and new ones
+    are added (J6). ``limit`` takes the first calls by id (O8). Documents that fail validation
+    (P14) raise before anything is written."""
+    if limit is not None:
+        calls = calls.orderBy("call_id").limit(int(limit))
+    docs = vec.prepare_docs(calls, fields)
+    faults = vec.validate_docs(docs).first().asDict()
+    if any(faults.values()):
+        raise ValueError(f"documents fail validation: {faults}")
+    rows = vec.embed_texts(docs, "doc_id", "text", embedder)
+    old = None if rebuild else open_collection(calls.sparkSession, root, name)
+    save_collection(rows if old is None else merge.upsert(old, rows, "doc_id"), root, name)
+    return open_collection(calls.sparkSession, root, name).count()
 
 
 def wipe_collection(spark: SparkSession, root: str, name: str) -> None:
@@ -181,5 +262,3 @@ def wipe_collection(spark: SparkSession, root: str, name: str) -> None:
     if fs.exists(p):
         fs.delete(p, True)
 
-
-EXCLUDED_SCHEMA = EXCLUDED

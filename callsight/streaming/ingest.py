@@ -11,41 +11,50 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import filters as flt
 from ..operators import labels as lab
 from ..operators import merge as mg
 from ..operators.normalize import normalize_calls
-from ..schema import CALLS
+from ..schema import CALL_COLUMNS, CALLS
 from ..sources import io
 
 
+#: order of rows with one key inside a trigger: upload time, file, row
+SEQUENCE = ("_time", "_file", "_row")
+
+
 def merge_batch(batch: DataFrame, batch_id: int, snapshot_root: str, rejects_root: str,
                 rules: lab.RuleSet = lab.DEFAULT_RULES) -> None:
+    """Merge one micro-batch. A replayed batch gives the same snapshot, and its rejects replace
+    those of its first run (they are kept by batch)."""
     spark = batch.sparkSession
-    norm = normalize_calls(batch)
+    order = [c for c in SEQUENCE if c in batch.columns]
+    if "_row" in order:
+        batch = batch.withColumn("_row", F.monotonically_increasing_id())
+    norm = normalize_calls(batch, keep=order)
     included, excluded = flt.gate(norm)
     labeled = lab.relabel(included, rules)
-    current = io.load_snapshot(spark, snapshot_root)
-    if "start_month" in current.columns:
-        current = current.drop("start_month")
+    current = io.load_snapshot(spark, snapshot_root).drop("start_month")
     merged = mg.keep_last(
         mg.union_all([current.withColumn("_b", F.lit(-1)), labeled.withColumn("_b", F.lit(int(batch_id)))]),
-        ("call_id", "start_time"), ("_b",)).drop("_b")
-    io.save_snapshot(merged, snapshot_root)
-    excluded.withColumn("batch", F.lit(int(batch_id))).write.mode("append").parquet(rejects_root)
+        ("call_id", "start_time"), ("_b", *order)).drop("_b", *order)
+    io.save_calls_snapshot(merged, snapshot_root)
+    excluded.distinct().write.mode("overwrite").parquet(f"{rejects_root}/batch={int(batch_id)}")
 
 
 def start_ingest(spark: SparkSession, landing: str, snapshot_root: str, rejects_root: str,
-                 checkpoint: str, *, fmt: str = "parquet", rules: lab.RuleSet = lab.DEFAULT_RULES,
+                 checkpoint: str, *, fmt: str = "parquet", columns=CALL_COLUMNS, rules: lab.RuleSet = lab.DEFAULT_RULES,
                  available_now: bool = True):
-    """Start the streaming ingest; returns the StreamingQuery."""
-    reader = spark.readStream.schema(CALLS)
+    """Start the streaming ingest; returns the StreamingQuery. CSV landings have one layout, ``columns``."""
     if fmt == "csv":
-        reader = reader.options(**io.CSV_OPTIONS)
-        src = reader.schema(io.RAW_CSV).csv(landing)
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+        src = spark.readStream.options(**io.CSV_OPTIONS).option("enforceSchema", "false").schema(schema).csv(landing)
     else:
-        src = reader.parquet(landing)
+        src = spark.readStream.schema(CALLS).parquet(landing)
+    src = src.select("*", F.col("_metadata.file_modification_time").alias("_time"), F.col("_metadata.file_name").alias("_file"),
+                     F.lit(0).cast("long").alias("_row"))
     w = (src.writeStream.foreachBatch(lambda df, bid: merge_batch(df, bid, snapshot_root, rejects_root, rules))
             .option("checkpointLocation", checkpoint))
     w = w.trigger(availableNow=True) if available_now else w.trigger(processingTime="30 seconds")

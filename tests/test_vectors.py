@@ -53,3 +53,37 @@ def test_rerank_scope_and_indexed_agree(spark):
     i = {r.doc_id: round(r.distance, 9)
          for r in vec.rerank_indexed(idx, q, F.col("metadata")["kind"] == "x").collect()}
     assert j == i and set(j) == {"a", "c"}
+
+
+def test_embedding_keeps_rows_of_one_id(spark):
+    docs = spark.createDataFrame([("a", "x y x"), ("a", "z"), (None, "x"), (None, None), ("b", " ")], "doc_id string, text string")
+    rows = vec.hash_embed(docs).collect()
+    assert sorted((str(r.doc_id), str(r.text), len(r.vec_idx)) for r in rows) == [
+        ("None", "None", 0), ("None", "x", 1), ("a", "x y x", 2), ("a", "z", 1), ("b", " ", 0)]
+    two = next(r for r in rows if r.text == "x y x")
+    assert sorted(round(v, 6) for v in two.vec_val) == [round(1 / 5 ** 0.5, 6), round(2 / 5 ** 0.5, 6)]
+    assert "Exchange" not in vec.hash_embed(docs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rerank_many_queries(spark):
+    index = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0])], "doc_id string, vector array<double>")
+    queries = spark.createDataFrame([("p", [1.0, 0.0]), ("q", [1e-3, 1.0])], "query_id string, qvec array<double>")
+    scope = spark.createDataFrame([("a",), ("b",), ("c",)], "call_id string")
+    got = {(r.call_id, r.query_id): r.distance for r in vec.rerank_scope(scope, index, queries, "l2").collect()}
+    assert len(got) == 6 and got["c", "p"] is None and got["a", "p"] == 0.0 and abs(got["b", "q"] - 1e-6) < 1e-15
+    assert vec.rerank_indexed(index, queries).count() == 4
+
+
+def test_knn_in_blocks_and_small_l2(spark, monkeypatch):
+    rows = [(f"d{k:03d}", [1e4 + k * 1e-3, float(k % 7)]) for k in range(200)]
+    index = spark.createDataFrame(rows, "doc_id string, vector array<double>").repartition(5)
+    queries = spark.createDataFrame([(f"q{k}", [1e4 + k * 1e-3, float(k % 7)]) for k in range(9)], "query_id string, qvec array<double>")
+    whole = sorted(map(tuple, vec.knn(index, queries, 4, "l2").collect()))
+    monkeypatch.setattr(vec, "QUERY_BLOCK", 2)
+    assert sorted(map(tuple, vec.knn(index, queries, 4, "l2").collect())) == whole
+    want = {}
+    for q in range(9):
+        d = sorted((sum((x - y) ** 2 for x, y in zip(v, rows[q][1])), i) for i, v in rows)[:4]
+        want[f"q{q}"] = [i for _, i in d]
+    for q, ids in want.items():
+        assert [r[1] for r in sorted((r for r in whole if r[0] == q), key=lambda r: r[3])] == ids
