@@ -51,9 +51,6 @@ def token_count(c) -> Column:
     return F.size(tokens(c))
 
 
-def token_count_of(tok_array) -> Column:
-    return F.size(_col(tok_array))
-
 
 def contains_any(text_lc, phrases: Iterable[str]) -> Column:
     """Any non-blank phrase occurs in the (already lower-cased) text."""
@@ -139,8 +136,3 @@ def mask_name(c) -> Column:
 def local_date(ts, tz: str) -> Column:
     """UTC timestamp -> calendar date in ``tz``."""
     return F.to_date(F.from_utc_timestamp(_col(ts), tz))
-
-
-def local_midnight_utc(day, tz: str) -> Column:
-    """UTC instant of local midnight of ``day`` (DST-correct)."""
-    return F.to_utc_timestamp(_col(day).cast("timestamp"), tz)

@@ -64,21 +64,6 @@ class RuleSet:
         head = [t for t in self.type_tie_break if t in names]
         return head + sorted(n for n in names if n not in head)
 
-    def phrase_table(self) -> list[tuple[str, str, str, int]]:
-        """(kind, label, phrase, ord) rows — the rule set as data."""
-        rows = []
-        for i, c in enumerate(self.disconnection_cues):
-            rows.append(("cue", "Disconnected", c, i))
-        for label, phrases in self.types:
-            for i, p in enumerate(phrases):
-                rows.append(("type", label, p, i))
-        for label, phrases in self.outcomes:
-            for i, p in enumerate(phrases):
-                rows.append(("outcome", label, p, i))
-        for i, p in enumerate(self.refund_negations):
-            rows.append(("negation", "Refund", p, i))
-        return rows
-
 
 # --- fixed values: the shipped default rule set ---
 DEFAULT_RULES = RuleSet(

@@ -59,3 +59,20 @@ def delete_ids(existing: DataFrame, ids: DataFrame, key: str = "doc_id") -> Data
 def transcript_key(text_col: str = "transcript"):
     """Content identity of a transcript."""
     return tx.sha256_hex(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def _key(*parts):
+    return tx.sha256_hex(F.concat_ws("||", *[p if not isinstance(p, (str, int, float)) else F.lit(str(p)) for p in parts]))
+
+
+def media_key(source: str = "source", model: str = "model", compute: str = "compute"):
+    """Identity of a transcription: file name, modification time, size, model and compute type.
+    An edited file or another model is new; a copy under the same identity is not."""
+    fields = [F.col(f"{source}.{f}").cast("string") for f in ("name", "mtime_ns", "size")]
+    return _key("stt", *fields, F.col(model), F.col(compute))
+
+
+def labels_key(rules, text_col: str = "transcript"):
+    """Identity of a call's labels: its text and the rule parameters that decide them."""
+    return _key("labels", transcript_key(text_col), f"cut={rules.duration_cutoff_s}", f"tok={rules.min_tokens}",
+                f"tail={rules.outcome_window_frac}")

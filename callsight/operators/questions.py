@@ -9,6 +9,7 @@ by short substrings (no broadcast assumption, no cartesian product).
 
 from __future__ import annotations
 
+import re
 from typing import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -204,10 +205,28 @@ def parse_dates_from(s: Column, dts: Column, as_of: Column) -> Column:
                .otherwise(none))
 
 
-def parse_dates(text: Column, as_of: Column) -> Column:
-    """Q1–Q4 on a raw text column (single expression; prefer ``parse_questions`` for tables)."""
-    s = F.lower(text)
-    return parse_dates_from(s, date_candidates(s), as_of)
+# --- fixed values: parse notes by kind of date ---
+DATE_NOTES = {"range": "Date: {from}..{to}.", "date": "Date: {from}.", "today": "Date: today.", "yesterday": "Date: yesterday.",
+              "last_n_days": "Date: last {n} days.", "last_week": "Date: last week.", "this_week": "Date: this week.",
+              "last_month": "Date: last month.", "this_month": "Date: this month.", "month_year": "Date: {from}..{to}.",
+              "month": "Date: {from}..{to}."}
+RESOLVED_NOTES = {"one": "Date resolved to {from} ({tz}).", "two": "Date range: {from} → {to} ({tz})."}
+# --- end fixed values ---
+
+
+def filled(template: str, values: Mapping[str, Column]) -> Column:
+    """A template's text with its {names} replaced by columns."""
+    parts = re.split(r"\{(\w+)\}", template)
+    return F.concat(*[values[x] if i % 2 else F.lit(x) for i, x in enumerate(parts) if x])
+
+
+def spec_notes(kind: Column, date_from: Column, date_to: Column, tz: str) -> Column:
+    """Q10: the parse trace of a question's dates; empty without dates."""
+    days = F.date_diff(date_to, date_from).cast("string")
+    values = {"from": date_from.cast("string"), "to": date_to.cast("string"), "n": days, "tz": F.lit(tz)}
+    found = F.coalesce(*[F.when(kind == k, filled(t, values)) for k, t in DATE_NOTES.items()])
+    resolved = F.when(date_from == date_to, filled(RESOLVED_NOTES["one"], values)).otherwise(filled(RESOLVED_NOTES["two"], values))
+    return F.when(date_from.isNotNull() & date_to.isNotNull(), F.concat_ws(" ", found, resolved)).otherwise(F.lit(""))
 
 
 def _first_synonym(s: Column, key: str, canonical: Sequence[str]) -> Column:
@@ -319,7 +338,7 @@ def parse_amounts(text: Column) -> Column:
 
 
 def parse_questions(questions: DataFrame, text_col: str = "text", as_of_col: str = "as_of") -> DataFrame:
-    """Q1–Q9: adds date_from, date_to, type_any, outcome_any, agent_words, min_amount,
+    """Q1–Q9: adds date_from, date_to, date_kind, type_any, outcome_any, agent_words, min_amount,
     max_amount. Computed in stages (lower-cased text, then date candidates, then the
     decisions) so each regular expression runs once per row."""
     base = questions.select("*", F.lower(F.col(text_col)).alias("_s"))
@@ -337,7 +356,7 @@ def parse_questions(questions: DataFrame, text_col: str = "text", as_of_col: str
         amounts.alias("_a"))
     return out.select(*[c for c in questions.columns],
                       F.col("_d.date_from").alias("date_from"), F.col("_d.date_to").alias("date_to"),
-                      "type_any", "outcome_any", "agent_words",
+                      F.col("_d.kind").alias("date_kind"), "type_any", "outcome_any", "agent_words",
                       F.col("_a.min_amount").alias("min_amount"), F.col("_a.max_amount").alias("max_amount"))
 
 
@@ -357,16 +376,28 @@ def _short_substrings(c: Column, max_len: int = 3) -> Column:
     return F.array_distinct(F.filter(F.flatten(F.array(*subs)), lambda x: x != ""))
 
 
+def _grams(c: Column, size: int = 3) -> Column:
+    """Distinct substrings of ``size`` characters; of a shorter text, the text itself."""
+    n = F.length(c)
+    all_ = F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), lambda i: F.substring(c, i, size))
+    return F.array_distinct(F.filter(all_, lambda x: x != ""))
+
+
 def substring_pairs(texts: DataFrame, text_key: str, needles: DataFrame, needle_key: str) -> DataFrame:
     """Exact pairs (text row, needle row) where ``needle`` is a substring of ``text``.
 
-    Equi-join on a short key: the needle's first (up to) 3 characters against every
-    1–3 character substring of the text, then verified with ``instr``. Keys are
-    hash-partitioned (AQE splits hot keys); nothing is broadcast, nothing is crossed.
-    """
-    t = texts.withColumn("_k", F.explode(_short_substrings(F.col(text_key))))
-    n = needles.filter(F.length(F.col(needle_key)) > 0).withColumn("_k", F.substring(F.col(needle_key), 1, 3))
-    return t.join(n, "_k").filter(F.instr(F.col(text_key), F.col(needle_key)) > 0).drop("_k")
+    An equi-join on one short key for each distinct needle: the 3-character substring of it
+    that the fewest needles share (so a common prefix of ids is no key; needles of up to 3
+    characters are their own key), against the short substrings of each distinct text, verified
+    with ``instr``. Only texts and needles themselves meet; their rows are joined on afterwards."""
+    n = needles.filter(F.length(F.col(needle_key)) > 0).select(F.col(needle_key).alias("_needle")).distinct()
+    grams = n.select("_needle", F.explode(_grams(F.col("_needle"))).alias("_k"))
+    shared = grams.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
+    key = grams.join(shared, "_k").groupBy("_needle").agg(F.min_by("_k", F.struct("_n", "_k")).alias("_k"))
+    t = texts.select(F.col(text_key).alias("_text")).distinct().withColumn("_k", F.explode(_short_substrings(F.col("_text"))))
+    hits = t.join(key, "_k").filter(F.instr(F.col("_text"), F.col("_needle")) > 0).select("_text", "_needle")
+    return (hits.join(texts, hits["_text"] == texts[text_key]).drop("_text")
+                .join(needles, F.col("_needle") == needles[needle_key]).drop("_needle"))
 
 
 def ground_entities(questions: DataFrame, catalog: DataFrame, id_col: str = "question_id",

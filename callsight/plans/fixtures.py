@@ -1,9 +1,9 @@
 """Derived inputs built from the driver tables (same definitions as the oracle SQL).
 
 ``calls`` is derived from documents ⋈ orders ⋈ customer, the first line item of
-each order and its part. All joins are on keys; the line-item reduction is a
-hash aggregate (``min`` of a struct) so it combines map-side and never sorts a
-whole order group.
+each order and its part. All joins are on keys; line items of other orders leave
+by a semi-join before the first one of each order is taken (``min`` of a struct, which
+Spark sorts within tasks and combines map-side).
 """
 
 from __future__ import annotations
@@ -35,7 +35,8 @@ def _raw_label(doc_id, one: str, other: str):
 
 def first_line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First line item per order: lowest (l_linenumber, l_partkey, l_suppkey, l_quantity)."""
-    li = table(spark, sf_dir, "lineitem")
+    calls = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("l_orderkey"))
+    li = table(spark, sf_dir, "lineitem").join(calls, "l_orderkey", "left_semi")     # only orders that are calls
     first = F.min(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity")).alias("f")
     return (li.groupBy("l_orderkey").agg(first)
               .select("l_orderkey", "f.l_partkey", "f.l_suppkey", "f.l_quantity"))

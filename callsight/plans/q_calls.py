@@ -42,12 +42,20 @@ def normalize_calls(spark, sf):
                      "order_id", "Connected", "Type", "Outcome")
 
 
-@register("dq_report", covers="P6", oracle="""
-SELECT 'Note: product columns are not available in the dataset.' AS warning""")
+@register("dq_report", covers="P6", oracle=WITH_RAW.rstrip() + """,
+dq_raw AS (SELECT CASE WHEN CAST(call_id AS BIGINT) % 11 = 0 THEN -duration_seconds ELSE duration_seconds END AS duration_seconds,
+               CAST(NULL AS TIMESTAMP) AS start_time FROM calls_raw)
+SELECT 'Missing columns added as empty: product_name' AS warning UNION ALL
+SELECT 'Some rows have negative duration_seconds (will be treated as 0).' FROM dq_raw HAVING bool_or(duration_seconds < 0)
+UNION ALL SELECT 'start_time could not be parsed for any rows (check your timestamps).' FROM dq_raw HAVING count(start_time) = 0
+UNION ALL SELECT 'Note: product columns are not available in the dataset.'""")
 def dq_report(spark, sf):
-    # A raw upload frame without product columns: all canonical checks pass except the note.
-    df = fx.calls_with_raw_labels(spark, sf).drop("product_name")
-    return nz.dq_report(df).filter(~F.col("warning").startswith("Missing columns"))
+    """An upload without product names, with some negative durations and times that no row can parse."""
+    n = F.col("call_id").cast("bigint")
+    df = (fx.calls_with_raw_labels(spark, sf).drop("product_name")
+          .withColumn("duration_seconds", F.when(n % 11 == 0, -F.col("duration_seconds")).otherwise(F.col("duration_seconds")))
+          .withColumn("start_time", F.concat(F.lit("at "), "call_id")))
+    return nz.dq_report(df)
 
 
 # ------------------------------------------------------------------ F1 gate

@@ -118,6 +118,20 @@ def payload_scan(spark, sf):
                         (tx.token_count("transcript") >= flt.GATE_MIN_TOKENS).alias("included"))
 
 
+@register("payload_ingest", covers="S14 S10 R3", oracle="WITH " + ASSEMBLED_SQL + f""",
+names AS (SELECT call_id, CAST(regexp_extract(call_id, '([0-9]+)$', 1) AS BIGINT) AS n FROM assembled)
+SELECT a.call_id, CASE WHEN len({stokens('a.transcript')}) >= 20 THEN 'included' ELSE 'short/non-English' END AS reason
+FROM assembled a JOIN names k ON k.call_id = a.call_id WHERE k.n % 7 NOT IN (0, 1)
+UNION ALL SELECT call_id || '.wav', 'stt-fail: RuntimeError' FROM names WHERE n % 7 = 0
+UNION ALL SELECT call_id || '.wav', 'file not found' FROM names WHERE n % 7 = 1""")
+def payload_ingest(spark, sf):
+    """Payloads of which one in seven failed and one in seven was requested but never found."""
+    p, n = _payloads(spark, sf), F.regexp_extract(F.col("source.name"), r"([0-9]+)\.wav$", 1).cast("bigint") % 7
+    held = p.filter(n != 1).withColumn("error", F.when(n == 0, "RuntimeError"))
+    calls, rejects = io.ingest_payloads(held, p.select("source.name"))
+    return calls.select("call_id", F.lit("included").alias("reason")).unionByName(rejects)
+
+
 @register("audit_log", covers="S8 T12", oracle=_answer_sql() + """
 SELECT row_count, has_offset, n_agents, from_day, count(*) AS entries FROM (
   SELECT s.question_id, count(sc.call_id) AS row_count, TRUE AS has_offset, len(any_value(s.agents)) AS n_agents,

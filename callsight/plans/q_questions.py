@@ -387,13 +387,14 @@ def specs(spark, sf):
         F.coalesce("tokens", empty))
     spec = out.select("question_id", "text", "date_from", "date_to", "type_any", "outcome_any",
                       agents.alias("agents"), F.coalesce("campaign", empty).alias("campaigns"),
-                      F.coalesce("product", empty).alias("products"), "min_amount", "max_amount")
+                      F.coalesce("product", empty).alias("products"), "min_amount", "max_amount",
+                      qx.spec_notes(F.col("date_kind"), F.col("date_from"), F.col("date_to"), TZ).alias("notes"))
     return qx.restrict_specs(spec, qx.DEFAULT_ALLOWED_KEYS)
 
 
 SPECS_SQL = PARSED_SQL + CATALOG_SQL + TOKENS_SQL + """,
 specs AS (
-  SELECT p.question_id, p.date_from, p.date_to,
+  SELECT p.question_id, p.date_from, p.date_to, p.kind,
          CASE WHEN p.type_label IS NULL THEN []::VARCHAR[] ELSE [p.type_label] END AS type_any,
          p.outcomes AS outcome_any,
          CASE WHEN len(coalesce(r.vals, [])) > 0 THEN list_filter(r.vals, lambda x, i: list_position(r.vals, x) = i)
@@ -412,7 +413,15 @@ specs AS (
 SELECT question_id, CAST(date_from AS VARCHAR) AS date_from, CAST(date_to AS VARCHAR) AS date_to,
        array_to_string(type_any, '|') AS type_any, array_to_string(outcome_any, '|') AS outcome_any,
        array_to_string(agents, '|') AS agents, array_to_string(campaigns, '|') AS campaigns,
-       array_to_string(products, '|') AS products, min_amount, max_amount
+       array_to_string(products, '|') AS products, min_amount, max_amount,
+       CASE WHEN date_from IS NULL OR date_to IS NULL THEN '' ELSE
+         'Date: ' || CASE kind
+           WHEN 'today' THEN 'today' WHEN 'yesterday' THEN 'yesterday' WHEN 'last_n_days' THEN 'last ' || (date_to - date_from) || ' days'
+           WHEN 'last_week' THEN 'last week' WHEN 'this_week' THEN 'this week' WHEN 'last_month' THEN 'last month'
+           WHEN 'this_month' THEN 'this month' WHEN 'date' THEN CAST(date_from AS VARCHAR)
+           ELSE CAST(date_from AS VARCHAR) || '..' || CAST(date_to AS VARCHAR) END || '. Date ' ||
+         CASE WHEN date_from = date_to THEN 'resolved to ' || CAST(date_from AS VARCHAR)
+              ELSE 'range: ' || CAST(date_from AS VARCHAR) || ' → ' || CAST(date_to AS VARCHAR) END || ' (Europe/Berlin).' END AS notes
 FROM specs""")
 def question_specs(spark, sf):
     s = specs(spark, sf)
@@ -420,7 +429,7 @@ def question_specs(spark, sf):
                     F.col("date_to").cast("string").alias("date_to"),
                     *[F.array_join(c, "|").alias(c) for c in ("type_any", "outcome_any", "agents", "campaigns",
                                                               "products")],
-                    "min_amount", "max_amount")
+                    "min_amount", "max_amount", "notes")
 
 
 # ------------------------------------------------------------------ J9 / A11
@@ -475,3 +484,32 @@ FROM top3 GROUP BY question_id, dim""")
 def scope_tallies(spark, sf):
     sc = answer_scope(spark, sf)
     return agg.scope_tallies(sc, "question_id")
+
+
+SHOWN = 5
+
+
+@register("answer_sentences", covers="A11 O4", oracle=_answer_sql() + f""",
+shown AS (
+  SELECT * FROM (SELECT sc.*, row_number() OVER (PARTITION BY question_id ORDER BY call_id) AS n,
+                        count(*) OVER (PARTITION BY question_id) AS total FROM scope sc) WHERE n <= {SHOWN}),
+tally AS (
+  SELECT question_id, 'type' AS dim, Type AS label, count(*) AS n FROM shown GROUP BY 1, 3
+  UNION ALL SELECT question_id, 'outcome', Outcome, count(*) FROM shown GROUP BY 1, 3),
+top3 AS (SELECT question_id, dim, string_agg(label || ' (' || n || ')', ', ' ORDER BY n DESC, label) AS txt
+         FROM (SELECT *, row_number() OVER (PARTITION BY question_id, dim ORDER BY n DESC, label) AS r FROM tally) WHERE r <= 3 GROUP BY 1, 2),
+tot AS (SELECT question_id, any_value(total) AS total, count(*) AS shown FROM shown GROUP BY 1)
+SELECT s.question_id,
+       CASE WHEN coalesce(tot.shown, 0) < coalesce(tot.total, 0) THEN 'Showing top ' || tot.shown || ' of ' || tot.total || ' calls.'
+            ELSE coalesce(tot.total, 0) || ' calls in scope.' END
+       || CASE WHEN s.date_from IS NULL OR s.date_to IS NULL THEN ''
+               ELSE ' Date range: ' || CAST(s.date_from AS VARCHAR) || ' → ' || CAST(s.date_to AS VARCHAR) || '.' END
+       || coalesce(' Top types: ' || t.txt || '.', '') || coalesce(' Top outcomes: ' || o.txt || '.', '') AS answer
+FROM specs s LEFT JOIN tot ON tot.question_id = s.question_id
+LEFT JOIN top3 t ON t.question_id = s.question_id AND t.dim = 'type'
+LEFT JOIN top3 o ON o.question_id = s.question_id AND o.dim = 'outcome'""")
+def answer_sentences(spark, sf):
+    from ..session import checkpoint_dir
+    checkpoint_dir(spark)
+    sp = specs(spark, sf).checkpoint(eager=True)
+    return agg.answer_sentences(flt.apply_specs(labeled(spark, sf), sp, TZ), sp, shown=SHOWN)

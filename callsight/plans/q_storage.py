@@ -90,10 +90,26 @@ def incremental_new(spark, sf):
 @register("label_reuse", covers="J8", oracle=LABELED_SQL + """
 SELECT call_id, Connected, Type, Outcome FROM labeled""")
 def label_reuse(spark, sf):
-    """Label each distinct (transcript, duration) once, then join the labels back by content key."""
+    """Label each distinct (text and rule parameters, duration) once, then give the labels back by key.
+
+    Calls of one transcript are one skewed key of a plain join, which Spark splits."""
     inc, _ = flt.gate(fx.calls(spark, sf))
-    keyed = inc.withColumn("tkey", mg.transcript_key()).withColumn(
+    keyed = inc.withColumn("tkey", mg.labels_key(LABEL_RULES)).withColumn(
         "dkey", F.coalesce(F.col("duration_seconds").cast("string"), F.lit("")))
     distinct = keyed.select("tkey", "dkey", "transcript", "duration_seconds").dropDuplicates(["tkey", "dkey"])
     labels = lab.apply_labels(distinct, LABEL_RULES).select("tkey", "dkey", "Connected", "Type", "Outcome")
-    return keyed.join(labels, ["tkey", "dkey"], "inner").select("call_id", "Connected", "Type", "Outcome")
+    return keyed.select("call_id", "tkey", "dkey").join(labels, ["tkey", "dkey"], "inner").select("call_id", "Connected", "Type", "Outcome")
+
+
+@register("manifest_new", covers="J5", oracle="""
+WITH m AS (SELECT conv_id, max(turn) AS turns, sum(length(coalesce(text, ''))) AS size FROM conversations GROUP BY 1)
+SELECT CAST(conv_id AS VARCHAR) AS name, size FROM m WHERE NOT (turns % 3 <> 0 AND size % 5 <> 0)""")
+def manifest_new(spark, sf):
+    """Files whose identity is not in the manifest: two thirds were transcribed, a fifth was edited since."""
+    m = fx.table(spark, sf, "conversations").groupBy("conv_id").agg(
+        F.max("turn").alias("turns"), F.sum(F.length(F.coalesce("text", F.lit("")))).alias("size"))
+    files = m.select(F.struct(F.col("conv_id").cast("string").alias("name"), F.lit(1).alias("mtime_ns"), F.col("size").alias("size")).alias("source"),
+                     F.lit("base").alias("model"), F.lit("int8").alias("compute"), "turns").withColumn("key", mg.media_key())
+    edited = F.when(F.col("source.size") % 5 == 0, F.col("source.size") + 1).otherwise(F.col("source.size"))
+    done = files.filter(F.col("turns") % 3 != 0).withColumn("source", F.col("source").withField("size", edited)).select(mg.media_key().alias("key"))
+    return mg.new_only(files, done, ["key"]).select("source.name", "source.size")

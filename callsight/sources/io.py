@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import merge
+from ..operators import filters, merge
 from ..operators import vectors as vec
 from ..operators.normalize import empty_calls, normalize_calls
 from ..schema import CALL_COLUMNS, CALLS, EXCLUDED, PAYLOAD
@@ -209,6 +209,23 @@ def payload_calls(payloads: DataFrame) -> DataFrame:
         F.coalesce(F.col("transcript"), F.lit("")).alias("transcript"))
 
 
+def ingest_payloads(payloads: DataFrame, requested: DataFrame | None = None, min_tokens: int = filters.GATE_MIN_TOKENS):
+    """(calls, rejects) of a set of payloads.
+
+    A payload with an ``error`` (the failure's class name) is rejected as ``stt-fail: <error>``, one
+    whose transcript is too short by the gate (F1), and a requested file name (column ``name``)
+    without any payload as ``file not found``."""
+    error = F.col("error") if "error" in payloads.columns else F.lit(None).cast("string")
+    tagged = payloads.withColumn("_error", error)
+    failed = tagged.filter("_error is not null").select(F.col("source.name").alias("call_id"),
+                                                        F.concat(F.lit("stt-fail: "), "_error").alias("reason"))
+    calls, short = filters.gate(payload_calls(tagged.filter("_error is null")), min_tokens)
+    rejects = failed.unionByName(short.select("call_id", "reason"))
+    if requested is not None:
+        rejects = missing_files(requested, payloads.select("source.name")).unionByName(rejects)
+    return normalize_calls(calls), rejects
+
+
 # ------------------------------------------------------------------ audit log
 def append_audit(specs: DataFrame, root: str, tz: str = "Europe/Berlin") -> None:
     """Append (ts, filter, row_count); the question text is never stored."""
