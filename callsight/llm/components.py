@@ -1,7 +1,8 @@
 """Connected components of links, by alternating large-star and small-star steps.
 
-Every step is a grouped minimum joined back to the links, so a vertex with very many links
-is never gathered in one group; each round is written to the shared folder.
+Every step is a grouped minimum, written, and joined back to the links: the minimum combines
+before the shuffle, and a vertex with very many links is one skewed key of a plain join, which
+Spark splits. Each round is written to the shared folder.
 """
 
 from __future__ import annotations
@@ -14,14 +15,14 @@ from .staging import stage
 
 def _large_star(links: DataFrame) -> DataFrame:
     both = links.select("u", "v").union(links.select("v", "u"))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = stage(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "links-least")
     return (both.where("v > u").join(least, "u")
             .select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v"))
 
 
 def _small_star(links: DataFrame) -> DataFrame:
     down = links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = stage(down.groupBy("u").agg(F.min("v").alias("m")), "links-least")
     joined = down.join(least, "u")
     return (joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
             .union(least.select("u", F.col("m").alias("v"))).where("u != v"))
@@ -33,7 +34,7 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
                 .where("u != v").distinct(), "links")
     before = None
     for _ in range(max_rounds):
-        now = stage(_small_star(_large_star(now).distinct()).distinct(), "links")
+        now = stage(_small_star(stage(_large_star(now).distinct(), "links")).distinct(), "links")
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             break

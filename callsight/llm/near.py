@@ -28,6 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
+from .probe import among, without
 from .staging import stage
 from .words import mix, shingles, slices, words_of
 
@@ -149,8 +150,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, size: int = 5) ->
             yield pa.record_batch([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), size)],
                                                              pa.binary())], ["id", "shingles"])
 
-    wanted = pairs.select("a").union(pairs.select("b")).distinct().toDF("id")
-    kept = stage(docs.join(wanted, "id", "left_semi").mapInArrow(sets, "id long, shingles binary"), "near-sets")
+    wanted = stage(pairs.select("a").union(pairs.select("b")).distinct(), "near-wanted")
+    kept = stage(among(docs, "id", wanted).mapInArrow(sets, "id long, shingles binary"), "near-sets")
     # few shingles can't reach the share of many: pairs of too unequal size leave before the sets are moved
     sizes = kept.select("id", F.octet_length("shingles").alias("n"))
     fair = (pairs.join(sizes.toDF("a", "n"), "a").join(sizes.toDF("b", "m"), "b")
@@ -166,9 +167,10 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, trees: in
     sketches = stage(texts.mapInArrow(_sketch(size, trees, levels[-1]),
                                       "doc_id long, n_shingles long, digest binary, signature binary"), "near-sketches")
     full = sketches.where("n_shingles > 0 and doc_id is not null")
-    classes = full.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"))
-    firsts = full.join(classes.select("digest", F.col("id").alias("doc_id")), ["digest", "doc_id"], "left_semi")
-    signatures = firsts.select(F.col("doc_id").alias("id"), "signature")
+    classes = stage(full.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "near-classes")
+    # copies of another document's set stay out of the forest; few rows are on that list, so few are shuffled
+    copies = (full.select("digest", "doc_id").join(classes.where("n > 1"), "digest").where("doc_id != id").select("doc_id"))
+    signatures = without(full.select("doc_id", "signature"), "doc_id", stage(copies, "near-copies")).toDF("id", "signature")
     pairs = stage(candidates(signatures, trees, levels, crowd), "near-pairs")
     links = confirmed(pairs, texts.where("doc_id is not null").toDF("id", "text"), percent, size)
     reached = components(links.toDF("u", "v"))
@@ -182,5 +184,5 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, trees: in
 
 def deduplicate(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """One document of each near-duplicate group (the smallest doc_id), with all its columns."""
-    dropped = near_duplicates(docs, percent, size).where("not kept").select(F.col("doc_id").alias("_dropped")).distinct()
-    return docs.join(dropped, docs["doc_id"] == dropped["_dropped"], "left_anti")
+    dropped = near_duplicates(docs, percent, size).where("not kept").select("doc_id")
+    return without(docs, "doc_id", stage(dropped, "near-dropped"))
