@@ -1,7 +1,8 @@
 """Registered queries: question parsing (Q1–Q10), entity grounding (J3/J4), answering.
 
-The question table is derived from the calls (one question per campaign and call
-month, phrased with one of eight templates), so it grows with the data.
+The question table has one question per campaign and call month, phrased with one of eight
+templates, and one for every user turn of ``conversations``: the turn's ASCII words with a
+date and an amount phrase, asked on a day by its conversation. So it grows with the data.
 """
 
 from __future__ import annotations
@@ -45,8 +46,20 @@ def questions(spark, sf):
                                        F.lit(" between 1000 and 5000")))
              .otherwise(F.concat(F.lit("outcome is sale-close for "), F.col("campaign"), F.lit(" in "),
                                  F.lower(month), F.lit(" >= 50000"))))
-    return g.select(key.alias("question_id"), text.alias("text"),
-                    F.date_add(d, 20).alias("as_of"))
+    asked = g.select(key.alias("question_id"), text.alias("text"), F.date_add(d, 20).alias("as_of"))
+    return asked.unionByName(turn_questions(spark, sf))
+
+
+def turn_questions(spark, sf):
+    """A question for every user turn."""
+    t = fx.table(spark, sf, "conversations").filter("role = 'user' and text is not null")
+    day = F.date_add(F.lit("1995-01-01").cast("date"), (F.col("conv_id") * 37 % 1800).cast("int"))
+    phrase = (F.when(F.col("conv_id") % 3 == 0, F.concat(F.lit(" calls on "), day.cast("string")))
+              .when(F.col("conv_id") % 3 == 1, F.lit(" calls of the last 9 days min 2000"))
+              .otherwise(F.lit(" refunds this week")))
+    words = F.regexp_replace("text", "[^A-Za-z]+", " ")
+    return t.select(F.concat_ws("-", F.lit("turn"), "conv_id", "turn").alias("question_id"),
+                    F.concat(words, phrase).alias("text"), day.alias("as_of"))
 
 
 QUESTIONS_SQL = "WITH " + CALLS_RAW_CTE + """,
@@ -60,7 +73,14 @@ qv AS (SELECT *, CAST(year(d) AS VARCHAR) AS y, strftime(d, '%m') AS m, strftime
               strftime(d, '%B') AS month_name,
               CASE month(d) % 4 WHEN 0 THEN 'this week' WHEN 1 THEN 'last week' WHEN 2 THEN 'this month'
                    ELSE 'last month' END AS rel FROM qd),
+turns AS (
+  SELECT *, DATE '1995-01-01' + CAST(conv_id * 37 % 1800 AS INTEGER) AS day FROM conversations WHERE role = 'user' AND text IS NOT NULL),
 questions AS (
+  SELECT 'turn-' || conv_id || '-' || turn AS question_id, CAST(day AS TIMESTAMP) AS as_of_ts,
+         regexp_replace(text, '[^A-Za-z]+', ' ', 'g') || CASE conv_id % 3
+           WHEN 0 THEN ' calls on ' || CAST(day AS VARCHAR) WHEN 1 THEN ' calls of the last 9 days min 2000'
+           ELSE ' refunds this week' END AS text FROM turns
+  UNION ALL
   SELECT question_id, d + INTERVAL 20 DAY AS as_of_ts,
          CASE form
            WHEN 0 THEN 'sales calls on ' || y || '-' || m || '-15 for agent ' || agent
