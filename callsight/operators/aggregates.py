@@ -152,15 +152,26 @@ def breakdowns_one_pass(df: DataFrame, *, show_unknowns: bool = True) -> DataFra
     return out.withColumn("ord", ordv)
 
 
+SECTIONS = ("Connection", "Types", "Outcomes")
+
+
 def summary_sections(df: DataFrame, context: Mapping[str, object], *,
-                     show_unknowns: bool = False) -> DataFrame:
-    """Sectioned counts (+ spacer + context rows), count as string like the CSV."""
+                     show_unknowns: bool = False, ordered: bool = False) -> DataFrame:
+    """Sectioned counts (+ spacer + context rows), count as string like the CSV.
+
+    ``ordered`` sorts them as in the file: sections in turn, the most frequent labels first, then
+    the spacer and the context rows as given."""
     spark = df.sparkSession
-    counts = (breakdowns_one_pass(df, show_unknowns=show_unknowns)
-              .select("section", "label", F.col("count").cast("string").alias("count")))
+    places = F.array_position(F.array(*map(F.lit, SECTIONS)), F.col("section")).cast("int")
+    counts = breakdowns_one_pass(df, show_unknowns=show_unknowns).select(
+        "section", "label", F.col("count").cast("string").alias("count"), places.alias("_place"), (-F.col("count")).alias("_rank"))
     extra = [("", "", "")] + [("Context", str(k), str(v)) for k, v in context.items()]
-    ctx = spark.createDataFrame(extra, "section string, label string, count string")
-    return counts.unionByName(ctx)
+    ctx = spark.createDataFrame([(*row, len(SECTIONS) + 1, i) for i, row in enumerate(extra)],
+                                "section string, label string, count string, _place int, _rank bigint")
+    rows = counts.unionByName(ctx)
+    if ordered:
+        rows = rows.orderBy("_place", "_rank", "label")
+    return rows.drop("_place", "_rank")
 
 
 def entity_catalog(df: DataFrame) -> DataFrame:

@@ -11,13 +11,13 @@ from __future__ import annotations
 import csv
 import uuid
 from functools import reduce
-from typing import Iterable, Sequence
+from typing import Iterable, Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators import filters, merge
+from ..operators import aggregates, filters, merge
 from ..operators import vectors as vec
 from ..operators.normalize import empty_calls, normalize_calls
 from ..schema import CALL_COLUMNS, CALLS, EXCLUDED, PAYLOAD
@@ -93,6 +93,13 @@ def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).options(**CSV_OPTIONS).csv(path)
 
 
+def write_summary(df: DataFrame, context: Mapping[str, object], path: str, *, show_unknowns: bool = False) -> None:
+    """The summary as one CSV file in its fixed order. It has a row for each label, of which
+    there are a few, and for each context entry, so one task writes it."""
+    aggregates.summary_sections(df, context, show_unknowns=show_unknowns, ordered=True).coalesce(1).write.mode(
+        "overwrite").options(**CSV_OPTIONS).option("emptyValue", "").csv(path)
+
+
 # ------------------------------------------------------------------ snapshots
 def _fs(spark: SparkSession, path: str):
     jvm = spark.sparkContext._jvm

@@ -41,3 +41,27 @@ def test_breakdowns_one_pass_matches_separate(spark):
     one = {(r.section, r.label): r["count"] for r in agg.breakdowns_one_pass(df).collect()}
     assert one[("Connection", "Connected")] == 3 and one[("Types", "Support")] == 2
     assert one[("Outcomes", "Unknown")] == 1
+
+
+def test_summary_file_in_its_order(spark, tmp_path):
+    import glob
+
+    from callsight.sources import io
+
+    io.write_summary(_df(spark), {"from": "2025-08-01", "agent": "(All)"}, str(tmp_path / "summary"))
+    (file,) = glob.glob(str(tmp_path / "summary" / "part-*.csv"))
+    with open(file, encoding="utf-8") as lines:
+        rows = [line.strip() for line in lines]
+    assert rows[:4] == ["section,label,count", "Connection,Connected,3", "Connection,Disconnected,2", "Types,Support,2"]
+    assert rows[-3:] == [",,", "Context,from,2025-08-01", "Context,agent,(All)"]
+
+
+def test_answer_sentences(spark):
+    scope = spark.createDataFrame([("q", str(k), "Support" if k % 2 else "Inquiry", "Refund") for k in range(7)],
+                                  "question_id string, call_id string, Type string, Outcome string")
+    specs = spark.createDataFrame([("q", dt.date(2025, 8, 1), dt.date(2025, 8, 2)), ("none", None, None)],
+                                  "question_id string, date_from date, date_to date")
+    out = {r.question_id: r.answer for r in agg.answer_sentences(scope, specs, shown=3).collect()}
+    assert out["q"] == ("Showing top 3 of 7 calls. Date range: 2025-08-01 → 2025-08-02. Top types: Inquiry (2), Support (1). "
+                        "Top outcomes: Refund (3).")
+    assert out["none"] == "0 calls in scope."
