@@ -74,11 +74,12 @@ def judge(captures: DataFrame, entries: DataFrame, url: str = "url", day: str =
                .withColumn("month", F.explode(F.expr("sequence(trunc(since, 'MM'), trunc(end, 'MM'), interval 1 month)"))))
     keys = _keys(rows.where("url is not null and day is not null"), depths).withColumn("month", F.trunc("day", "MM"))
     rank = F.create_map(*[x for k, n in KINDS.items() for x in (F.lit(k), F.lit(n))])
-    found = (keys.join(monthly.withColumnRenamed("pattern", "key"), ["kind", "key", "month"])
+    # the lists' size has no bound, and a written table compresses far below its size: no broadcast
+    found = (keys.join(monthly.withColumnRenamed("pattern", "key").hint("merge"), ["kind", "key", "month"])
              .where(F.col("day").between(F.col("since"), F.col("end")))
              .groupBy("row").agg(F.min(F.struct((-rank[F.col("kind")]).alias("rank"), (-F.length("key")).alias("length"),
                                                 "verdict", "list", "kind", F.col("key").alias("pattern"))).alias("m")))
-    return rows.join(found, "row", "left").select("capture", "m.verdict", "m.list", "m.kind", "m.pattern")
+    return rows.join(found.hint("merge"), "row", "left").select("capture", "m.verdict", "m.list", "m.kind", "m.pattern")
 
 
 def filtered(captures: DataFrame, entries: DataFrame, url: str = "url", day: str = "day") -> DataFrame:
