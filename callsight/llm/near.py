@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .probe import among, without
+from .probe import Probe, among, without
 from .staging import stage
 from .words import mix, shingles, slices, words_of
 
@@ -97,11 +97,22 @@ def _prefixes(trees: int, levels: tuple[int, ...]):
     return run, "id long, " + ", ".join(f"{n} long" for n in names)
 
 
-def candidates(signatures: DataFrame, trees: int = TREES, levels: tuple[int, ...] = LEVELS,
-               crowd: int = CROWD) -> DataFrame:
-    """Distinct pairs (a < b) of ids to compare. signatures: id, signature."""
+def prefixes(signatures: DataFrame, copies: DataFrame, trees: int = TREES, levels: tuple[int, ...] = LEVELS) -> DataFrame:
+    """id and a prefix key for every level, a row for each tree, without the ids listed as copies.
+
+    signatures: doc_id, signature. Signatures that the list can't concern aren't shuffled; the filter
+    and the keys share one Python worker."""
     run, kind = _prefixes(trees, levels)
-    rows = signatures.mapInArrow(run, kind)
+    probe = Probe(copies)
+    clear = probe.keep(False)
+    listed = copies.toDF("_listed").distinct().hint("merge")
+    doubtful = signatures.mapInArrow(probe.keep(True), signatures.schema)
+    doubtful = doubtful.join(listed, doubtful["doc_id"] == listed["_listed"], "left_anti")
+    return signatures.mapInArrow(lambda batches: run(clear(batches)), kind).union(doubtful.mapInArrow(run, kind))
+
+
+def candidates(rows: DataFrame, levels: tuple[int, ...] = LEVELS, crowd: int = CROWD) -> DataFrame:
+    """Distinct pairs (a < b) of ids to compare. rows: id and its prefix keys in each tree."""
     names = [f"k{d}" for d in levels]
     shared = rows.groupBy(names[0]).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     rows = stage(rows.join(shared, names[0]), "near-prefixes")
@@ -170,8 +181,8 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, trees: in
     classes = stage(full.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "near-classes")
     # copies of another document's set stay out of the forest; few rows are on that list, so few are shuffled
     copies = (full.select("digest", "doc_id").join(classes.where("n > 1"), "digest").where("doc_id != id").select("doc_id"))
-    signatures = without(full.select("doc_id", "signature"), "doc_id", stage(copies, "near-copies")).toDF("id", "signature")
-    pairs = stage(candidates(signatures, trees, levels, crowd), "near-pairs")
+    rows = prefixes(full.select("doc_id", "signature"), stage(copies, "near-copies"), trees, levels)
+    pairs = stage(candidates(rows, levels, crowd), "near-pairs")
     links = confirmed(pairs, texts.where("doc_id is not null").toDF("id", "text"), percent, size)
     reached = components(links.toDF("u", "v"))
     members = classes.join(reached, "id", "left").select("digest", F.coalesce("component_id", "id").alias("component_id"))

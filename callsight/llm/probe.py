@@ -50,15 +50,28 @@ class Probe:
 
         @F.arrow_udf("boolean")
         def maybe(ids: pa.Array) -> pa.Array:
-            words = shared.value
-            known = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-            out = np.ones(len(known), bool)
-            for place in _places(known, bits):
-                out &= (words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
-            return pa.array(out | ids.is_null().to_numpy(zero_copy_only=False))
+            return pa.array(_mask(shared.value, bits, ids))
 
         return maybe(F.col(column))
 
+    def keep(self, wanted: bool):
+        """For mapInArrow: the rows whose first column may be on the list, or those for which it can't."""
+        shared, bits = self.shared, self.bits
+
+        def run(batches):
+            for batch in batches:
+                yield batch.filter(pa.array(_mask(shared.value, bits, batch.column(0)) == wanted))
+
+        return run
+
+
+def _mask(words: np.ndarray, bits: int, ids: pa.Array) -> np.ndarray:
+    known = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+    out = np.ones(len(known), bool)
+    for place in _places(known, bits):
+        out &= (words[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)
+    return out | ids.is_null().to_numpy(zero_copy_only=False)
+
 
 def without(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
     """The rows whose id is not on the list (null ids stay). ids: one long column, a written table."""
@@ -69,7 +82,9 @@ def without(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
 
 
 def among(rows: DataFrame, column: str, ids: DataFrame) -> DataFrame:
-    """The rows whose id is on the list. ids: one long column, a written table."""
-    suspect = rows.where(Probe(ids).maybe(column))
-    listed = ids.toDF("_listed").distinct()
+    """The rows whose id, their first column, is on the list. ids: one long column, a written table.
+
+    The few rows that may be are shuffled: what follows runs in a stage, and so in Python workers, of its own."""
+    suspect = rows.mapInArrow(Probe(ids).keep(True), rows.schema)
+    listed = ids.toDF("_listed").distinct().hint("merge")
     return suspect.join(listed, suspect[column] == listed["_listed"], "left_semi")
