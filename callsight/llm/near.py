@@ -8,9 +8,13 @@ members of each run that is small enough, and, in a crowded run at any level, ea
 the run's leader, which is found by going down the run's most crowded branch. All candidates are
 confirmed on the full sets; links become components by star contraction.
 
-Equal sets are one class: only its smallest doc_id enters the forest. With 16 trees and a first
-level of 4, a pair at similarity 0.85 outside crowded runs is missed with probability
-(1 - 0.85 ** 4) ** 16, under 1 in 100,000.
+What crowded runs leave uncompared is found exactly: the members of runs that are crowded at the
+first level are joined on the rarest shingles of their sets (prefix and position filter). Only pairs
+of different components are made, so a large group of near copies makes none inside itself.
+
+Equal sets are one class: only its smallest doc_id enters the forest. A pair is lost only if it
+shares no first-level run in any tree; for a pair at similarity s that is (1 - s ** 4) ** trees.
+There are 16 trees, or as many more as keep it under ``MISSED`` at ``percent`` (22 at 80).
 
 Defined cases: null, empty and blank texts have no shingles, are linked with nothing and are
 their own component; a text of fewer than five words has its word sequence as its one shingle;
@@ -20,6 +24,7 @@ them); repeated rows of one id count as copies of each other, and ``deduplicate`
 
 from __future__ import annotations
 
+import math
 from functools import reduce
 
 import numpy as np
@@ -33,6 +38,16 @@ from .staging import stage
 from .words import mix, shingles, slices, words_of
 
 TREES, LEVELS, CROWD = 16, (4, 6, 8, 10, 12), 24
+#: chance at most that a pair at the asked similarity shares no first-level run
+MISSED = 1e-5
+#: counters that order the shingles by how many sets hold them; two that share one only change the order
+COUNTERS = 1 << 20
+
+
+def trees_for(percent: int, level: int = LEVELS[0]) -> int:
+    """Trees that keep the chance of a missed pair under ``MISSED``, at least ``TREES``."""
+    shared = (percent / 100) ** level
+    return TREES if shared >= 1 else max(TREES, math.ceil(math.log(MISSED) / math.log1p(-shared)))
 
 
 def _hash_family(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -111,8 +126,10 @@ def prefixes(signatures: DataFrame, copies: DataFrame, trees: int = TREES, level
     return signatures.mapInArrow(lambda batches: run(clear(batches)), kind).union(doubtful.mapInArrow(run, kind))
 
 
-def candidates(rows: DataFrame, levels: tuple[int, ...] = LEVELS, crowd: int = CROWD) -> DataFrame:
-    """Distinct pairs (a < b) of ids to compare. rows: id and its prefix keys in each tree."""
+def candidates(rows: DataFrame, levels: tuple[int, ...] = LEVELS, crowd: int = CROWD) -> tuple[DataFrame, DataFrame]:
+    """Distinct pairs (a < b) of ids to compare, and the ids in runs that are crowded at the first level.
+
+    rows: id and its prefix keys in each tree."""
     names = [f"k{d}" for d in levels]
     shared = rows.groupBy(names[0]).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     rows = stage(rows.join(shared, names[0]), "near-prefixes")
@@ -130,6 +147,8 @@ def candidates(rows: DataFrame, levels: tuple[int, ...] = LEVELS, crowd: int = C
         around = around.join(tables[name].select(name, f"n_{name}", f"l_{name}"), name)
     around = stage(around, "near-runs")
     region = F.coalesce(*[F.when(F.col(f"n_{x}") <= crowd, F.col(x)) for x in names])
+    full = around.where(F.col(f"n_{names[0]}") > crowd).select(names[0]).distinct()
+    crowded = rows.join(full, names[0], "left_semi").select("id").distinct()
     rows = rows.join(around.withColumn("region", region), names)
     close = (rows.where("region is not null").groupBy("region").agg(F.array_sort(F.collect_set("id")).alias("ids"))
              .where("size(ids) > 1").select(F.posexplode("ids").alias("i", "a"), "ids")
@@ -138,7 +157,74 @@ def candidates(rows: DataFrame, levels: tuple[int, ...] = LEVELS, crowd: int = C
     led = reduce(DataFrame.union, [
         rows.where(F.col(f"n_{x}") > crowd).select(F.least("id", f"l_{x}").alias("a"), F.greatest("id", f"l_{x}").alias("b"))
         for x in names])
-    return close.union(led).where("a != b").distinct()
+    return close.union(led).where("a != b").distinct(), crowded
+
+
+def _sets(size: int):
+    def run(batches):
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), size)],
+                                                             pa.binary())], ["id", "shingles"])
+
+    return run
+
+
+def _count(batches):
+    """(slot, n): how many sets hold a shingle of each counter."""
+    out = np.zeros(COUNTERS, np.int64)
+    for batch in batches:
+        for k in range(0, batch.num_rows, 256):
+            values = np.frombuffer(b"".join(batch.column(0)[k:k + 256].to_pylist()), np.uint64)
+            out += np.bincount((values & np.uint64(COUNTERS - 1)).astype(np.int64), minlength=COUNTERS)
+    some = np.flatnonzero(out)
+    yield pa.record_batch([pa.array(some), pa.array(out[some])], ["slot", "n"])
+
+
+def _rarest(percent: int, shared):
+    """The rarest shingles of each set, as many as a set of the asked similarity can't all miss, with their places."""
+    def run(batches):
+        counts = shared.value
+        for batch in batches:
+            for k in range(0, batch.num_rows, 256):
+                ids, groups, sets = (batch.column(c)[k:k + 256] for c in range(3))
+                first, sizes = [], []
+                for value in sets:
+                    values = np.frombuffer(value.as_buffer(), np.uint64)
+                    order = np.lexsort((values, counts[(values & np.uint64(COUNTERS - 1)).astype(np.int64)]))
+                    first.append(values[order[:len(values) - -(-len(values) * percent // 100) + 1]])
+                    sizes.append(len(values))
+                lengths = np.array([len(f) for f in first], np.int64)
+                spread = [np.repeat(x, lengths) for x in (ids.to_numpy(zero_copy_only=False), groups.to_numpy(zero_copy_only=False), sizes)]
+                places = np.concatenate([np.arange(n) for n in lengths])
+                yield pa.record_batch([pa.array(np.concatenate(first).view(np.int64)), *[pa.array(x, pa.int64()) for x in (*spread, places)]],
+                                      ["shingle", "id", "component", "n", "place"])
+
+    return run
+
+
+def crowd_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """Distinct pairs (a < b) of different components, with every pair of the asked similarity among them.
+
+    sets: id, component, shingles, a written table. In one order of all shingles, rarest first, two sets
+    of n <= m shingles that share ``need`` = percent * (n + m) / (100 + percent) have their first shared
+    one in front of the last ``need`` of both; the smaller set needs only the places that it could have
+    with an equally large one. Of each shingle's largest component only the pairs with others are made."""
+    rows = sets.select("shingles").mapInArrow(_count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    counts = np.zeros(COUNTERS, np.int64)
+    counts[rows["slot"].to_numpy()] = rows["n"].to_numpy()
+    shared = sets.sparkSession.sparkContext.broadcast(counts)
+    places = stage(sets.mapInArrow(_rarest(percent, shared), "shingle long, id long, component long, n long, place long"), "near-places")
+    mixed = (places.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k")).groupBy("shingle")
+             .agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count(F.lit(1)).alias("components"))
+             .where("components > 1").select("shingle", "main"))
+    places = stage(places.join(mixed, "shingle").withColumn("other", F.col("component") != F.col("main")).drop("main"), "near-mixed")
+    x = places.where(f"(n - place) * {100 + percent} >= 2 * {percent} * n").alias("x")
+    y = places.alias("y")
+    fits = F.expr(f"""x.shingle = y.shingle and x.component != y.component and (x.n < y.n or x.n = y.n and x.id < y.id)
+        and x.n * 100 >= y.n * {percent} and least(x.n - x.place, y.n - y.place) * {100 + percent} >= {percent} * (x.n + y.n)""")
+    pairs = [x.where(a).join(y.where(b), fits).select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+             for a, b in (("true", "y.other"), ("x.other", "not y.other"))]
+    return pairs[0].union(pairs[1]).distinct()
 
 
 def _alike(percent: int):
@@ -156,13 +242,8 @@ def _alike(percent: int):
 
 def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, size: int = 5) -> DataFrame:
     """Pairs whose full shingle sets reach the similarity. docs: id, text."""
-    def sets(batches):
-        for batch in batches:
-            yield pa.record_batch([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), size)],
-                                                             pa.binary())], ["id", "shingles"])
-
     wanted = stage(pairs.select("a").union(pairs.select("b")).distinct(), "near-wanted")
-    kept = stage(among(docs, "id", wanted).mapInArrow(sets, "id long, shingles binary"), "near-sets")
+    kept = stage(among(docs, "id", wanted).mapInArrow(_sets(size), "id long, shingles binary"), "near-sets")
     # few shingles can't reach the share of many: pairs of too unequal size leave before the sets are moved
     sizes = kept.select("id", F.octet_length("shingles").alias("n"))
     fair = (pairs.join(sizes.toDF("a", "n"), "a").join(sizes.toDF("b", "m"), "b")
@@ -171,9 +252,10 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, size: int = 5) ->
             .where(_alike(percent)("x", "y")).select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, trees: int = TREES,
+def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, trees: int | None = None,
                     levels: tuple[int, ...] = LEVELS, crowd: int = CROWD) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row; linked means similarity of ``percent`` or more."""
+    trees = trees or trees_for(percent, levels[0])
     texts = docs.select("doc_id", "text")
     sketches = stage(texts.mapInArrow(_sketch(size, trees, levels[-1]),
                                       "doc_id long, n_shingles long, digest binary, signature binary"), "near-sketches")
@@ -182,9 +264,17 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, trees: in
     # copies of another document's set stay out of the forest; few rows are on that list, so few are shuffled
     copies = (full.select("digest", "doc_id").join(classes.where("n > 1"), "digest").where("doc_id != id").select("doc_id"))
     rows = prefixes(full.select("doc_id", "signature"), stage(copies, "near-copies"), trees, levels)
-    pairs = stage(candidates(rows, levels, crowd), "near-pairs")
-    links = confirmed(pairs, texts.where("doc_id is not null").toDF("id", "text"), percent, size)
-    reached = components(links.toDF("u", "v"))
+    pairs, crowded = candidates(rows, levels, crowd)
+    keyed = texts.where("doc_id is not null").toDF("id", "text")
+    reached = components(confirmed(stage(pairs, "near-pairs"), keyed, percent, size).toDF("u", "v"))
+    crowded = stage(crowded, "near-crowded")
+    if not crowded.isEmpty():
+        reached = stage(reached, "near-reached")
+        sets = among(keyed, "id", crowded).mapInArrow(_sets(size), "id long, shingles binary").join(reached, "id", "left")
+        sets = stage(sets.select("id", F.coalesce("component_id", "id").alias("component"), "shingles"), "near-crowd-sets")
+        pairs = stage(crowd_pairs(sets, percent), "near-crowd-pairs")
+        if not pairs.isEmpty():
+            reached = components(reached.union(confirmed(pairs, keyed, percent, size)).toDF("u", "v"))
     members = classes.join(reached, "id", "left").select("digest", F.coalesce("component_id", "id").alias("component_id"))
     return (sketches.select("doc_id", "n_shingles", "digest").join(members, "digest", "left")
             .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id"))

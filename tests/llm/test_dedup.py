@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 
 from callsight.llm import components, exact, near
@@ -119,6 +120,45 @@ def test_near_large_group_of_equal_and_near_texts(docs):
     assert sorted(tuple(r) for r in got) == brute_near(rows, 85)
 
 
+def crowd_rows(seed=3, n=1100, pairs=60):
+    """Texts around one passage at similarity 0.7 to 0.8 to each other, holding isolated pairs at 0.81 and 0.86."""
+    rng = random.Random(seed)
+    passage = [f"p{k}" for k in range(200)]
+    fresh = lambda k: [f"u{rng.randrange(10 ** 9)}" for _ in range(k)]
+    texts = [passage + fresh(rng.choice([28, 32, 36])) for _ in range(n - 2 * pairs)]
+    for k in range(pairs):
+        same = fresh(8 if k % 2 else 15)
+        texts += [passage + same + fresh(32 - len(same)) for _ in range(2)]
+    rng.shuffle(texts)
+    return [(k, " ".join(t)) for k, t in enumerate(texts)]
+
+
+@pytest.mark.parametrize("percent,dropped", [(80, 60), (85, 30)])
+def test_near_pairs_inside_a_crowd(docs, percent, dropped):
+    rows = crowd_rows()
+    sets = [shingle_set(t) for _, t in rows]
+    number = {}
+    for x in sets:
+        for shingle in x:
+            number.setdefault(shingle, []).append(0)
+    number = {shingle: k for k, shingle in enumerate(s for s, held in number.items() if len(held) > 1)}
+    holds = np.zeros((len(sets), len(number)), np.float32)
+    for k, x in enumerate(sets):
+        holds[k, [number[s] for s in x if s in number]] = 1
+    n = np.array([len(x) for x in sets])
+    both = np.rint(holds @ holds.T).astype(int)
+    alike = np.triu(100 * both >= percent * (n[:, None] + n[None, :] - both), 1)
+    first = {int(b): int(a) for a, b in np.argwhere(alike)}             # isolated pairs: no chains
+    assert len(first) == dropped and not set(first) & set(first.values())
+    want = [(k, int(n[k]), first.get(k, k), k not in first) for k in range(len(rows))]
+    assert sorted(tuple(r) for r in near.near_duplicates(docs(rows), percent).collect()) == want
+
+
+def test_near_trees_follow_the_similarity():
+    assert (near.trees_for(85), near.trees_for(80), near.trees_for(100)) == (16, 22, 16)
+    assert all((1 - (p / 100) ** 4) ** near.trees_for(p) <= near.MISSED for p in range(50, 101))
+
+
 def test_near_defined_cases(docs):
     rows = [(None, "a b c d e f"), (1, "a b c d e f"), (3, "a b c d e f"), (3, "a b c d e f"), (2, None)]
     got = sorted([tuple(r) for r in near.near_duplicates(docs(rows)).collect()], key=str)
