@@ -28,7 +28,7 @@ SEQUENCE = ("_time", "_file", "_row")
 def merge_batch(batch: DataFrame, batch_id: int, snapshot_root: str, rejects_root: str,
                 rules: lab.RuleSet = lab.DEFAULT_RULES) -> None:
     """Merge one micro-batch. A replayed batch gives the same snapshot, and its rejects replace
-    those of its first run (they are kept by batch)."""
+    those of its first run (they are kept by batch, every rejected row)."""
     spark = batch.sparkSession
     order = [c for c in SEQUENCE if c in batch.columns]
     if "_row" in order:
@@ -41,7 +41,7 @@ def merge_batch(batch: DataFrame, batch_id: int, snapshot_root: str, rejects_roo
         mg.union_all([current.withColumn("_b", F.lit(-1)), labeled.withColumn("_b", F.lit(int(batch_id)))]),
         ("call_id", "start_time"), ("_b", *order)).drop("_b", *order)
     io.save_calls_snapshot(merged, snapshot_root)
-    excluded.distinct().write.mode("overwrite").parquet(f"{rejects_root}/batch={int(batch_id)}")
+    excluded.write.mode("overwrite").parquet(f"{rejects_root}/batch={int(batch_id)}")
 
 
 def start_ingest(spark: SparkSession, landing: str, snapshot_root: str, rejects_root: str,
