@@ -4,7 +4,9 @@ First pass: every block element outside a page's article is hashed with its whol
 text, without attributes), and Spark counts on how many different pages of its host each hash
 occurs; copies of one page count once. Subtrees on at least ``min_pages`` pages and ``share`` of the
 host's pages are site template. Second pass: they are deleted, together with what its own markup
-tells to be no content (menus, footers, adverts, forms, comments and so on, by tag, role and class);
+tells to be no content (menus, footers, adverts, forms, comments and so on, by tag, role, class and id;
+of classes and ids only whole names such as ``sidebar`` or ``share-buttons``, and never on what holds
+the page's article or most of its text, nor inside an article on prose or by id);
 of the rest, the article is the largest ``article`` element, else ``main``, else the body, there
 without lists that are mostly links. Paragraphs and headings of an article are never template,
 however often they recur, and neither is the article itself.
@@ -30,9 +32,10 @@ MIN_PAGES, SHARE = 4, 0.3
 
 # tags of HTML by what they mean here (fixed values)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style title textarea noscript template iframe svg math object canvas audio video".split())
+_RAW = frozenset("script style title textarea noscript template iframe svg annotation annotation-xml object canvas audio video".split())
 _INLINE = frozenset("""a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp
-small span strike strong sub sup time tt u var wbr br img""".split())
+small span strike strong sub sup time tt u var wbr br img math semantics mrow mi mn mo ms mtext mspace mfrac msqrt mroot
+mstyle mpadded mphantom menclose mfenced msub msup msubsup munder mover munderover mtable mtr mtd""".split())
 _PROSE = frozenset("""p h1 h2 h3 h4 h5 h6 pre blockquote ul ol li dl dt dd table thead tbody tfoot tr td th caption
 figure figcaption hr""".split())
 _CLOSES_P = frozenset("""address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer
@@ -48,37 +51,59 @@ login share sharing social menu nav navbar navigation breadcrumb breadcrumbs sid
 comment comments disqus replies respond related recommended recommendations widget pagination pager toolbar skip
 """.split())
 
+# words that may stand beside one of these in a class or id
+_BESIDE = frozenset("""bar block box button buttons container icon icons item items links list section slot unit wrap wrapper
+site page main top bottom left right primary secondary post""".split())
+# in an article these are its own title, or remarks
+_ARTICLE_CLASS = frozenset("header banner masthead notice notification".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|![^>]*>|\?[^>]*>|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _ATTRIBUTES = re.compile(r"<(/?[a-z][^\s/>]*)[^>]*>")
 
 
 class Node:
-    __slots__ = ("tag", "children", "bad", "main", "begin", "end", "inside", "size", "links")
+    __slots__ = ("tag", "children", "bad", "main", "begin", "end", "inside", "size", "links", "named")
 
     def __init__(self, tag: str, begin: int, bad: bool, main: str, inside: bool):
         self.tag, self.begin, self.end, self.bad, self.main, self.inside = tag, begin, begin, bad, main, inside
         self.children: list = []  # nodes, and decoded texts
         self.size = self.links = 0
+        self.named = False  # bad by class or id alone
 
 
-def _judge(tag: str, attributes: str, inside: bool) -> tuple[bool, str]:
-    """Whether an element's own markup says that it is no content, and which kind of article it is, if any."""
+def _named(tag: str, found: dict, inside: bool) -> bool:
+    """Whether a class or id is, as a whole, a name of what is no content."""
+    if tag in ("html", "body", "main") or tag in _HEADINGS or inside and tag in _PROSE and tag not in ("ul", "ol", "li"):
+        return False
+    names = found.get("class", "").split() + ([] if inside else [found.get("id", "").strip()])
+    for name in names:
+        words = set(re.split(r"[^a-z0-9]+", name.lower())) - {""}
+        told = words & _NO_CLASS - (_ARTICLE_CLASS if inside else frozenset())
+        if told and words <= told | _BESIDE:
+            return True
+    return False
+
+
+def _judge(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, str]:
+    """Whether an element's own markup says that it is no content, whether its class or id alone does, and
+    which kind of article it is, if any."""
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTRIBUTE.finditer(attributes)} if "=" in attributes or "hidden" in attributes else {}
     role = found.get("role", "").lower()
-    words = set(re.split(r"[^a-z0-9]+", f"{found.get('class', '')} {found.get('id', '')}".lower())) if found else set()
     bad = (tag in _NO_CONTENT and not (tag == "header" and inside)) or role in _NO_ROLE or "hidden" in found \
         or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower()
-    bad = bad or tag not in ("html", "body", "main") and bool(words & _NO_CLASS)
+    named = not bad and bool(found) and _named(tag, found, inside)
+    bad = bad or named
     kind = "" if bad else "article" if tag == "article" or found.get("itemprop", "").lower() == "articlebody" \
         else "main" if tag == "main" or role == "main" else ""
-    return bad, kind
+    return bad, named, kind
 
 
 def parse(html: str) -> Node:
     """The element tree of a page; unknown and broken markup is read as leniently as needed."""
     root = Node("#root", 0, False, "", False)
-    stack, at, low = [root], 0, None
+    stack, at, low, any_named = [root], 0, None, False
 
     def close(n: int, end: int) -> None:
         while len(stack) > n:
@@ -137,16 +162,34 @@ def parse(html: str) -> Node:
                     close(n, m.start())
                     break
         inside = stack[-1].inside or bool(stack[-1].main)
-        bad, kind = _judge(tag, m[3], inside)
+        bad, named, kind = _judge(tag, m[3], inside)
         node = Node(tag, m.start(), bad, kind, inside)
+        node.named, any_named = named, any_named or named
         stack[-1].children.append(node)
         if not m[0].endswith("/>") or tag not in ("a", "b", "i", "span"):
             stack.append(node)
     close(1, len(html))
     root.end = len(html)
+    if any_named:
+        _spare(root)
     return root
 
 
+def _spare(root: Node) -> None:
+    """A class or id can't tell that what holds the only article, or most of the text, is no content."""
+    article = _article(root)
+    if article is None:
+        article = _article(root, named=True)
+        holders = _holders(root, article)
+        for node in _walk(root):
+            if id(node) in holders and node.named:
+                node.bad = False
+    top = article or root
+    for node in _walk(top):
+        if node.named and node.size * 2 > top.size:
+            node.bad = False
+
+
 def _walk(node: Node):
     todo = [node]
     while todo:
@@ -167,13 +210,14 @@ def _templated(node: Node, holds_article: set) -> bool:
         and id(node) not in holds_article and not (node.inside and node.tag in _PROSE)
 
 
-def _article(root: Node, dropped=frozenset(), hashes=None) -> Node | None:
-    """The largest article, else main; none if the page has neither outside of what goes."""
+def _article(root: Node, dropped=frozenset(), hashes=None, named: bool = False) -> Node | None:
+    """The largest article, else main; none if the page has neither outside of what goes. ``named``: also
+    inside of what only a class or id tells to be no content."""
     best: dict[str, Node] = {}
     todo = [root]
     while todo:
         node = todo.pop()
-        if node.bad or hashes and hashes.get(id(node)) in dropped:
+        if node.bad and not (named and node.named) or hashes and hashes.get(id(node)) in dropped:
             continue
         if node.main and node.size > (best[node.main].size if node.main in best else 0):
             best[node.main] = node

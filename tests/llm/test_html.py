@@ -29,6 +29,20 @@ def test_cases(page, text):
     assert html.extract(page) == text
 
 
+@pytest.mark.parametrize("page,text", [
+    ("<body><div class='site no-sidebar'><article><p>a</p></article></div>", "a"),
+    ("<body><div class='content-with-sidebar'><p>a</p></div>", "a"),
+    ("<body><div id=sidebar><article><p>a</p></article></div>", "a"), ("<body><div class=widget><p>most of it</p></div><p>b</p>", "most of it\n\nb"),
+    ("<article><h2 id='related-work'>Related</h2><section id='comments-on-x'><p>c</p></section><p class=notice>n</p>", "Related\n\nc\n\nn"),
+    ("<article>" + "".join(f"<h2 id='{w}'>{w}</h2>" for w in ("share", "header", "social-banner", "promotion", "ad")), "share\n\nheader\n\nsocial-banner\n\npromotion\n\nad"),
+    ("<p>So <math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math> holds", "So x=2 holds"),
+    ("<div class='left-sidebar'>s</div><div class='cookie-banner'>c</div><section id=comments>d</section><p>The text</p>", "The text"),
+    ("<article><p>The long text</p><ul class='share-links'><li>s</ul></article>", "The long text"),
+])
+def test_names_hide_no_text(page, text):
+    assert html.extract(page) == text
+
+
 def site(spark):
     rows = []
     for k in range(12):
