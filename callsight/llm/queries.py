@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, html, huffman, near, packing, quality, sharding, surrogates, urllists
-from .staging import table
+from . import decontaminate, exact, html, huffman, near, packing, quality, sharding, surrogates, trie, urllists
+from .staging import stage, table
 
 #: key of the registered query; a real run brings its own
 SURROGATE_KEY = "registered-query"
@@ -93,6 +93,13 @@ def op10_quality(spark, sf_dir):
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op13_prefix_trie(spark, sf_dir):
+    """Every conversation begins with up to 8 turns of the first of its five, as many as its number gives."""
+    turns = stage(trie.sequences(table(spark, sf_dir, "conversations")), "conversations")
+    shared = F.crc32(F.col("conv_id").cast("string")) % 9
+    return trie.trie(trie.with_shared_heads(turns, F.expr("conv_id - conv_id % 5"), shared, 8))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
@@ -143,6 +150,30 @@ m AS (
 SELECT p.page_id, p.url, strftime(p.day, '%Y-%m-%d') AS day, m.verdict, m.list, m.kind, m.pattern
 FROM p LEFT JOIN m ON p.r = m.r AND m.best = 1"""
 
+OP13_SQL = """
+WITH t AS (
+  SELECT conv_id, list({'role': coalesce(role, ''), 'text': coalesce(text, '')} ORDER BY turn NULLS FIRST, role, text) AS turns
+  FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (
+  SELECT *, xor(list_reduce([4294967295::BIGINT] || list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT),
+                            lambda crc, x: xor(crc >> 8, list_reduce([xor(crc, x) & 255, 0, 0, 0, 0, 0, 0, 0, 0],
+                                                                     lambda a, z: xor(a >> 1, 3988292384::BIGINT * (a & 1))))),
+                4294967295::BIGINT) % 9 AS h FROM t),
+r AS (
+  SELECT a.conv_id, coalesce(b.turns[1:a.h], []) || a.turns[a.h + 1:] AS turns FROM h a LEFT JOIN t b ON b.conv_id = a.conv_id - a.conv_id % 5),
+m AS (SELECT conv_id, len(turns) AS n, unnest(range(0, len(turns) + 1)) AS depth, turns FROM r),
+p AS (SELECT conv_id, n, depth, turns[1:depth] AS prefix FROM m),
+v AS (
+  SELECT prefix, depth, min(conv_id) AS conv_id, count(*) AS n_convs,
+         (count(*) - 1) * CASE WHEN depth = 0 THEN 0 ELSE strlen(prefix[depth]['text']) END AS saved,
+         sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (n = depth), '')) AS ends_sha256
+  FROM p GROUP BY prefix, depth),
+c AS (SELECT v.*, (SELECT count(*) FROM v w WHERE w.depth = v.depth + 1 AND w.prefix[1:v.depth] = v.prefix) AS n_children FROM v),
+u AS (SELECT prefix, unnest(range(0, depth + 1)) AS top, (n_children = 0)::INT AS leaf, saved FROM c),
+s AS (SELECT prefix[1:top] AS prefix, sum(leaf) AS n_leaves, sum(saved) AS saved_tokens FROM u GROUP BY 1)
+SELECT c.conv_id, c.depth, o.conv_id AS parent_conv_id, c.n_convs, c.n_children, s.n_leaves, s.saved_tokens, c.ends_sha256
+FROM c JOIN s ON s.prefix = c.prefix LEFT JOIN v o ON o.depth = c.depth - 1 AND o.prefix = c.prefix[1:c.depth - 1]"""
+
 QUERIES = {f.__name__: f for f in (op1_main_text, op2_near_dedup, op3_token_ids, op4_surrogates, op5_decontaminate, op6_exact_dedup, op7_sharding,
-                                op8_url_lists, op9_packing, op10_quality, pipeline)}
-ORACLES = {"op6_exact_dedup": OP6_SQL, "op8_url_lists": OP8_SQL}
+                                op8_url_lists, op9_packing, op10_quality, op13_prefix_trie, pipeline)}
+ORACLES = {"op6_exact_dedup": OP6_SQL, "op8_url_lists": OP8_SQL, "op13_prefix_trie": OP13_SQL}
