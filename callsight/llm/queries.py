@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from . import decontaminate, exact, html, huffman, near, packing, quality, sharding, surrogates, trie, urllists
+from . import decontaminate, exact, flatgraph, html, huffman, near, packing, quality, sharding, surrogates, trie, urllists, whitening
 from .staging import stage, table
 
 #: key of the registered query; a real run brings its own
@@ -93,6 +93,14 @@ def op10_quality(spark, sf_dir):
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_near_vectors(spark, sf_dir):
+    return flatgraph.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 def op13_prefix_trie(spark, sf_dir):
     """Every conversation begins with up to 8 turns of the first of its five, as many as its number gives."""
     turns = stage(trie.sequences(table(spark, sf_dir, "conversations")), "conversations")
@@ -175,5 +183,5 @@ SELECT c.conv_id, c.depth, o.conv_id AS parent_conv_id, c.n_convs, c.n_children,
 FROM c JOIN s ON s.prefix = c.prefix LEFT JOIN v o ON o.depth = c.depth - 1 AND o.prefix = c.prefix[1:c.depth - 1]"""
 
 QUERIES = {f.__name__: f for f in (op1_main_text, op2_near_dedup, op3_token_ids, op4_surrogates, op5_decontaminate, op6_exact_dedup, op7_sharding,
-                                op8_url_lists, op9_packing, op10_quality, op13_prefix_trie, pipeline)}
+                                op8_url_lists, op9_packing, op10_quality, op11_near_vectors, op12_whitening, op13_prefix_trie, pipeline)}
 ORACLES = {"op6_exact_dedup": OP6_SQL, "op8_url_lists": OP8_SQL, "op13_prefix_trie": OP13_SQL}
