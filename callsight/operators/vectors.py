@@ -23,6 +23,8 @@ from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..functions import vectors as vx
+from ..session import staged
+from .topk import RunningTopK, slices
 
 #: queries in a block, on average
 QUERY_BLOCK = 4096
@@ -71,14 +73,15 @@ def hash_embed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     (sorted by index; empty arrays for a text without tokens).
 
     A narrow projection: every row is embedded from its own text, so rows with equal or null
-    ids stay apart and nothing is shuffled. Counts come from the sorted buckets: the place of a
-    bucket's first occurrence, subtracted from that of the next bucket."""
+    ids stay apart and nothing is shuffled. Counts come from the sorted buckets, in one pass: the place
+    where a bucket begins, subtracted from that where the next one does."""
     buckets = F.array_sort(F.transform(vx.hash_tokens(F.col(text_col)), lambda t: vx.hash_bucket(t, dim)))
     # one-row generators keep the optimizer from evaluating the token work once per use
     rows = docs.select("*", F.inline(F.array(F.struct(buckets.alias("_b")))))
-    rows = rows.select("*", F.inline(F.array(F.struct(F.array_distinct("_b").alias("vec_idx")))))
-    first = F.transform("vec_idx", lambda x: F.array_position(F.col("_b"), x))
-    rows = rows.select("*", F.inline(F.array(F.struct(first.alias("_f")))))
+    begins = F.filter(F.transform("_b", lambda x, i: F.when((i == 0) | (x != F.try_element_at("_b", F.greatest(i, F.lit(1)))), i + 1)),
+                      lambda i: i.isNotNull())
+    rows = rows.select("*", F.inline(F.array(F.struct(begins.cast("array<bigint>").alias("_f")))))
+    rows = rows.select("*", F.inline(F.array(F.struct(F.transform("_f", lambda i: F.element_at("_b", i.cast("int"))).alias("vec_idx")))))
     after = F.concat(F.slice("_f", F.lit(2), F.greatest(F.size("_f") - 1, F.lit(0))),
                      F.array(F.size("_b").cast("bigint") + 1))
     counts = F.zip_with("_f", F.slice(after, F.lit(1), F.size("_f")), lambda x, y: (y - x).cast("double"))
@@ -134,15 +137,37 @@ def _pair_distance(cols: list[str], metric: str):
     return vx.distance_from_parts(dotp, F.col("_dsq"), F.col("_qsq"), metric)
 
 
+def dense(*columns, dim: int) -> np.ndarray:
+    """Rows of a list column (or of bucket and weight lists) as a matrix of ``dim`` columns."""
+    lengths = columns[0].value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    flat = [c.flatten().to_numpy(zero_copy_only=False) for c in columns]
+    if len(columns) == 1:
+        return flat[0].astype(np.float64).reshape(len(lengths), dim)
+    block = np.zeros((len(lengths), dim))
+    block[np.repeat(np.arange(len(lengths)), lengths), flat[0].astype(np.int64)] = flat[1]
+    return block
+
+
+def distances(block: np.ndarray, queries: np.ndarray, metric: str) -> np.ndarray:
+    """Distance of every row of a block to every query (V3)."""
+    if metric == "l2":
+        return np.stack([((block - v) ** 2).sum(axis=1) for v in queries], axis=1)
+    dots = block @ queries.T
+    if metric == "cosine":
+        den = np.sqrt((block * block).sum(axis=1))[:, None] * np.sqrt((queries * queries).sum(axis=1))[None, :]
+        dots = np.where(den == 0, 0.0, dots / np.where(den == 0, 1.0, den))
+    return 1.0 - dots
+
+
 def _score(docs: DataFrame, queries: DataFrame, k: int, metric: str,
            rank_digits: int | None) -> DataFrame:
     """Score every document against one block of queries; exact top-k per query.
 
-    The dot products are BLAS work: each task turns its documents into a dense block
-    (one Arrow batch at a time) and multiplies it with the broadcast query matrix, and
-    keeps a running top-k per query (ties -> doc_id) until its input ends. Only those
-    partial winners are shuffled; ``row_number() <= k`` picks the global top-k from them.
-    Squared L2 sums the squared differences: the expanded form loses small distances."""
+    The dot products are BLAS work: each task turns its documents into dense blocks of bounded
+    size, multiplies them with the broadcast query matrix and keeps a running top-k per query
+    (ties -> doc_id) until its input ends. Only those partial winners are shuffled;
+    ``row_number() <= k`` picks the global top-k from them. Squared L2 sums the squared
+    differences: the expanded form loses small distances. A row without a vector is no neighbour."""
     spark = docs.sparkSession
     rows = queries.select("query_id", "qvec").collect()          # one block
     if not rows:
@@ -155,52 +180,23 @@ def _score(docs: DataFrame, queries: DataFrame, k: int, metric: str,
     kk = int(k)
 
     def score(batches):
-        import pandas as pd
+        import pyarrow as pa
         q_ids, q = shared.value
-        q_sq = (q * q).sum(axis=1)
-        dim, nq = q.shape[1], len(q_ids)
-        best_key = np.empty((0, nq))                     # at most k rows: the best so far of every query
-        best_dist, best_id = np.empty((0, nq)), np.empty((0, nq), dtype=object)
-        for pdf in batches:
-            n = len(pdf)
-            if n == 0:
-                continue
-            if sparse:
-                lens = np.fromiter((len(x) for x in pdf["vec_idx"]), dtype=np.int64, count=n)
-                block = np.zeros((n, dim), dtype=np.float64)
-                if lens.sum():
-                    rows_ = np.repeat(np.arange(n), lens)
-                    cols = np.concatenate([np.asarray(x, dtype=np.int64) for x in pdf["vec_idx"]])
-                    vals = np.concatenate([np.asarray(x, dtype=np.float64) for x in pdf["vec_val"]])
-                    block[rows_, cols] = vals
-            else:
-                block = np.stack([np.asarray(x, dtype=np.float64) for x in pdf["_dv"]])
-            if metric == "l2":
-                dist = np.stack([((block - v) ** 2).sum(axis=1) for v in q], axis=1)
-            else:
-                dots = block @ q.T
-                if metric == "cosine":
-                    den = np.sqrt(pdf["_dsq"].to_numpy(dtype=np.float64))[:, None] * np.sqrt(q_sq)[None, :]
-                    dots = np.where(den == 0, 0.0, dots / np.where(den == 0, 1.0, den))
-                dist = 1.0 - dots
-            key = np.round(dist, rank_digits) if rank_digits is not None else dist
-            ids = pdf["doc_id"].astype(str).to_numpy()
-            keys, dists = np.concatenate([best_key, key]), np.concatenate([best_dist, dist])
-            names = np.concatenate([best_id, np.broadcast_to(ids[:, None], key.shape)])
-            keep = min(kk, len(keys))
-            picked = np.empty((keep, nq), dtype=np.int64)
-            for j in range(nq):
-                col = keys[:, j]
-                cand = np.nonzero(col <= np.partition(col, keep - 1)[keep - 1])[0]
-                picked[:, j] = cand[np.lexsort((names[cand, j].astype(str), col[cand]))[:keep]]
-            across = np.arange(nq)[None, :]
-            best_key, best_dist, best_id = keys[picked, across], dists[picked, across], names[picked, across]
-        if len(best_key):
-            yield pd.DataFrame({"query_id": np.repeat(np.asarray(q_ids, dtype=object), len(best_key)),
-                                "doc_id": best_id.T.ravel(), "distance": best_dist.T.ravel()})
-
-    cols = ["doc_id", "_dsq"] + (["vec_idx", "vec_val"] if sparse else ["_dv"])
-    partial = docs.select(*cols).mapInPandas(score, "query_id string, doc_id string, distance double")
+        best = RunningTopK(len(q), kk)
+        for batch in batches:
+            ids = np.asarray(batch.column(0).to_pylist(), dtype=str)
+            for first, end in slices(batch.num_rows, len(q)):
+                block = dense(*(batch.column(c).slice(first, end - first) for c in range(1, batch.num_columns)), dim=q.shape[1])
+                dist = distances(block, q, metric)
+                best.add(dist if rank_digits is None else np.round(dist, rank_digits), dist, ids[first:end])
+        at, dist, ids = best.result()
+        yield pa.record_batch([pa.array([q_ids[k] for k in at.tolist()], pa.string()), pa.array(ids.tolist(), pa.string()), pa.array(dist)],
+                              ["query_id", "doc_id", "distance"])
+
+    cols = ["vec_idx", "vec_val"] if sparse else ["_dv"]
+    rows = docs.where(F.col(cols[0]).isNotNull()).select(F.col("doc_id").cast("string").alias("doc_id"), *[
+        F.col(c).cast("array<int>" if c == "vec_idx" else "array<double>").alias(c) for c in cols])
+    partial = rows.mapInArrow(score, "query_id string, doc_id string, distance double")
     key = F.col("distance") if rank_digits is None else F.round(F.col("distance"), int(rank_digits))
     w = Window.partitionBy("query_id").orderBy(key, F.col("doc_id"))
     return partial.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= kk)
@@ -223,8 +219,10 @@ def knn(index: DataFrame, queries: DataFrame, k: int = 5, metric: str = "cosine"
     if k <= 0:
         return index.sparkSession.createDataFrame(
             [], "query_id string, doc_id string, distance double, rank int")
-    docs = _doc_side(index, vec_col, id_col)
+    # queries are collected block by block, and the index read once a block: neither is computed anew
+    queries = staged(queries.select("query_id", "qvec"), "knn-queries")
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
+    docs = _doc_side(index if blocks == 1 else staged(index, "knn-index"), vec_col, id_col)
     hashed = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
     parts = [_score(docs, queries.filter(hashed == b), k, metric, rank_digits) for b in range(blocks)]
     return reduce(DataFrame.unionByName, parts)

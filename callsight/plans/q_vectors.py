@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vectors as vx
+from ..operators import ivf
 from ..operators import merge as mg
 from ..operators import vectors as vec
+from ..session import scratch_path
+from ..sources import collections
 from . import fixtures as fx
 from .common import LABELED_SQL, labeled, r6
 from .oracle_sql import q, r6 as sr6
@@ -180,6 +185,48 @@ def knn_text(spark, sf):
     return out.withColumn("distance", r6("distance"))
 
 
+# ------------------------------------------------------------------ inverted lists
+IVF_K = 10
+IVF_SQL = f"""WITH ev AS (SELECT CAST(vec_id AS VARCHAR) AS doc_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+cq AS (SELECT doc_id AS query_id, v AS qvec FROM ev WHERE CAST(doc_id AS BIGINT) % 50 = 0)
+SELECT query_id, doc_id, round(distance, 6) AS distance, rank FROM (
+  SELECT query_id, doc_id, distance, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), doc_id) AS rank
+  FROM (SELECT cq.query_id, ev.doc_id, {{metric}} AS distance FROM ev, cq))
+WHERE rank <= {IVF_K}"""
+
+
+def _stored_lists(spark, sf, metric="cosine"):
+    """The embeddings in inverted lists, and the queries: every vector whose id is divisible by 50."""
+    root, idx = scratch_path(spark, f"lists-{uuid.uuid4().hex[:12]}"), _emb_index(spark, sf)
+    collections.save_lists(idx, root, "embeddings", metric)
+    queries = idx.filter(F.col("doc_id").cast("bigint") % 50 == 0).select(F.col("doc_id").alias("query_id"), F.col("vector").alias("qvec"))
+    return (*collections.open_lists(spark, root, "embeddings"), queries)
+
+
+def _make_ivf(metric):
+    def build(spark, sf):
+        rows, lists, queries = _stored_lists(spark, sf, metric)
+        out = ivf.search(rows, lists, queries, IVF_K, probes=4, exact=True, rank_digits=9)
+        return out.withColumn("distance", r6("distance"))
+    build.__name__ = f"knn_lists_{metric}"
+    register(f"knn_lists_{metric}", covers="V4", oracle=IVF_SQL.replace("{metric}", _dist_sql(metric)))(build)
+
+
+for _m in ("cosine", "l2"):
+    _make_ivf(_m)
+
+
+@register("knn_lists_recall", covers="V4", oracle=f"""
+SELECT count(*) AS queries, {IVF_K} AS k, TRUE AS reached, TRUE AS several_lists FROM embeddings WHERE vec_id % 50 = 0""")
+def knn_lists_recall(spark, sf):
+    """Recall of the approximate search, against all rows, with the probes that calibration chose."""
+    rows, lists, queries = _stored_lists(spark, sf)
+    probes, reached = ivf.calibrate(rows, lists, queries, IVF_K, 0.9, rank_digits=9)
+    found = ivf.search(rows, lists, queries, IVF_K, probes, rank_digits=9)
+    return found.agg(F.countDistinct("query_id").alias("queries"), F.lit(IVF_K).alias("k"), F.lit(reached >= 0.9).alias("reached"),
+                     F.lit(len(lists.centroids) > 1).alias("several_lists"))
+
+
 # ------------------------------------------------------------------ upsert / delete
 UPSERT_SQL = DOCS_SQL.rstrip() + """,
 prio AS (SELECT CAST(o_orderkey AS VARCHAR) AS doc_id, o_orderpriority AS priority FROM orders),

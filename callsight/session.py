@@ -9,8 +9,9 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 LOCAL_TZ_DEFAULT = "Europe/Berlin"
 
@@ -66,3 +67,11 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A folder below the shared checkpoint directory for written tables."""
     base = checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}"
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """A frame written once to the shared scratch folder and read from there: it is computed once, and a
+    lost executor reads it again."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
