@@ -1,15 +1,16 @@
 """Main text of web pages, with site templates removed by recurrence.
 
-First pass: every block element outside a page's article is hashed with its whole subtree (tags and
-text, without attributes), and Spark counts on how many different pages of its host each hash
+First pass: every block element is hashed with its whole subtree (tags and text, without attributes), from the
+hashes of its children, and Spark counts on how many different pages of its host each hash
 occurs; copies of one page count once. Subtrees on at least ``min_pages`` pages and ``share`` of the
-host's pages are site template. Second pass: they are deleted, together with what its own markup
+host's pages are site template, whatever their tags and names. Second pass: they are deleted, together with what its own markup
 tells to be no content (menus, footers, adverts, forms, comments and so on, by tag, role, class and id;
 of classes and ids only whole names such as ``sidebar`` or ``share-buttons``, and never on what holds
 the page's article or most of its text, nor inside an article on prose or by id);
 of the rest, the article is the largest ``article`` element, else ``main``, else the body, there
 without lists that are mostly links. Paragraphs and headings of an article are never template,
-however often they recur, and neither is the article itself.
+however often they recur, and neither is the article itself or an element that holds over half of its text.
+Pages that no template concerns are not shuffled, and html is read in slices of a bounded size.
 
 Text: character references are decoded, white space inside a block becomes one space, ``br`` counts as
 white space, and blocks are joined in page order by a blank line. Defined cases: null and empty html
@@ -28,7 +29,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-MIN_PAGES, SHARE = 4, 0.3
+from .probe import Probe
+from .staging import stage
+from .words import slices
+
+#: pages and share of its host's pages that make a subtree a template
+MIN_PAGES, SHARE = 4, 0.02
 
 # tags of HTML by what they mean here (fixed values)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -60,16 +66,15 @@ _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 _TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|![^>]*>|\?[^>]*>|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>)", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-_ATTRIBUTES = re.compile(r"<(/?[a-z][^\s/>]*)[^>]*>")
 
 
 class Node:
-    __slots__ = ("tag", "children", "bad", "main", "begin", "end", "inside", "size", "links", "named")
+    __slots__ = ("tag", "children", "bad", "main", "inside", "size", "links", "anchors", "named")
 
-    def __init__(self, tag: str, begin: int, bad: bool, main: str, inside: bool):
-        self.tag, self.begin, self.end, self.bad, self.main, self.inside = tag, begin, begin, bad, main, inside
+    def __init__(self, tag: str, bad: bool, main: str, inside: bool):
+        self.tag, self.bad, self.main, self.inside = tag, bad, main, inside
         self.children: list = []  # nodes, and decoded texts
-        self.size = self.links = 0
+        self.size = self.links = self.anchors = 0
         self.named = False  # bad by class or id alone
 
 
@@ -102,15 +107,17 @@ def _judge(tag: str, attributes: str, inside: bool) -> tuple[bool, bool, str]:
 
 def parse(html: str) -> Node:
     """The element tree of a page; unknown and broken markup is read as leniently as needed."""
-    root = Node("#root", 0, False, "", False)
+    root = Node("#root", False, "", False)
     stack, at, low, any_named = [root], 0, None, False
+    open_: dict[str, int] = {}  # so that no search up a deep stack is in vain
 
-    def close(n: int, end: int) -> None:
+    def close(n: int) -> None:
         while len(stack) > n:
             node = stack.pop()
-            node.end = end
+            open_[node.tag] -= 1
             stack[-1].size += node.size
             stack[-1].links += node.size if node.tag == "a" else node.links
+            stack[-1].anchors += node.anchors + (node.tag == "a")
 
     def add(text: str) -> None:
         text = unescape(text) if "&" in text else text
@@ -129,9 +136,9 @@ def parse(html: str) -> Node:
         if not tag:
             continue
         if m[1]:
-            for n in range(len(stack) - 1, 0, -1):
+            for n in range(len(stack) - 1, 0, -1) if open_.get(tag) else ():
                 if stack[n].tag == tag:
-                    close(n, at)
+                    close(n)
                     break
             continue
         if tag in _RAW:
@@ -144,32 +151,34 @@ def parse(html: str) -> Node:
                 at = len(html) if gt < 0 else gt + 1
             continue
         if tag in _VOID:
-            stack[-1].children.append(" " if tag in ("br", "wbr") else Node(tag, at, False, "", False) if tag == "hr" else "")
+            stack[-1].children.append(" " if tag in ("br", "wbr") else Node(tag, False, "", False) if tag == "hr" else "")
             continue
-        if tag in _CLOSES_P:
+        if tag in _CLOSES_P and open_.get("p"):
             for n in range(len(stack) - 1, 0, -1):
                 if stack[n].tag == "p":
-                    close(n, m.start())
+                    close(n)
                     break
                 if stack[n].tag not in _INLINE:
                     break
         if tag in _ITEMS:
             same, within = _ITEMS[tag]
-            for n in range(len(stack) - 1, 0, -1):
+            for n in range(len(stack) - 1, 0, -1) if any(open_.get(t) for t in same.split()) else ():
                 if stack[n].tag in within:
                     break
                 if stack[n].tag in same.split():
-                    close(n, m.start())
+                    close(n)
                     break
         inside = stack[-1].inside or bool(stack[-1].main)
         bad, named, kind = _judge(tag, m[3], inside)
-        node = Node(tag, m.start(), bad, kind, inside)
+        node = Node(tag, bad, kind, inside)
         node.named, any_named = named, any_named or named
         stack[-1].children.append(node)
         if not m[0].endswith("/>") or tag not in ("a", "b", "i", "span"):
             stack.append(node)
-    close(1, len(html))
-    root.end = len(html)
+            open_[tag] = open_.get(tag, 0) + 1
+        else:
+            stack[-1].anchors += tag == "a"
+    close(1)
     if any_named:
         _spare(root)
     return root
@@ -198,16 +207,40 @@ def _walk(node: Node):
         todo.extend(x for x in reversed(node.children) if isinstance(x, Node))
 
 
-def subtree_hash(html: str, node: Node) -> int:
-    """Hash of an element's tags and text; attributes, case and white space don't count."""
-    source = " ".join(_ATTRIBUTES.sub(r"<\1>", html[node.begin:node.end].lower()).split())
-    return int.from_bytes(hashlib.blake2b(source.encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
+def _digest(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=8).digest()
 
 
-def _templated(node: Node, holds_article: set) -> bool:
-    """Whether recurrence may delete an element: a block with text that neither is, nor holds, nor is prose of an article."""
+def digests(root: Node) -> dict[int, bytes]:
+    """Hash of each element's subtree, by node: its tag, its texts and its children's hashes. Attributes, case and
+    white space don't count."""
+    out: dict[int, bytes] = {}
+    todo: list = [(root, False)]
+    while todo:
+        node, ready = todo.pop()
+        if not ready:
+            todo.append((node, True))
+            todo.extend((x, False) for x in node.children if isinstance(x, Node))
+            continue
+        parts, text = [node.tag.encode("utf-8", "replace")], []
+        for x in [*node.children, None]:
+            if isinstance(x, str):
+                text.append(x)
+                continue
+            words = " ".join("".join(text).lower().split())
+            text.clear()
+            if words:
+                parts.append(b"t" + _digest(words.encode("utf-8", "replace")))
+            if x is not None:
+                parts.append(b"n" + out[id(x)])
+        out[id(node)] = _digest(b"\0".join(parts))
+    return out
+
+
+def _templated(node: Node, holds_article: set, article: Node | None) -> bool:
+    """Whether recurrence may delete an element: a block with text that neither is, nor holds, nor is prose or most of an article."""
     return bool(node.size) and node.tag not in ("#root", "html", "body") and node.tag not in _INLINE \
-        and id(node) not in holds_article and not (node.inside and node.tag in _PROSE)
+        and id(node) not in holds_article and not (node.inside and (node.tag in _PROSE or article is not None and node.size * 2 > article.size))
 
 
 def _article(root: Node, dropped=frozenset(), hashes=None, named: bool = False) -> Node | None:
@@ -246,10 +279,20 @@ def _holders(root: Node, article: Node | None) -> set:
     return {id(n) for n in path}
 
 
-def subtree_hashes(html: str, root: Node) -> dict[int, int]:
-    """Hashes of the elements that recurrence may delete, by node."""
-    holds = _holders(root, _article(root))
-    return {id(n): subtree_hash(html, n) for n in _walk(root) if _templated(n, holds)}
+def subtree_hashes(root: Node) -> dict[int, tuple[int, bool]]:
+    """(hash, shown) of the elements that recurrence may delete, by node; not of what is inside of one that its markup
+    deletes. Shown: the element would be part of the text."""
+    article = _article(root)
+    holds, found, out = _holders(root, article), digests(root), {}
+    todo = [(root, article is None)]
+    while todo:
+        node, shown = todo.pop()
+        shown = shown or node is article
+        if node.bad or _templated(node, holds, article):
+            out[id(node)] = int.from_bytes(found[id(node)], "big", signed=True), shown and not node.bad
+        if not node.bad:
+            todo.extend((x, shown) for x in node.children if isinstance(x, Node))
+    return out
 
 
 def extract(html: str, dropped: frozenset = frozenset()) -> str:
@@ -257,7 +300,7 @@ def extract(html: str, dropped: frozenset = frozenset()) -> str:
     if not html:
         return ""
     root = parse(html)
-    hashes = subtree_hashes(html, root) if dropped else {}
+    hashes = {k: h for k, (h, shown) in subtree_hashes(root).items() if shown} if dropped else {}
     article = _article(root, dropped, hashes)
     top = article or root
     blocks: list[str] = []
@@ -283,7 +326,7 @@ def extract(html: str, dropped: frozenset = frozenset()) -> str:
                 flush()
             continue
         links = article is None and node.tag in ("ul", "ol", "div", "table", "dl") and node.links * 10 > node.size * 8
-        if links and sum(x.tag == "a" for x in _walk(node)) > 2:
+        if links and node.anchors > 2:
             flush()
             continue
         if node.tag not in _INLINE:
@@ -300,19 +343,30 @@ def host_of(url):
 
 
 def _hash_rows(batches):
-    """(host, page, body, hash): one row for each distinct hash of a page; body stands for its whole content."""
+    """(host, page, body, hash, shown): one row for each distinct hash of a page; body stands for its whole content."""
+    for batch in batches:
+        for first, column in slices(batch.column(2)):
+            rows: list = []
+            some = batch.slice(first, len(column))
+            for host, page, html in zip(some.column(0).to_pylist(), some.column(1).to_pylist(), column.to_pylist()):
+                found: dict[int, bool] = {}
+                for h, shown in subtree_hashes(parse(html)).values() if html and host else ():
+                    found[h] = found.get(h, False) or shown
+                body = int.from_bytes(_digest((html or "").encode("utf-8", "replace")), "big", signed=True)
+                rows += [(host, page, body, h, shown) for h, shown in (found | {0: False}).items()]  # 0 stands for the page itself
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), (pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.bool_()))],
+                                  ["host", "page", "body", "hash", "shown"])
+
+
+def _texts(batches):
+    """page_id, url, text and n_chars of rows (page, page_id, url, html) and, where given, dropped."""
     for batch in batches:
-        hosts, pages, bodies, hashes = [], [], [], []
-        for host, page, html in zip(*(batch.column(c).to_pylist() for c in range(3))):
-            found = set(subtree_hashes(html, parse(html)).values()) if html and host else ()
-            body = int.from_bytes(hashlib.blake2b((html or "").encode("utf-8", "replace"), digest_size=8).digest(), "big", signed=True)
-            for h in [*found, 0]:  # 0 stands for the page itself
-                hosts.append(host)
-                pages.append(page)
-                bodies.append(body)
-                hashes.append(h)
-        yield pa.record_batch([pa.array(hosts, pa.string()), pa.array(pages, pa.int64()), pa.array(bodies, pa.int64()),
-                               pa.array(hashes, pa.int64())], ["host", "page", "body", "hash"])
+        for first, column in slices(batch.column(3)):
+            some = batch.slice(first, len(column))
+            dropped = some.column(4).to_pylist() if batch.num_columns > 4 else [None] * len(column)
+            out = [extract(h or "", frozenset(d or ())) for h, d in zip(column.to_pylist(), dropped)]
+            yield pa.record_batch([some.column(1), some.column(2), pa.array(out, pa.string()),
+                                   pa.array(np.fromiter(map(len, out), np.int64, len(out)))], ["page_id", "url", "text", "n_chars"])
 
 
 def templates(rows: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
@@ -325,20 +379,16 @@ def templates(rows: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE)
 
 def main_text(pages: DataFrame, min_pages: int = MIN_PAGES, share: float = SHARE) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    from .staging import stage
-
-    keyed = pages.select("page_id", "url", "html", F.xxhash64("page_id", "url", "html").alias("page"))
+    out = "page_id long, url string, text string, n_chars long"
+    keyed = pages.select(F.xxhash64("page_id", "url", "html").alias("page"), F.col("page_id").cast("long").alias("page_id"), "url", "html")
     rows = stage(keyed.select(host_of(F.col("url")).alias("host"), "page", "html")
-                 .mapInArrow(_hash_rows, "host string, page long, body long, hash long"), "html-hashes")
-    found = templates(rows, min_pages, share)
-    hits = (rows.where("hash != 0").join(found, ["host", "hash"]).groupBy("page")
-            .agg(F.collect_set("hash").alias("dropped")))
-
-    def texts(batches):
-        for batch in batches:
-            out = [extract(h or "", frozenset(d or ())) for h, d in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist())]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out, pa.string()),
-                                   pa.array(np.fromiter(map(len, out), np.int64, len(out)))], ["page_id", "url", "text", "n_chars"])
-
-    return (keyed.join(hits, "page", "left").select(F.col("page_id").cast("long"), "url", "html", "dropped")
-            .mapInArrow(texts, "page_id long, url string, text string, n_chars long"))
+                 .mapInArrow(_hash_rows, "host string, page long, body long, hash long, shown boolean"), "html-hashes")
+    hits = stage(rows.where("shown").join(templates(rows, min_pages, share), ["host", "hash"])
+                 .groupBy("page").agg(F.collect_set("hash").alias("dropped")), "html-hits")
+    if hits.isEmpty():
+        return keyed.mapInArrow(_texts, out)
+    probe = Probe(hits.select("page"))
+    clear = probe.keep(False)
+    doubtful = keyed.mapInArrow(probe.keep(True), keyed.schema).join(hits, "page", "left")
+    return (keyed.mapInArrow(lambda batches: _texts(clear(batches)), out)
+            .union(doubtful.select("page", "page_id", "url", "html", "dropped").mapInArrow(_texts, out)))

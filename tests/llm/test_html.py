@@ -71,3 +71,62 @@ def test_templates_go(spark):
 
 def test_no_pages(spark):
     assert html.main_text(site(spark).limit(0)).count() == 0
+
+
+MENU = "<div class=a7><div>{0}</div><div><a href='/1'>First</a> <a href='/2'>Second</a></div></div>"
+
+
+def plain_site():
+    """Menus, boxes and closing lines without a telling tag or name, in and around articles; every page has its own menu title."""
+    rows = []
+    for k in range(40):
+        box = "<div><b>Join us</b><div>Every week by post</div></div>" if k % 4 == 0 else ""
+        rows.append((k, f"https://plain.example/{k}", f"<body>{MENU.format(f'On {k}')}<div class=q><h1>Story {k}</h1><p>Own words {k}.</p>{box}</div><div>All rights kept</div>"))
+        rows.append((100 + k, f"https://art.example/{k}", f"<body><article><h1>A {k}</h1><p>Own text of {k}, long enough to matter.</p>{box}<p>Shared passage.</p></article>"))
+    rows += [(200 + k, f"https://copy.example/{k}", f"<body><article><div><p>One text on many pages</p></div><p>{k}</p></article>") for k in range(30)]
+    return rows
+
+
+def test_recurrence_decides_without_telling_markup(spark):
+    rows = plain_site()
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in html.main_text(frame).collect()}
+    for k in range(40):
+        assert got[k] == f"On {k}\n\nStory {k}\n\nOwn words {k}."  # the title is the page's own
+        assert got[100 + k] == f"A {k}\n\nOwn text of {k}, long enough to matter.\n\nShared passage."
+    for k in range(30):  # most of an article is no template
+        assert got[200 + k] == f"One text on many pages\n\n{k}"
+    assert {r["page_id"]: r["text"] for r in html.main_text(frame, min_pages=10**6).collect()}[0].startswith("On 0\n\nFirst Second\n\nStory 0")
+
+
+def test_templates_against_a_recount(spark):
+    rows = plain_site() + [(300 + k, "https://plain.example/copy", plain_site()[0][2]) for k in range(5)]
+    frame = spark.createDataFrame([(u.split("/")[2], i, h) for i, u, h in rows], "host string, page long, html string")
+    found = html.templates(frame.mapInArrow(html._hash_rows, "host string, page long, body long, hash long, shown boolean"), 4, 0.1)
+    pages, total = {}, {}
+    for _, u, h in rows:
+        host = u.split("/")[2]
+        total.setdefault(host, set()).add(h)
+        for x, _ in html.subtree_hashes(html.parse(h)).values():
+            pages.setdefault((host, x), set()).add(h)
+    want = {k for k, v in pages.items() if len(v) >= 4 and len(v) >= 0.1 * len(total[k[0]])}
+    assert {(r["host"], r["hash"]) for r in found.collect()} == want and len(want) >= 5
+
+
+def test_hashes_see_content_and_structure_only():
+    def top(page):
+        root = html.parse(page)
+        return html.digests(root)[id(root)]
+    assert top("<div class=a><p>x  Y</p></div>") == top("<DIV id='b'><p>X y\n</p></DIV>")
+    assert len({top(p) for p in ("<div><p>x</p></div>", "<p><div>x</div></p>", "<div><p>x</p>y</div>", "<div>x<p></p></div>", "<div><p>xy</p></div>")}) == 5
+
+
+def test_deep_and_large_pages_take_linear_time(spark):
+    import time
+    deep = "<div>" * 20000 + "text" + "</div>" * 20000
+    pages = [deep, deep + "<p>x" * 20000, "<div>" * 20000 + "</b><li>y" * 20000, "<div><a>l</a><a>m</a><a>n</a>" * 8000, "<p>" + "word " * 200000]
+    began = time.process_time()
+    for page in pages:
+        html.extract(page, frozenset([1]))
+    assert time.process_time() - began < 10
+    assert html.extract(deep) == "text"
