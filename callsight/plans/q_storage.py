@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..operators import filters as flt
 from ..operators import labels as lab
 from ..operators import merge as mg
+from ..schema import EXCLUDED
+from ..session import scratch_path
+from ..sources import io
 from . import fixtures as fx
 from .common import LABEL_RULES, LABELED_SQL, fmt_ts, labeled, r6
 from .oracle_sql import CALLS_RAW_CTE, fmt_ts as sfmt, label_ctes, r6 as sr6, tokens as stokens
@@ -66,16 +71,41 @@ def keep_last_in_batch(spark, sf):
     return out.select("call_id", fmt_ts("start_time").alias("start_time"), "batch", "seq", r6("amount").alias("amount"))
 
 
-@register("append_excluded", covers="U2", oracle=BATCHES_SQL + f"""
-SELECT call_id, 'short/non-English' AS reason, batch FROM batches
-WHERE len({stokens('transcript')}) < 20""")
+@register("append_excluded", covers="U2 S5", oracle=BATCHES_SQL + f"""
+SELECT call_id, 'short/non-English' AS reason FROM batches WHERE len({stokens('transcript')}) < 20
+UNION ALL SELECT NULL, 'short/non-English' FROM batches WHERE batch = 1 AND len({stokens('transcript')}) < 20""")
 def append_excluded(spark, sf):
-    b = fx.batches(spark, sf)
-    parts = []
-    for n in (1, 2):
-        _, exc = flt.gate(b.filter(F.col("batch") == n))
-        parts.append(exc.withColumn("batch", F.lit(n)))
-    return mg.union_all(parts)
+    """The rejects of both uploads, and those of the first once more without their ids: every row stays."""
+    b, root = fx.batches(spark, sf), scratch_path(spark, f"excluded-{uuid.uuid4().hex[:12]}")
+    first, second = (flt.gate(b.filter(F.col("batch") == n))[1] for n in (1, 2))
+    for rejects in (first, second, first.withColumn("call_id", F.lit(None).cast("string"))):
+        io.append_excluded(rejects, root)
+    return io.load_snapshot(spark, root, EXCLUDED)
+
+
+MONTHLY_SQL = WITH_RAW + """prio AS (SELECT CAST(o_orderkey AS VARCHAR) AS order_id, o_orderpriority AS priority FROM orders),
+c AS (SELECT c.*, strftime(c.start_time, '%Y-%m') AS month, p.priority = '1-URGENT' AND month(c.start_time) % 2 = 0 AS again
+      FROM calls_raw c JOIN prio p ON p.order_id = c.order_id)
+"""
+
+
+@register("monthly_merge", covers="S5 W1 X1", oracle=MONTHLY_SQL + f"""
+SELECT month, count(*) AS calls, {sr6('sum(amount + CASE WHEN again THEN 1 ELSE 0 END)')} AS amount,
+       CASE WHEN bool_or(again) THEN 2 ELSE 1 END AS version FROM c GROUP BY month""")
+def monthly_merge(spark, sf):
+    """All calls, then corrections of the urgent ones in even months, then those again: which upload wrote each month's folder."""
+    root = scratch_path(spark, f"monthly-{uuid.uuid4().hex[:12]}")
+    base = fx.calls_with_raw_labels(spark, sf).join(fx.order_priority(spark, sf), "order_id")
+    io.merge_calls_snapshot(base.drop("priority"), root, tz="UTC", source="uploads", batch=1)
+    first = {run for run, _ in io.snapshot_parts(spark, root)}
+    again = (base.filter((F.col("priority") == "1-URGENT") & (F.month("start_time") % 2 == 0)).drop("priority")
+             .withColumn("amount", F.col("amount") + 1))
+    for _ in range(2):
+        io.merge_calls_snapshot(again, root, tz="UTC", source="uploads", batch=2)
+    versions = spark.createDataFrame([(None if m == io.NO_MONTH else m, 1 if run in first else 2) for run, m in io.snapshot_parts(spark, root)],
+                                     "month string, version int")
+    months = io.load_snapshot(spark, root).groupBy(F.col("start_month").alias("m")).agg(F.count(F.lit(1)).alias("calls"), r6(F.sum("amount")).alias("amount"))
+    return months.join(F.broadcast(versions), F.col("m").eqNullSafe(F.col("month"))).select("month", "calls", "amount", "version")
 
 
 @register("incremental_new", covers="J5 U6", oracle=BATCHES_SQL + """

@@ -9,6 +9,8 @@ failed job never exposes a half-written snapshot nor blocks a later one.
 from __future__ import annotations
 
 import csv
+import json
+import time
 import uuid
 from functools import reduce
 from typing import Iterable, Mapping, Sequence
@@ -20,7 +22,8 @@ from pyspark.sql import types as T
 from ..operators import aggregates, filters, merge
 from ..operators import vectors as vec
 from ..operators.normalize import empty_calls, normalize_calls
-from ..schema import CALL_COLUMNS, CALLS, EXCLUDED, PAYLOAD
+from ..schema import CALL_COLUMNS, CALLS, PAYLOAD
+from ..session import staged
 
 CSV_OPTIONS = {"header": "true", "escape": '"', "quote": '"'}
 
@@ -118,53 +121,167 @@ def _current(spark: SparkSession, root: str) -> str | None:
     return f"{root.rstrip('/')}/run-{names[-1].split('-', 1)[1]}" if names else None
 
 
+def _publish(spark: SparkSession, root: str, run: str, manifest: dict | None = None) -> None:
+    """Make a run the current version: its manifest first, if it has one, then one empty pointer file."""
+    root = root.rstrip("/")
+    if manifest is not None:
+        fs, p = _fs(spark, f"{root}/manifests/{run}.json")
+        out = fs.create(p, False)
+        out.write(bytearray(json.dumps(manifest, sort_keys=True).encode("utf-8")))
+        out.close()
+    names = _pointers(spark, root)
+    number = int(names[-1].split("-", 1)[0]) + 1 if names else 1
+    fs, pointer = _fs(spark, f"{root}/_published/{number:012d}-{run}")
+    fs.create(pointer, False).close()
+
+
+def _manifest(spark: SparkSession, root: str, pointer: str) -> dict:
+    """parts: [run, month] of each folder that a published version consists of (month null: the whole run, of
+    unknown months); batches: the last merged batch of each source."""
+    root, run = root.rstrip("/"), pointer.split("-", 1)[1]
+    fs, p = _fs(spark, f"{root}/manifests/{run}.json")
+    if fs.exists(p):
+        stream = fs.open(p)
+        text = spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return json.loads(text)
+    fs, p = _fs(spark, f"{root}/run-{run}")
+    months = [n.split("=", 1)[1] for n in (st.getPath().getName() for st in fs.listStatus(p)) if n.startswith("start_month=")]
+    return {"parts": [[run, m] for m in sorted(months)] or [[run, None]], "batches": {}}
+
+
+def _version(spark: SparkSession, root: str) -> dict | None:
+    names = _pointers(spark, root)
+    return _manifest(spark, root, names[-1]) if names else None
+
+
+def _read_parts(spark: SparkSession, root: str, parts, schema: T.StructType | None = None) -> DataFrame:
+    """The folders of a version: one relation for each run, which prunes its months by itself."""
+    by_run: dict[str, list] = {}
+    for run, month in parts:
+        by_run.setdefault(run, []).append(month)
+    frames = []
+    for run, months in sorted(by_run.items()):
+        base = f"{root.rstrip('/')}/run-{run}"
+        paths = [base] if None in months else [f"{base}/start_month={m}" for m in sorted(months)]
+        reader = spark.read.option("basePath", base)
+        if schema is None:
+            # the month stays a string: a partition column's type would be inferred from its values
+            found = reader.parquet(*paths).schema
+            fields = [T.StructField(f.name, T.StringType() if f.name == "start_month" else f.dataType) for f in found.fields]
+            frames.append(reader.schema(T.StructType(fields)).parquet(*paths))
+        else:
+            frames.append(reader.schema(schema).parquet(*paths))
+    return merge.union_all(frames)
+
+
 def save_snapshot(df: DataFrame, root: str, partition_by: Sequence[str] | None = None) -> str:
     """Publish a new version (replace-all semantics for readers).
 
     Each run writes a folder of its own and is published by creating one empty pointer file,
     which is atomic: a failed run leaves an unpublished folder that no reader sees and no later
     run meets; of two writers at once, both publish, and the pointers' order decides."""
-    spark = df.sparkSession
     run = uuid.uuid4().hex
     path = f"{root.rstrip('/')}/run-{run}"
     w = df.write.mode("errorifexists")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-    names = _pointers(spark, root)
-    number = int(names[-1].split("-", 1)[0]) + 1 if names else 1
-    fs, pointer = _fs(spark, f"{root.rstrip('/')}/_published/{number:012d}-{run}")
-    fs.create(pointer, False).close()
+    _publish(df.sparkSession, root, run)
     return path
 
 
 def load_snapshot(spark: SparkSession, root: str, schema: T.StructType = CALLS, csv_fallback: str | None = None) -> DataFrame:
     """The published version, re-normalized; without one the CSV export if given, else an empty
     frame. A calls snapshot keeps its partition column ``start_month``, by which date windows prune."""
-    path = _current(spark, root)
-    if path is None:
+    version = _version(spark, root)
+    if version is None:
         if csv_fallback is not None and _fs(spark, csv_fallback)[0].exists(_fs(spark, csv_fallback)[1]):
             df = spark.read.options(**CSV_OPTIONS).option("multiLine", True).csv(csv_fallback)
             return normalize_calls(df) if schema is CALLS else df.select(*[F.col(f.name).cast(f.dataType) for f in schema])
         return spark.createDataFrame([], schema) if schema is not CALLS else empty_calls(spark)
-    df = spark.read.parquet(path)
+    df = _read_parts(spark, root, version["parts"])
     if schema is not CALLS:
         return df
-    if "start_month" not in df.columns:
-        return normalize_calls(df)
-    # the month stays a string: a partition column's type would be inferred from its values
-    fields = [T.StructField(f.name, T.StringType() if f.name == "start_month" else f.dataType) for f in df.schema.fields]
-    return normalize_calls(spark.read.schema(T.StructType(fields)).parquet(path), keep=["start_month"])
+    return normalize_calls(df, keep=["start_month"]) if "start_month" in df.columns else normalize_calls(df)
+
+
+def _with_month(calls: DataFrame, tz: str) -> DataFrame:
+    return calls.withColumn("start_month", F.date_format(F.from_utc_timestamp("start_time", tz), "yyyy-MM"))
 
 
 def save_calls_snapshot(calls: DataFrame, root: str, tz: str = "Europe/Berlin") -> str:
     """Calls snapshot partitioned by local call month, so date windows prune whole folders."""
-    month = F.date_format(F.from_utc_timestamp("start_time", tz), "yyyy-MM")
-    return save_snapshot(calls.withColumn("start_month", month), root, ["start_month"])
+    return save_snapshot(_with_month(calls, tz), root, ["start_month"])
+
+
+NO_MONTH = "__HIVE_DEFAULT_PARTITION__"  # folder of calls without a start time
+
+
+def merge_calls_snapshot(calls: DataFrame, root: str, order: Sequence[str] = (), *, tz: str = "Europe/Berlin",
+                         source: str = "", batch: int | None = None) -> bool:
+    """Merge calls into the snapshot, keep-last by (call_id, start_time); new rows win over old ones.
+
+    A key's start time gives its month, so only the months of the new calls are read and written; the new version's
+    manifest takes the other months' folders as they are. ``order`` (columns of the new calls, dropped) decides among new rows
+    of one key. A batch of ``source`` that was merged before changes nothing; returns whether anything was merged."""
+    spark = calls.sparkSession
+    version = _version(spark, root) or {"parts": [], "batches": {}}
+    if batch is not None and batch <= version["batches"].get(source, -1):
+        return False
+    new = staged(_with_month(calls, tz), "merge-calls")
+    # months are a bounded number
+    months = sorted(r[0] if r[0] is not None else NO_MONTH for r in new.select("start_month").distinct().collect())
+    touched = [p for p in version["parts"] if p[1] is None or p[1] in months]
+    parts = [p for p in version["parts"] if p not in touched]
+    newest = [new.withColumn("_new", F.lit(1))]
+    if touched:
+        old = normalize_calls(_read_parts(spark, root, touched))
+        newest.insert(0, _with_month(old, tz).withColumn("_new", F.lit(0)))
+    merged = merge.keep_last(merge.union_all(newest), merge.CALL_KEY, ("_new", *order)).drop("_new", *order)
+    run = uuid.uuid4().hex
+    if months:
+        # by month, large months in several files
+        path = f"{root.rstrip('/')}/run-{run}"
+        merged.hint("rebalance", "start_month").write.mode("errorifexists").partitionBy("start_month").parquet(path)
+        fs, p = _fs(spark, path)
+        names = [st.getPath().getName() for st in fs.listStatus(p)]
+        parts += [[run, n.split("=", 1)[1]] for n in names if n.startswith("start_month=")]
+    batches = version["batches"] | ({source: int(batch)} if batch is not None else {})
+    _publish(spark, root, run, {"parts": sorted(parts, key=str), "batches": batches})
+    return True
+
+
+def snapshot_parts(spark: SparkSession, root: str) -> list[tuple[str, str | None]]:
+    """(run, month) of each folder of the published version."""
+    return [tuple(p) for p in (_version(spark, root) or {"parts": []})["parts"]]
+
+
+def vacuum_snapshots(spark: SparkSession, root: str, keep: int = 2, older_than_s: float = 86_400) -> list[str]:
+    """Delete the run folders that none of the last ``keep`` versions uses, if they are old enough to be no run
+    that is still being written; older versions' pointers go too. Returns the deleted runs."""
+    root, names = root.rstrip("/"), _pointers(spark, root)
+    used = {p[0] for n in names[-keep:] for p in _manifest(spark, root, n)["parts"]} | {n.split("-", 1)[1] for n in names[-keep:]}
+    fs, p = _fs(spark, root)
+    limit, gone = (time.time() - older_than_s) * 1000, []
+    for n in names[:-keep]:
+        fs.delete(_fs(spark, f"{root}/_published/{n}")[1], False)
+    for st in fs.listStatus(p) if fs.exists(p) else []:
+        name = st.getPath().getName()
+        if name.startswith("run-") and name[4:] not in used and st.getModificationTime() <= limit:
+            fs.delete(st.getPath(), True)
+            fs.delete(_fs(spark, f"{root}/manifests/{name[4:]}.json")[1], False)
+            gone.append(name[4:])
+    return gone
 
 
 def append_excluded(excluded: DataFrame, root: str) -> str:
-    """The excluded snapshot with new (call_id, reason) rows; one row of each."""
-    old = load_snapshot(excluded.sparkSession, root, EXCLUDED)
-    return save_snapshot(old.select("call_id", "reason").unionByName(excluded.select("call_id", "reason")).distinct(), root)
+    """Append (call_id, reason) rows to the excluded snapshot, every one of them. Only the new rows are
+    written; the new version consists of the old one's folders and theirs."""
+    spark, run = excluded.sparkSession, uuid.uuid4().hex
+    path = f"{root.rstrip('/')}/run-{run}"
+    excluded.select("call_id", "reason").write.mode("errorifexists").parquet(path)
+    version = _version(spark, root) or {"parts": [], "batches": {}}
+    _publish(spark, root, run, {"parts": [*version["parts"], [run, None]], "batches": version["batches"]})
+    return path
 
 
 # ------------------------------------------------------------------ media files
