@@ -4,16 +4,21 @@ Detected entities (e-mail and IP addresses, phone, card, account and social secu
 personal names, credentials) are replaced by values of the same type and format, drawn from an HMAC
 of the secret key and the entity's canonical form. The same entity has the same surrogate wherever
 it stands and however it is written (coreference: a phone number with or without separators, a
-surname with or without given name, either case); different entities have different ones.
+surname with or without given name, either case, with a title or, later and earlier in the same document,
+without one); different entities have different ones.
 
 Distinctness is checked over the whole corpus: surrogates that two entities share, or that equal any
-entity of the corpus, are drawn again until none is left. Redrawn entities are few; up to
-``SMALL`` of them are broadcast, beyond that they reach their documents by a join.
+entity of the corpus, are drawn again until none is left; a format with too few values grows longer with each
+further draw, or gives up a fixed prefix. Redrawn entities reach the texts that hold them by a join; texts that a
+filter of bounded size rules out are not shuffled.
 
-Formats: digits stay digits and letters letters of their case; grouping, country prefix, card issuer
+Formats: digits stay digits and letters letters of their case and script; grouping, country prefix, card issuer
 digit, check sums (Luhn, IBAN) and top-level domain stay; names keep script (Latin or Cyrillic), case,
-title and, by title or ending, gender. Defined cases: null stays null and counts no entity, empty and
-plain texts are unchanged; repeated rows and null ids are treated like others; other columns are ignored.
+title and gender: by title, else by another title of that name in the document, else by a list of given names, else
+neutral. Persons without any title in their document are not found. A credential without a letter or digit (a mask
+such as ``********``) is none, and neither is a plain word after ``secret:`` or ``token:``. Defined cases: null stays
+null and counts no entity, empty and plain texts are unchanged; repeated rows and null ids are treated like others;
+other columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,22 +26,34 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+import unicodedata
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .probe import Probe
 from .staging import stage
-
-#: redrawn entities that are broadcast at most
-SMALL = 20_000
-MAX_ROUNDS = 40
+from .words import slices
 
 _LATIN_TITLES = {"mr": "m", "mrs": "f", "ms": "f", "miss": "f", "herr": "m", "frau": "f", "monsieur": "m", "madame": "f",
                  "mme": "f", "señor": "m", "señora": "f", "dr": "", "prof": ""}
 _CYRILLIC_TITLES = {"господин": "m", "госпожа": "f", "г-н": "m", "г-жа": "f"}
 _TITLES = _LATIN_TITLES | _CYRILLIC_TITLES
 
+# common given names by gender, for titles that tell none (fixed values)
+_GIVEN = {name: sex for sex, names in {
+    "f": """alice amy andrea angela anna anne barbara carla carmen carol caroline catherine charlotte christine clara claudia
+    diana elena elizabeth ella emily emma eva hannah helen helga ingrid irene isabel jane janet jessica joan julia karen kate
+    laura lisa lucy margaret maria marie martha mary monica nancy nicole olivia patricia paula rachel rebecca rosa ruth sandra
+    sarah silvia sofia sophie susan teresa ursula victoria""",
+    "m": """adam alan albert alexander andrew anthony antonio brian carlos charles chris christian christopher daniel david
+    dieter donald edward eric felix francis frank fred george hans harry henry hugo ivan jack jacques james jean john joseph
+    juan karl kevin klaus lewis louis luis marc mark martin matthew michael nicholas oliver oscar otto patrick paul pedro peter
+    philip pierre ralph richard robert roger simon stefan stephen steven thomas timothy victor walter werner william""",
+}.items() for name in names.split()}
+
 _TITLE_WORDS = "|".join(form for t in _TITLES
                         for form in [t.capitalize(), t.upper()] + [t] * (t in _CYRILLIC_TITLES))
 _NAME = rf"(?!(?:{_TITLE_WORDS})\b)" r"[A-ZÀ-ÖØ-ÞА-ЯЁ][\w'’-]*[^\W\d_]"
@@ -50,6 +67,7 @@ _PATTERNS = [
     ("ssn", "0", re.compile(r"(?<![\w-])\d{3}-\d{2}-\d{4}(?![\w-])")),
     ("person", "T", re.compile(rf"\b({_TITLE_WORDS})\b\.? ({_NAME}(?: {_NAME}){{0,2}})")),
 ]
+_SAID = re.compile(r"(?:secret|token)\s*:\s*[^\"']", re.I)
 _DIGIT, _TITLE = re.compile(r"\d{2}"), re.compile(rf"\b(?:{_TITLE_WORDS})\b")
 
 
@@ -67,6 +85,7 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
     A person is one entity for each name: its canonical form is gender, part and the name in lower case.
     """
     found: list[tuple[int, int, str, str]] = []
+    persons: list[tuple[int, str, bool, str]] = []  # start, name, whether a surname, gender of the title
     taken: list[tuple[int, int]] = []
     digits, title = _DIGIT.search(text) is not None, None
 
@@ -88,7 +107,9 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
         for m in pattern.finditer(text):
             if kind == "credential":
                 a, b = m.span(1) if m[1] else m.span()
-                if free(a, b):
+                word = text[a:b].rstrip(".,;:!?")
+                said = m[1] and word.isalpha() and word.islower() and _SAID.match(m[0])
+                if not said and any(c.isalnum() for c in text[a:b]) and free(a, b):
                     found.append((a, b, kind, text[a:b]))
                 continue
             a, b = m.span()
@@ -100,14 +121,26 @@ def find(text: str) -> list[tuple[int, int, str, str]]:
                 names = list(re.finditer(_NAME, m[2]))
                 if not free(*m.span(2)):
                     continue
-                gender = _TITLES[m[1].lower()]
                 for k, n in enumerate(names):
-                    part = "surname" if k == len(names) - 1 else "given"
-                    sex = gender or ("f" if n[0][-1] in "aая" else "m")
-                    canon = f"{sex if part == 'given' else ''}/{part}/{n[0].lower()}"
-                    found.append((m.start(2) + n.start(), m.start(2) + n.end(), kind, canon))
+                    name = n[0][:-2] if n[0][-2:] in ("'s", "’s") else n[0]
+                    persons.append((m.start(2) + n.start(), name, k == len(names) - 1, _TITLES[m[1].lower()]))
             elif free(a, b):
                 found.append((a, b, kind, m[0].lower() if kind == "email" else m[0] if kind == "ip" else plain))
+    if persons:
+        genders = {name.lower(): sex for _, name, last, sex in persons if sex and not last}
+        canons: dict[str, str] = {}
+        for at, name, last, sex in persons:
+            low = name.lower()
+            sex = "" if last else sex or genders.get(low) or _GIVEN.get(low, "n")
+            canon = f"{sex}/{'surname' if last else 'given'}/{low}"
+            found.append((at, at + len(name), "person", canon))
+            for form in (name, name.upper(), name.capitalize()):
+                canons.setdefault(form, canon)
+        # the same names elsewhere in the document
+        names = "|".join(re.escape(n) for n in sorted(canons, key=lambda n: (-len(n), n)))
+        for m in re.finditer(rf"(?<!\w)(?:{names})(?!\w)", text):
+            if free(*m.span()):
+                found.append((*m.span(), "person", canons[m[0]]))
     return sorted(found)
 
 
@@ -124,10 +157,39 @@ class _Draw:
         out, self.data = int.from_bytes(self.data[:4], "big") % n, self.data[4:]
         return out
 
-    def like(self, text: str, digits: bool = True) -> str:
-        """Letters for letters and digits for digits; the rest as it is."""
-        return "".join(chr(97 + self.below(26)) if "a" <= c <= "z" else chr(65 + self.below(26)) if "A" <= c <= "Z"
-                       else str(self.below(10)) if digits and c.isdigit() else c for c in text)
+    def like(self, text: str) -> str:
+        """Letters for letters of their case and script and digits for digits; the rest as it is."""
+        return "".join(map(self._symbol, text))
+
+    def _symbol(self, c: str) -> str:
+        if "a" <= c <= "z":
+            return chr(97 + self.below(26))
+        if "A" <= c <= "Z":
+            return chr(65 + self.below(26))
+        if c.isdigit():
+            zero = ord(c) - unicodedata.decimal(c) if c.isdecimal() else 48
+            return chr(zero + self.below(10))
+        if c.isalnum():
+            letters = _letters_like(c)
+            return letters[self.below(len(letters))]
+        return c
+
+
+# alphabets beyond Latin in common use (fixed values)
+_ALPHABETS = ["абвгдежзийклмнопрстуфхцчшщъыьэюя", "αβγδεζηθικλμνοπρστυφχψω"]
+
+
+@lru_cache(maxsize=1 << 14)
+def _letters_like(c: str) -> str:
+    """Letters that may stand for one beyond ASCII: its alphabet in its case, else those of its kind and case in its
+    block of 64 code points."""
+    for letters in _ALPHABETS:
+        if c.lower() in letters:
+            return letters if c.islower() else letters.upper()
+    first, kind = ord(c) & ~63, unicodedata.category(c)
+    near = [x for x in map(chr, range(first, first + 64)) if unicodedata.category(x) == kind and x.isalnum()
+            and (kind not in ("Ll", "Lu") or len(x.upper()) == 1 and x.upper() != x.lower() and x in (x.upper().lower(), x.lower().upper()))]
+    return "".join(near) if len(near) > 1 else "abcdefghijklmnopqrstuvwxyz" if c.islower() else "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
 _SYLLABLES = {
@@ -142,7 +204,9 @@ def _person(draw: _Draw, canon: str, attempt: int) -> str:
     stem = "".join(consonants[draw.below(len(consonants))] + vowels[draw.below(len(vowels))] for _ in range(3 + attempt // 4))
     if part == "surname":
         return stem + consonants[draw.below(len(consonants))] + ends[draw.below(len(ends))]
-    return stem + consonants[draw.below(len(consonants))] + female if sex == "f" else stem + male
+    if sex == "m":
+        return stem + male
+    return stem + consonants[draw.below(len(consonants))] + (female if sex == "f" else vowels[1])
 
 
 def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
@@ -164,11 +228,11 @@ def surrogate(key: bytes, kind: str, canon: str, attempt: int = 0) -> str:
         body = draw.like(canon[4:])
         return f"{canon[:2]}{98 - _iban_rest(f'{canon[:2]}00{body}'):02d}{body}"
     if kind == "phone":
-        code = 1 if canon[0] in "17" else 2
+        code = 0 if attempt >= 16 else 1 if canon[0] in "17" else 2  # far more numbers than a prefix has
         return canon[:code] + draw.like(canon[code:])
     if kind == "credential" and canon.startswith("AKIA"):
         return "AKIA" + draw.like(canon[4:])
-    return draw.like(canon)
+    return draw.like(canon + "x" * (attempt // 8 if kind == "credential" else 0))
 
 
 def written(kind: str, canon: str, original: str, value: str) -> str:
@@ -184,14 +248,14 @@ def written(kind: str, canon: str, original: str, value: str) -> str:
     return value
 
 
-def _entities(key: bytes):
-    def run(batches):
-        for batch in batches:
-            out = {(kind, canon) for text in batch.column(0).to_pylist() if text for _, _, kind, canon in find(text)}
-            kinds, canons = zip(*out) if out else ((), ())
-            yield pa.record_batch([pa.array(kinds, pa.string()), pa.array(canons, pa.string())], ["kind", "canon"])
-
-    return run
+def _mentions(batches):
+    """(text, kind, canon): the different entities of each text. Rows: text's hash, text."""
+    for batch in batches:
+        for first, column in slices(batch.column(1)):
+            keys = batch.column(0).slice(first, len(column)).to_pylist()
+            out = {(key, kind, canon) for key, text in zip(keys, column.to_pylist()) if text for _, _, kind, canon in find(text)}
+            rows, kinds, canons = zip(*out) if out else ((), (), ())
+            yield pa.record_batch([pa.array(rows, pa.int64()), pa.array(kinds, pa.string()), pa.array(canons, pa.string())], ["key", "kind", "canon"])
 
 
 def _draws(key: bytes):
@@ -202,13 +266,19 @@ def _draws(key: bytes):
     return run
 
 
-def redrawn(docs: DataFrame, key: bytes) -> DataFrame:
-    """Entities whose surrogate is not their first draw: kind, canon, attempt. A written table."""
-    entities = stage(docs.select("text").mapInArrow(_entities(key), "kind string, canon string").distinct(), "pii-entities")
+def mentions(docs: DataFrame) -> DataFrame:
+    """key (a hash of the text), kind and canon of every entity of every different text. A written table."""
+    keyed = docs.where("text is not null").select(F.xxhash64("text").alias("key"), "text")
+    return stage(keyed.mapInArrow(_mentions, "key long, kind string, canon string"), "pii-mentions")
+
+
+def redrawn(found: DataFrame, key: bytes) -> DataFrame:
+    """Entities of ``mentions`` whose surrogate is not their first draw: kind, canon, attempt. A written table."""
+    entities = stage(found.select("kind", "canon").distinct(), "pii-entities")
     draw = _draws(key)
     now = stage(entities.withColumn("attempt", F.lit(0)).withColumn("value", draw("kind", "canon", "attempt")), "pii-draws")
     real = entities.select("kind", F.col("canon").alias("value"))
-    for _ in range(MAX_ROUNDS):
+    while True:  # each draw of a narrow format has more values than the last
         rank = F.row_number().over(Window.partitionBy("kind", "value").orderBy(F.col("attempt").desc(), "canon"))
         marked = now.withColumn("n", rank).join(real.withColumn("real", F.lit(True)), ["kind", "value"], "left")
         clash = (F.col("n") > 1) | F.col("real").isNotNull()
@@ -218,7 +288,6 @@ def redrawn(docs: DataFrame, key: bytes) -> DataFrame:
         drawn = losers.withColumn("value", draw("kind", "canon", "attempt"))
         kept = now.join(losers.select("kind", "canon"), ["kind", "canon"], "left_anti").select("kind", "canon", "attempt", "value")
         now = stage(kept.unionByName(drawn), "pii-draws")
-    raise RuntimeError(f"surrogates still clash after {MAX_ROUNDS} rounds: their formats leave too few values")
 
 
 def _rewrite(text: str, key: bytes, attempts: dict) -> tuple[str, int]:
@@ -233,14 +302,21 @@ def _rewrite(text: str, key: bytes, attempts: dict) -> tuple[str, int]:
     return "".join([*out, text[at:]]), len(found)
 
 
-def _mentions():
+def _rewritten(key: bytes):
     def run(batches):
+        """doc_id, text, n_entities and changed of rows (key, doc_id, text) and, where given, redrawn entities."""
         for batch in batches:
-            rows = [(row, kind, canon) for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) if text
-                    for kind, canon in {f[2:] for f in find(text)}]
-            row, kinds, canons = zip(*rows) if rows else ((), (), ())
-            yield pa.record_batch([pa.array(row, pa.string()), pa.array(kinds, pa.string()), pa.array(canons, pa.string())],
-                                  ["digest", "kind", "canon"])
+            for first, column in slices(batch.column(2)):
+                some = batch.slice(first, len(column))
+                again = some.column(3).to_pylist() if batch.num_columns > 3 else [None] * len(column)
+                out, counts, changed = [], [], []
+                for text, more in zip(column.to_pylist(), again):
+                    new, n = _rewrite(text, key, {(m["kind"], m["canon"]): m["attempt"] for m in more or ()}) if text else (text, 0)
+                    out.append(new)
+                    counts.append(n)
+                    changed.append(new != text)
+                yield pa.record_batch([some.column(1), pa.array(out, pa.string()), pa.array(counts, pa.int64()), pa.array(changed, pa.bool_())],
+                                      ["doc_id", "text", "n_entities", "changed"])
 
     return run
 
@@ -248,29 +324,13 @@ def _mentions():
 def replace(docs: DataFrame, key: bytes | str) -> DataFrame:
     """doc_id, text with surrogates, n_entities (mentions replaced) and changed of every document."""
     key = key.encode("utf-8") if isinstance(key, str) else key
-    again = redrawn(docs, key)
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    few = again.limit(SMALL + 1).collect()
-    shared = docs.sparkSession.sparkContext.broadcast({(r["kind"], r["canon"]): r["attempt"] for r in few} if len(few) <= SMALL else {})
-    if len(few) > SMALL:
-        digest = F.sha2("text", 256)
-        mentions = texts.where("text is not null").select(digest.alias("digest"), "text").mapInArrow(
-            _mentions(), "digest string, kind string, canon string").distinct()
-        by_text = mentions.join(again, ["kind", "canon"]).groupBy("digest").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("again"))
-        texts = texts.withColumn("digest", digest).join(by_text, "digest", "left").select("doc_id", "text", "again")
-    else:
-        texts = texts.withColumn("again", F.lit(None).cast("array<struct<kind:string,canon:string,attempt:int>>"))
-
-    def run(batches):
-        for batch in batches:
-            out, counts, changed = [], [], []
-            for text, more in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                attempts = shared.value if not more else {(m["kind"], m["canon"]): m["attempt"] for m in more}
-                new, n = _rewrite(text, key, attempts) if text else (text, 0)
-                out.append(new)
-                counts.append(n)
-                changed.append(new != text)
-            yield pa.record_batch([batch.column(0), pa.array(out, pa.string()), pa.array(counts, pa.int64()), pa.array(changed, pa.bool_())],
-                                  ["doc_id", "text", "n_entities", "changed"])
-
-    return texts.mapInArrow(run, "doc_id long, text string, n_entities long, changed boolean")
+    kind, run = "doc_id long, text string, n_entities long, changed boolean", _rewritten(key)
+    found = mentions(docs)
+    again = (found.distinct().join(redrawn(found, key), ["kind", "canon"])
+             .groupBy("key").agg(F.collect_list(F.struct("kind", "canon", "attempt")).alias("again")))
+    again = stage(again, "pii-again")
+    texts = docs.select(F.xxhash64("text").alias("key"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    probe = Probe(again.select("key"))
+    clear = probe.keep(False)
+    doubtful = texts.mapInArrow(probe.keep(True), texts.schema).join(again, "key", "left").select("key", "doc_id", "text", "again")
+    return texts.mapInArrow(lambda batches: run(clear(batches)), kind).union(doubtful.mapInArrow(run, kind))

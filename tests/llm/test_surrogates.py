@@ -48,14 +48,12 @@ def test_clean_texts_stay(text):
     assert s._rewrite(text, b"k", {}) == (text, 0)
 
 
-@pytest.mark.parametrize("small", [20_000, 2])
-def test_distinct_and_coreferent_over_the_corpus(docs, monkeypatch, small):
+def test_distinct_and_coreferent_over_the_corpus(docs):
     """Twenty one-letter addresses have 26 values, so most draws clash at first."""
-    monkeypatch.setattr(s, "SMALL", small)
     letters = "abcdefghijklmnopqrst"
     rows = [(k, f"to {letters[k % 20]}@q.com and A@q.com") for k in range(60)]
     rows += [(900, None), (901, ""), (902, "plain"), (902, "plain"), (None, "b@q.com")]
-    assert s.redrawn(docs(rows), KEY.encode()).count() > 2
+    assert s.redrawn(s.mentions(docs(rows)), KEY.encode()).count() > 2
     got = s.replace(docs(rows), KEY)
     assert got.columns == ["doc_id", "text", "n_entities", "changed"]
     out = got.collect()
@@ -73,3 +71,70 @@ def test_distinct_and_coreferent_over_the_corpus(docs, monkeypatch, small):
 
 def test_nothing(docs):
     assert s.replace(docs([]), KEY).count() == 0
+
+
+def test_masks_words_and_narrow_formats(docs):
+    """No credential ends the run: a mask is none, and formats with few values grow."""
+    rows = [(0, "password: ********"), (1, "token = ......"), (2, "password: секретно"), (3, "the secret: discover it"), (4, "token: abcdefgh, no"),
+            (5, "secret = hunterhunter"), (6, "api_key: ЖЖ-17-жж-Ω")]
+    rows += [(10 + k, f"password: ------{k}") for k in range(10)] + [(30 + k, f"password=-----{c}") for k, c in enumerate("abcdefghijklmnopqrstuvwxyz")]
+    got = {r["doc_id"]: (r["text"], r["changed"]) for r in s.replace(docs(rows), KEY).collect()}
+    for i in (0, 1, 3, 4):
+        assert got[i] == (rows[i][1], False)
+    word = got[2][0].removeprefix("password: ")
+    assert re.fullmatch("[а-я]{8}", word) and word != "секретно"
+    assert got[5][1] and re.fullmatch("secret = [a-z]{12}", got[5][0])
+    assert re.fullmatch("api_key: [А-Я]{2}-[0-9]{2}-[а-я]{2}-[Α-Ω]", got[6][0])
+    real = {t.split(":")[-1].split("=")[-1].strip() for i, t in rows if i >= 10}
+    values = [got[i][0].split(":")[-1].split("=")[-1].strip() for i, _ in rows if i >= 10]
+    assert len(set(values)) == 36 and not real & set(values)
+
+
+def test_letters_beyond_ascii():
+    new, n = s._rewrite("иван@mail.ru jürgen.MÜLLER@web.de", b"k", {})
+    first, second = new.split(" ")
+    assert n == 2 and re.fullmatch("[а-я]{4}@[a-z]{4}.ru", first) and first[:4] != "иван"
+    assert re.fullmatch("[a-z][ß-ÿ][a-z]{4}[.][A-Z][À-Þ][A-Z]{4}@[a-z]{3}.de", second) and "ü" not in second[:2]
+
+
+def test_names_without_a_title():
+    text = "Dr. Jane Smith met Jane Smith. SMITH said: Smith's dog, Smithson, saw Mr. Kim Poe and Dr. Kim Lee, Dr. Xan Ray."
+    new, n = s._rewrite(text, b"k", {})
+    canons = [f[3] for f in s.find(text)]
+    assert canons == ["f/given/jane", "/surname/smith", "f/given/jane", "/surname/smith", "/surname/smith", "/surname/smith",
+                      "m/given/kim", "/surname/poe", "m/given/kim", "/surname/lee", "n/given/xan", "/surname/ray"]
+    assert not re.search(r"\b(?:Jane|Smith|SMITH|Kim|Poe|Lee|Xan|Ray)\b", new) and "Smithson" in new and "'s dog" in new
+    jane = re.match(r"Dr\. (\w+) (\w+) met (\w+) (\w+)\. (\w+) said: (\w+)'s", new)
+    assert jane[1] == jane[3] and jane[2] == jane[4] == jane[6] == jane[5].capitalize() and jane[5].isupper()
+    assert jane[1].endswith("a")
+
+
+def brute(rows, key):
+    """All surrogates by one plain loop over the corpus's entities."""
+    entities = sorted({f[2:] for _, t in rows if t for f in s.find(t)})
+    attempts = dict.fromkeys(entities, 0)
+    while True:
+        value = {e: (e[0], s.surrogate(key, *e, attempts[e])) for e in entities}
+        held = {}
+        for e in sorted(entities, key=lambda e: (-attempts[e], e[1])):
+            held.setdefault(value[e], e)
+        losers = [e for e in entities if held[value[e]] != e or value[e] in attempts]
+        if not losers:
+            break
+        for e in losers:
+            attempts[e] += 1
+    out = []
+    for i, t in rows:
+        found, new, at = s.find(t) if t else [], "", 0
+        for a, b, kind, canon in found:
+            new += t[at:a] + s.written(kind, canon, t[a:b], value[kind, canon][1])
+            at = b
+        out.append((i, None if t is None else new + t[at:], len(found)))
+    return sorted(out, key=str)
+
+
+def test_against_a_plain_loop(docs):
+    rows = [(k, f"mail {chr(97 + k % 26)}@q.com or {k % 40}@r.org, ip 10.0.0.{k % 7}, password: ---{k % 10}---; Mr. Bo Fox, Bo and Fox {k}") for k in range(120)]
+    rows += [(500, None), (501, ""), (502, "nothing here"), (None, "a@q.com"), (3, rows[3][1]), (3, "another text, z@q.com")]
+    got = [(r["doc_id"], r["text"], r["n_entities"]) for r in s.replace(docs(rows), KEY).collect()]
+    assert sorted(got, key=str) == brute(rows, KEY.encode())
