@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import replace
 
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from ..operators import merge as mg
 from ..schema import EXCLUDED
 from ..session import scratch_path
 from ..sources import io
+from ..sources import labels as label_store_runs
 from . import fixtures as fx
 from .common import LABEL_RULES, LABELED_SQL, fmt_ts, labeled, r6
 from .oracle_sql import CALLS_RAW_CTE, fmt_ts as sfmt, label_ctes, r6 as sr6, tokens as stokens
@@ -131,6 +133,28 @@ def label_reuse(spark, sf):
     return keyed.select("call_id", "tkey", "dkey").join(labels, ["tkey", "dkey"], "inner").select("call_id", "Connected", "Type", "Outcome")
 
 
+STORE_SQL = LABELED_SQL.rstrip() + """,
+p AS (SELECT CAST(o_orderkey AS VARCHAR) AS call_id, o_orderpriority AS priority FROM orders),
+k AS (SELECT l.call_id, l.Connected, l.Type, l.Outcome, sha256(coalesce(l.transcript, '')) || coalesce(CAST(l.duration_seconds AS VARCHAR), '') AS k,
+             p.priority FROM labeled l JOIN p ON p.call_id = l.call_id),
+one AS (SELECT DISTINCT k FROM k WHERE priority <> '5-LOW')
+"""
+
+
+@register("label_store", covers="J8", oracle=STORE_SQL + """
+SELECT 1 AS run, call_id, Connected, Type, Outcome, TRUE AS fresh FROM k WHERE priority <> '5-LOW'
+UNION ALL SELECT 2, call_id, Connected, Type, Outcome, k NOT IN (SELECT k FROM one) FROM k
+UNION ALL SELECT 3, call_id, 'Disconnected', Type, Outcome, TRUE FROM k""")
+def label_store(spark, sf):
+    """A first upload, all calls, and all calls under a changed rule: what each run had to label."""
+    root = scratch_path(spark, f"labels-{uuid.uuid4().hex[:12]}")
+    inc, _ = flt.gate(fx.calls(spark, sf))
+    first = inc.join(fx.order_priority(spark, sf).filter("priority <> '5-LOW'"), "order_id", "left_semi")
+    changed = replace(LABEL_RULES, duration_cutoff_s=10 ** 9)
+    runs = [label_store_runs.label_calls(calls, root, rules) for calls, rules in ((first, LABEL_RULES), (inc, LABEL_RULES), (inc, changed))]
+    return mg.union_all([r.select(F.lit(n).alias("run"), "call_id", "Connected", "Type", "Outcome", "fresh") for n, r in enumerate(runs, 1)])
+
+
 @register("manifest_new", covers="J5", oracle="""
 WITH m AS (SELECT conv_id, max(turn) AS turns, sum(length(coalesce(text, ''))) AS size FROM conversations GROUP BY 1)
 SELECT CAST(conv_id AS VARCHAR) AS name, size FROM m WHERE NOT (turns % 3 <> 0 AND size % 5 <> 0)""")
