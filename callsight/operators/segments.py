@@ -8,6 +8,8 @@ segment is tiny, then a monotonic clamp) is re-expressed with window functions:
   and its speaker differs from the speaker of the latest non-tiny (or first) segment
   before it — that speaker is exactly the speaker of the open merged segment;
 * merged segments are a group-by over the running count of openings;
+* ends and counts run along a recording as segmented scans (``scan``): windows hold one range of places of a
+  recording, so a recording of any length is spread over tasks;
 * the clamp cursor is the running maximum of earlier merged ends (merged segments
   ending within 1 ms of the cursor are the only ones dropped, so this equals the
   fold's cursor up to that 1 ms tolerance).
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from . import scan
 
 # --- fixed values: speaker segmentation defaults ---
 WINDOW_S = 1.5
@@ -28,16 +31,27 @@ MIN_SEGMENT_S = 0.75
 MIN_KEEP_S = 1e-3
 # --- end fixed values ---
 
+#: stretch of time whose segments are joined at once
+CHUNK_S = 600.0
+_NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double")
+
 
 def assemble_transcripts(segments: DataFrame, key: str = "call_id", order: tuple = ("start",),
-                         text_col: str = "text") -> DataFrame:
+                         text_col: str = "text", chunk: float = CHUNK_S) -> DataFrame:
     """Per key, stripped non-empty segment texts in time order joined by one space.
 
-    One call's segments are one transcript, so the per-key collect is bounded by the
-    transcript it produces."""
+    Segments are joined to the text of their stretch of ``chunk`` units of the first order column, and the texts of the
+    stretches to the transcript: no row holds all segments of a call, only its transcript."""
     st = F.struct(*[F.col(c) for c in order], tx.unicode_trim(F.col(text_col)).alias("_t"))
-    g = segments.groupBy(key).agg(F.array_sort(F.collect_list(st)).alias("_s"))
+    first = F.col(order[0])
+    kind = dict(segments.dtypes)[order[0]]
+    place = F.unix_seconds(first) if kind == "timestamp" else first if kind in _NUMERIC or kind.startswith("decimal") else F.lit(0)
+    cut = segments.withColumn("_c", F.floor(place / F.lit(float(chunk))))
+    g = cut.groupBy(key, "_c").agg(F.array_sort(F.collect_list(st)).alias("_s"))
     texts = F.filter(F.transform("_s", lambda s: s["_t"]), lambda t: t.isNotNull() & (t != ""))
+    stretches = g.select(key, F.struct("_c", F.array_join(texts, " ").alias("_t")).alias("_p"))
+    g = stretches.groupBy(key).agg(F.array_sort(F.collect_list("_p")).alias("_s"))
+    texts = F.filter(F.transform("_s", lambda p: p["_t"]), lambda t: t != "")
     return g.select(key, tx.unicode_trim(F.array_join(texts, " ")).alias("transcript"))
 
 
@@ -57,14 +71,22 @@ def window_segments(labels: DataFrame, key: str, idx: str = "i", label: str = "l
 
     start = first index * hop; a segment followed by another ends at
     max(start + hop, next_first * hop + win); the last ends at (n-1) * hop + win."""
-    w = Window.partitionBy(key).orderBy(idx)
-    flagged = labels.withColumn("_new", F.when(F.lag(label).over(w).isNull() |
-                                               (F.lag(label).over(w) != F.col(label)), 1).otherwise(0))
-    isl = flagged.withColumn("seg", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = isl.groupBy(key, "seg").agg(F.min(idx).alias("_first"), F.max(idx).alias("_last"),
-                                       F.first(label).alias("_label"))
-    ws = Window.partitionBy(key).orderBy("seg")
-    nxt = F.lead("_first").over(ws)
+    w = scan.inside((key,), idx)
+    cut = scan.ranged(labels, F.col(idx))
+    inner = F.when(F.row_number().over(w) == 1, 0).when(F.lag(label).over(w).isNull() | (F.lag(label).over(w) != F.col(label)), 1).otherwise(0)
+    cut = cut.withColumn("_new", inner).withColumn("_next", F.lead(idx).over(w))
+    cut = scan.handed(cut, (key,), {"_at": F.min(idx), "_head": F.min_by(label, idx), "_tail": F.max_by(label, idx), "_inner": F.sum("_new")},
+                      lambda before, order: {"_at": F.col("_at"), "_after": F.lead("_at").over(order), "_inner": F.col("_inner"),
+                                             "_opens": F.when(F.lag("_tail").over(order).isNull() | (F.lag("_tail").over(order) != F.col("_head")), 1)
+                                             .otherwise(0)})
+    # a range's first window opens a segment if it differs from the last of the range before
+    cut = scan.handed(cut, (key,), {"_mine": F.max(F.col("_inner") + F.col("_opens"))},
+                      lambda before, _: {"_before": F.coalesce(F.sum("_mine").over(before), F.lit(0))})
+    running = F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    isl = cut.withColumn("seg", F.col("_before") + F.col("_opens") + running)
+    runs = isl.groupBy(key, "seg").agg(F.min(idx).alias("_first"), F.max(idx).alias("_last"), F.first(label).alias("_label"),
+                                       F.max_by(F.coalesce("_next", "_after"), idx).alias("_nxt"))
+    nxt = F.col("_nxt")
     start = F.col("_first") * hop
     end = F.when(nxt.isNull(), F.col("_last") * hop + win).otherwise(
         F.greatest(start + hop, nxt * hop + win))
@@ -76,18 +98,26 @@ def clean_segments(segs: DataFrame, key: str, seq: str = "seg",
                    min_segment_s: float = MIN_SEGMENT_S) -> DataFrame:
     """Merge repeated-speaker and tiny segments into the previous one, then clamp to a
     monotonic timeline, drop (near) empty ones and round to 2 digits."""
-    w = Window.partitionBy(key).orderBy(seq)
-    first = F.row_number().over(w) == 1
-    tiny = (F.col("end") - F.col("start")) < min_segment_s
-    s1 = segs.withColumn("_first", first).withColumn("_tiny", tiny)
+    w = scan.inside((key,), seq)
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    cut = scan.ranged(segs.withColumn("_tiny", (F.col("end") - F.col("start")) < min_segment_s), F.col(seq))
+    cut = scan.handed(cut, (key,), {"_at": F.min(seq), "_head": F.min_by("speaker", seq), "_tail": F.max_by("speaker", F.when(~F.col("_tiny"), F.col(seq)))},
+                      lambda before, order: {
+                          "_start": F.when(F.row_number().over(order) == 1, F.col("_at")),
+                          # a recording's first segment is an anchor even if it is tiny
+                          "_anchor": F.coalesce(F.last("_tail", ignorenulls=True).over(before), F.first("_head").over(before))})
+    cut = cut.withColumn("_first", F.coalesce(F.col(seq) == F.col("_start"), F.lit(False)))
     anchor_spk = F.when(F.col("_first") | ~F.col("_tiny"), F.col("speaker"))
-    prev_anchor = F.last(anchor_spk, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    s2 = s1.withColumn("_open", F.col("_first") | (~F.col("_tiny") & (F.col("speaker") != prev_anchor)))
-    s3 = s2.withColumn("_m", F.sum(F.col("_open").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = s3.groupBy(key, "_m").agg(F.min_by("start", seq).alias("start"), F.max("end").alias("end"),
+    prev_anchor = F.coalesce(F.last(anchor_spk, ignorenulls=True).over(earlier), F.col("_anchor"))
+    cut = cut.withColumn("_open", (F.col("_first") | (~F.col("_tiny") & (F.col("speaker") != prev_anchor))).cast("int"))
+    cut = scan.handed(cut, (key,), {"_opened": F.sum("_open")}, lambda before, _: {"_before": F.coalesce(F.sum("_opened").over(before), F.lit(0))})
+    running = F.coalesce(F.sum("_open").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0))
+    cut = cut.withColumn("_m", F.col("_before") + running)
+    merged = cut.groupBy(key, "_m").agg(F.min_by("start", seq).alias("start"), F.max("end").alias("end"),
                                         F.min_by("speaker", seq).alias("speaker"))
-    wm = Window.partitionBy(key).orderBy("_m")
-    cursor = F.coalesce(F.max("end").over(wm.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    merged = scan.handed(scan.ranged(merged, F.col("_m")), (key,), {"_end": F.max("end")}, lambda before, _: {"_so_far": F.max("_end").over(before)})
+    # greatest skips nulls
+    cursor = F.coalesce(F.greatest(F.max("end").over(scan.inside((key,), "_m").rowsBetween(Window.unboundedPreceding, -1)), F.col("_so_far")), F.lit(0.0))
     st = F.greatest(cursor, F.col("start"))
     en = F.greatest(st, F.col("end"))
     out = merged.select(key, F.col("_m").alias("seg"), st.alias("start"), en.alias("end"), "speaker")

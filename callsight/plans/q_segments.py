@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..operators import aggregates as agg
 from ..operators import filters as flt
 from ..operators import labels as lab
 from ..operators import merge as mg
+from ..operators import scan
 from ..operators import segments as sg
 from . import fixtures as fx
 from .common import LABEL_RULES, LABELED_SQL
@@ -66,9 +66,9 @@ def event_labels(spark, sf):
     ev = fx.table(spark, sf, "events")
     types = ev.select(F.array_sort(F.collect_set("event_type"))).scalar()
     ev = ev.withColumn("recording_id", F.col("user_id").cast("string"))
-    w = Window.partitionBy("recording_id").orderBy("ts", "event_id")
-    return ev.select(F.col("recording_id"),
-                     (F.row_number().over(w) - 1).alias("i"),
+    # by days, so that a recording with very many events is numbered in several tasks
+    ev = scan.numbered(ev, ("recording_id",), F.unix_seconds(F.col("ts").cast("timestamp")), ("ts", "event_id"), "i", 86_400)
+    return ev.select(F.col("recording_id"), "i",
                      (F.array_position(types, F.col("event_type")) - 1).cast("int").alias("label"))
 
 
