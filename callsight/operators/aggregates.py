@@ -214,23 +214,22 @@ def batch_report(included: DataFrame, excluded: DataFrame) -> DataFrame:
                  F.count_if(F.col("_ex")).alias("excluded"))
 
 
-def scope_tallies(scope: DataFrame, key: str = "question_id", top: int = 3, carry: str | None = None) -> DataFrame:
+def scope_tallies(scope: DataFrame, key: str = "question_id", top: int = 3) -> DataFrame:
     """Per key and dimension (type / outcome): top labels as 'Label (n), ...' ordered by
     count desc then label, plus the scope size. Tallies are partial-aggregated counts; the
     top-n per group is a WindowGroupLimit over at most #labels rows per group."""
     from pyspark.sql.window import Window
-    more = [carry] if carry else []                      # a value that all rows of a key share
-    labels = scope.groupBy(key, "Type", "Outcome", *more).agg(F.count(F.lit(1)).alias("n"))
+    labels = scope.groupBy(key, "Type", "Outcome").agg(F.count(F.lit(1)).alias("n"))
     dims = F.array(*[F.struct(F.lit(d).alias("dim"), F.col(c).alias("label")) for d, c in (("type", "Type"), ("outcome", "Outcome"))])
-    t = labels.select(key, "n", *more, F.inline(dims)).groupBy(key, "dim", "label", *more).agg(F.sum("n").alias("n"))
+    t = labels.select(key, "n", F.inline(dims)).groupBy(key, "dim", "label").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(key, "dim")
     ranked = (t.withColumn("r", F.row_number().over(w.orderBy(F.col("n").desc(), F.col("label"))))
                .withColumn("scope_n", F.sum("n").over(w)).filter(F.col("r") <= int(top)))
-    top3 = ranked.groupBy(key, "dim", *more).agg(F.array_sort(F.collect_list(F.struct("r", "label", "n"))).alias("s"),
+    top3 = ranked.groupBy(key, "dim").agg(F.array_sort(F.collect_list(F.struct("r", "label", "n"))).alias("s"),
                                           F.first("scope_n").alias("scope_n"))
     text = F.array_join(F.transform("s", lambda x: F.concat(x["label"], F.lit(" ("), x["n"].cast("string"),
                                                             F.lit(")"))), ", ")
-    return top3.select(key, "dim", text.alias("top3"), "scope_n", *more)
+    return top3.select(key, "dim", text.alias("top3"), "scope_n")
 
 
 # --- fixed values: texts of the answer sentence ---
@@ -244,18 +243,20 @@ def answer_sentences(scope: DataFrame, specs: DataFrame, key: str = "question_id
     """(key, answer): scope size, or how many of it are shown, the date range, and the most
     frequent types and outcomes of the shown rows; a spec without calls has its size 0 and dates.
 
-    The scope is read once: sizes and places come from one window per key, whose display limit
-    Spark applies before the tallies."""
+    The scope is computed once and written; its sizes are partial counts, and the display limit is a window
+    that Spark limits inside the tasks, so a question about everything sorts ``shown`` rows a task, not its scope."""
     from pyspark.sql.window import Window
 
+    from ..session import staged
     from .questions import filled
-    w = Window.partitionBy(key)
-    rows = scope.select(key, "Type", "Outcome", F.count(F.lit(1)).over(w).alias("_total"), F.row_number().over(w.orderBy(order)).alias("_n"))
+    rows = staged(scope.select(key, "Type", "Outcome", F.col(order).alias("_order")), "answer-scope")
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_total"))
     if shown is not None:
-        rows = rows.filter(F.col("_n") <= int(shown))
-    tallies = scope_tallies(rows.select(key, "Type", "Outcome", "_total"), key, top, carry="_total")
-    per = tallies.groupBy(key).agg(F.first("_total").alias("_total"), F.first("scope_n").alias("_shown"),
+        rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_order"))).filter(F.col("_n") <= int(shown))
+    tallies = scope_tallies(rows.select(key, "Type", "Outcome"), key, top)
+    per = tallies.groupBy(key).agg(F.first("scope_n").alias("_shown"),
                                    *[F.max(F.when(F.col("dim") == d, F.col("top3"))).alias(d) for d in ("type", "outcome")])
+    per = sizes.join(per, key, "left")
     joined = specs.select(key, "date_from", "date_to").join(per, key, "left")
     total, n = F.coalesce("_total", F.lit(0)), F.coalesce("_shown", F.lit(0))
     values = {"shown": n.cast("string"), "total": total.cast("string"), "from": F.col("date_from").cast("string"),

@@ -3,8 +3,8 @@
 Every question row (``question_id``, ``text``, ``as_of`` date) is parsed in one
 narrow projection: dates (explicit, ranges, relative to ``as_of``, month
 windows), an exclusive call type, outcomes, agent phrases and amount bounds.
-Entity grounding against the catalog is an exact substring join that is keyed
-by short substrings (no broadcast assumption, no cartesian product).
+Entity grounding against the catalog is an exact substring test by automata over
+blocks of catalog values (``patterns``; no cartesian product).
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as tx
+from .patterns import substring_pairs
 
 # --- fixed values: month names, type / outcome patterns, synonyms (must equal the reference) ---
 MONTHS = {
@@ -365,41 +366,6 @@ def _norm_text(c: Column) -> Column:
     return F.lower(tx.unicode_trim(F.regexp_replace(c, f"{tx.WS_CLASS}+", " ")))
 
 
-def _short_substrings(c: Column, max_len: int = 3) -> Column:
-    """All distinct substrings of length 1..max_len (the join keys of a substring test)."""
-    n = F.length(c)
-
-    def of_len(k: int):
-        return F.transform(F.sequence(F.lit(1), F.greatest(n - (k - 1), F.lit(1))),
-                           lambda i: F.substring(c, i, k))
-    subs = [of_len(k) for k in range(1, max_len + 1)]
-    return F.array_distinct(F.filter(F.flatten(F.array(*subs)), lambda x: x != ""))
-
-
-def _grams(c: Column, size: int = 3) -> Column:
-    """Distinct substrings of ``size`` characters; of a shorter text, the text itself."""
-    n = F.length(c)
-    all_ = F.transform(F.sequence(F.lit(1), F.greatest(n - (size - 1), F.lit(1))), lambda i: F.substring(c, i, size))
-    return F.array_distinct(F.filter(all_, lambda x: x != ""))
-
-
-def substring_pairs(texts: DataFrame, text_key: str, needles: DataFrame, needle_key: str) -> DataFrame:
-    """Exact pairs (text row, needle row) where ``needle`` is a substring of ``text``.
-
-    An equi-join on one short key for each distinct needle: the 3-character substring of it
-    that the fewest needles share (so a common prefix of ids is no key; needles of up to 3
-    characters are their own key), against the short substrings of each distinct text, verified
-    with ``instr``. Only texts and needles themselves meet; their rows are joined on afterwards."""
-    n = needles.filter(F.length(F.col(needle_key)) > 0).select(F.col(needle_key).alias("_needle")).distinct()
-    grams = n.select("_needle", F.explode(_grams(F.col("_needle"))).alias("_k"))
-    shared = grams.groupBy("_k").agg(F.count(F.lit(1)).alias("_n"))
-    key = grams.join(shared, "_k").groupBy("_needle").agg(F.min_by("_k", F.struct("_n", "_k")).alias("_k"))
-    t = texts.select(F.col(text_key).alias("_text")).distinct().withColumn("_k", F.explode(_short_substrings(F.col("_text"))))
-    hits = t.join(key, "_k").filter(F.instr(F.col("_text"), F.col("_needle")) > 0).select("_text", "_needle")
-    return (hits.join(texts, hits["_text"] == texts[text_key]).drop("_text")
-                .join(needles, F.col("_needle") == needles[needle_key]).drop("_needle"))
-
-
 def ground_entities(questions: DataFrame, catalog: DataFrame, id_col: str = "question_id",
                     text_col: str = "text") -> DataFrame:
     """Per question and kind, the sorted distinct catalog values whose normalized form occurs

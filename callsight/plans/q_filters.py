@@ -222,3 +222,33 @@ def rollup_order(spark, sf):
     # the rollup has one row per campaign (bounded by the entity count), so a global rank is cheap
     w = Window.orderBy(F.col("total").desc(), F.col("campaign"))
     return out.withColumn("position", F.row_number().over(w))
+
+
+# ------------------------------------------------------------------ J9 specs with amounts or products only
+@register("specs_amounts_products", covers="J9 F6d F6e F6f", oracle=WITH_RAW.rstrip() + """,
+avgs AS (SELECT campaign, round(avg(amount)) AS m FROM calls_raw GROUP BY 1),
+words AS (SELECT DISTINCT lower(split_part(product_name, ' ', 1)) AS w FROM calls_raw WHERE product_name IS NOT NULL),
+specs AS (
+  SELECT 'from-' || campaign AS id, m AS lo, NULL AS hi, NULL AS w FROM avgs
+  UNION ALL SELECT 'to-' || campaign, NULL, round(m / 2), NULL FROM avgs
+  UNION ALL SELECT 'between-' || campaign, m, round(m * 1.2), NULL FROM avgs
+  UNION ALL SELECT 'product-' || w, NULL, NULL, w FROM words)
+SELECT s.id AS question_id, count(*) AS calls, sum(CAST(call_id AS BIGINT)) AS ids
+FROM specs s JOIN calls_raw c ON (lo IS NULL OR amount >= lo) AND (hi IS NULL OR amount <= hi) AND (w IS NULL OR instr(lower(product_name), w) > 0)
+GROUP BY 1""")
+def specs_amounts_products(spark, sf):
+    """Specs whose only condition is an amount, by each campaign's average, or the first word of a product's name."""
+    calls = fx.calls(spark, sf)
+    none, m = F.lit(None).cast("double"), F.col("m")
+    avgs = calls.groupBy("campaign").agg(F.round(F.avg("amount")).alias("m"))
+    amounts = avgs.select("campaign", F.inline(F.array(*[F.struct(F.lit(name).alias("kind"), lo.alias("min_amount"), hi.alias("max_amount")) for name, lo, hi in (
+        ("from-", m, none), ("to-", none, F.round(m / 2)), ("between-", m, F.round(m * 1.2)))])))
+    words = calls.filter("product_name IS NOT NULL").select(F.lower(F.split("product_name", " ")[0]).alias("w")).distinct()
+    empty = F.array().cast("array<string>")
+    specs = amounts.select(F.concat("kind", "campaign").alias("question_id"), empty.alias("products"), "min_amount", "max_amount").unionByName(
+        words.select(F.concat(F.lit("product-"), "w").alias("question_id"), F.array("w").alias("products"), none.alias("min_amount"), none.alias("max_amount")))
+    for c in ("type_any", "outcome_any", "agents", "campaigns"):
+        specs = specs.withColumn(c, empty)
+    specs = specs.withColumn("date_from", F.lit(None).cast("date")).withColumn("date_to", F.lit(None).cast("date"))
+    out = flt.apply_specs(calls, specs, TZ)
+    return out.groupBy("question_id").agg(F.count(F.lit(1)).alias("calls"), F.sum(F.col("call_id").cast("bigint")).alias("ids"))

@@ -65,3 +65,12 @@ def test_answer_sentences(spark):
     assert out["q"] == ("Showing top 3 of 7 calls. Date range: 2025-08-01 → 2025-08-02. Top types: Inquiry (2), Support (1). "
                         "Top outcomes: Refund (3).")
     assert out["none"] == "0 calls in scope."
+
+
+def test_display_limit_is_applied_inside_the_tasks(spark):
+    scope = spark.range(100).selectExpr("'q' AS question_id", "string(id) AS call_id", "'Support' AS Type", "'Refund' AS Outcome")
+    specs = spark.createDataFrame([("q", None, None)], "question_id string, date_from date, date_to date")
+    out = agg.answer_sentences(scope, specs, shown=5)
+    assert "Window Group Limit" in out._jdf.queryExecution().explainString(out._sc._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple")) \
+        or "WindowGroupLimit" in out._jdf.queryExecution().toString()
+    assert out.first().answer.startswith("Showing top 5 of 100 calls.")
