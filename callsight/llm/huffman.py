@@ -24,6 +24,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +35,7 @@ from .words import slices
 MAX_BITS, STRIDE = 16, 256
 #: ids in a block, at least (a block ends with a document)
 BLOCK_IDS = 1 << 18
-#: documents in a part on average, and parts at most (their bounds are sent to all tasks)
+#: documents in a part on average, and parts at most; a part is sorted and written as a stream, however large
 PART_DOCS, MAX_PARTS = 20_000, 1 << 16
 
 
@@ -145,8 +146,9 @@ def decode(payload: np.ndarray, starts: np.ndarray, counts: np.ndarray, table) -
 
 
 def tokenized(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
-    """A written table of doc_id, n_ids and ids (little-endian 16 or 32 bits), one row for each document."""
+    """A written table of row (a number), doc_id, n_ids and ids (little-endian 16 or 32 bits), one row for each document."""
     def run(batches):
+        row = TaskContext.get().partitionId() << 40
         tokens = encoder(vocabulary)
         kind = "<u2" if tokens.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         for batch in batches:
@@ -155,13 +157,15 @@ def tokenized(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
                 size = np.dtype(kind).itemsize
                 data = pa.py_buffer(ids.astype(kind).tobytes())
                 offsets = pa.py_buffer((at * size).astype(np.int32).tobytes())
-                yield pa.record_batch([batch.column(0).slice(first, len(texts)), pa.array(np.diff(at)),
+                rows = pa.array(row + np.arange(len(texts)))
+                row += len(texts)
+                yield pa.record_batch([rows, batch.column(0).slice(first, len(texts)), pa.array(np.diff(at)),
                                        pa.array(np.full(len(texts), size), pa.int32()),
                                        pa.Array.from_buffers(pa.binary(), len(texts), [None, offsets, data])],
-                                      ["doc_id", "n_ids", "width", "ids"])
+                                      ["row", "doc_id", "n_ids", "width", "ids"])
 
     return stage(docs.select(F.col("doc_id").cast("long"), "text")
-                 .mapInArrow(run, "doc_id long, n_ids long, width int, ids binary"), "huffman-ids")
+                 .mapInArrow(run, "row long, doc_id long, n_ids long, width int, ids binary"), "huffman-ids")
 
 
 def _ids(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -197,38 +201,32 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, max_bits: i
     tokens = tokenized(docs, vocabulary)
     bits = code_lengths(count_ids(tokens), max_bits)
     lengths = spark.sparkContext.broadcast(bits)
-    # bounds of the parts: quantiles of the ids alone
-    about = tokens.agg(F.count("doc_id").alias("n")).first()["n"]
-    parts = max(1, min(MAX_PARTS, -(-about // PART_DOCS)))
-    bounds = np.zeros(0, np.int64)
-    if parts > 1:
-        shares = [k / parts for k in range(1, parts)]
-        bounds = np.unique(tokens.agg(F.percentile_approx("doc_id", shares, max(10_000, 10 * parts))).first()[0])
+    # parts are ranges of documents by id and row, so rows of one id may be in several
+    parts = max(1, min(MAX_PARTS, -(-tokens.count() // PART_DOCS)))
 
     def code(batches):
         codes = canonical(lengths.value)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            width = batch.column(2)[0].as_py()
-            for first, piece in slices(batch.column(3)):
+            width = batch.column(3)[0].as_py()
+            for first, piece in slices(batch.column(4)):
                 rows = batch.slice(first, len(piece))
-                ids, at = _ids(rows.column(3), width)
+                ids, at = _ids(rows.column(4), width)
                 data, byte_at, within = encode(ids, at, codes, lengths.value)
                 marks = np.concatenate([np.arange(a, b, STRIDE) for a, b in zip(at[:-1], at[1:])])
                 marks_at = np.concatenate([[0], np.cumsum(-(-np.diff(at) // STRIDE))]).astype(np.int32)
-                part = np.searchsorted(bounds, rows.column(0).fill_null(-1 << 63).to_numpy()).astype(np.int32)
                 payload = pa.Array.from_buffers(pa.binary(), len(rows), [
                     None, pa.py_buffer(byte_at.astype(np.int32).tobytes()), pa.py_buffer(data)])
-                yield pa.record_batch([rows.column(0), rows.column(1), pa.array(part), payload,
+                yield pa.record_batch([rows.column(0), rows.column(1), rows.column(2), payload,
                                        pa.ListArray.from_arrays(pa.array(marks_at), pa.array(within[marks].astype(np.int32)))],
-                                      ["doc_id", "n_ids", "part", "payload", "checkpoint"])
+                                      ["row", "doc_id", "n_ids", "payload", "checkpoint"])
 
-    coded = tokens.select("doc_id", "n_ids", "width", "ids").mapInArrow(
-        code, "doc_id long, n_ids long, part int, payload binary, checkpoint array<int>")
+    coded = tokens.select("row", "doc_id", "n_ids", "width", "ids").mapInArrow(
+        code, "row long, doc_id long, n_ids long, payload binary, checkpoint array<int>")
 
     def blocks(batches):
-        state = {"part": None, "block": 0, "before": 0, "size": 0}
+        state = {"part": TaskContext.get().partitionId(), "block": 0, "before": 0, "size": 0}
         docs_, counts, data, marks = [], [], [], []
 
         def out():
@@ -248,17 +246,12 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, max_bits: i
             return row
 
         for batch in batches:
-            for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(),
-                           batch.column(3), batch.column(4)):
-                if row[2] != state["part"]:
-                    if docs_:
-                        yield out()
-                    state.update(part=row[2], block=0, before=0)
-                docs_.append(row[0])
-                counts.append(row[1])
-                state["size"] += row[1]
-                data.append(row[3].as_py())
-                marks.append(row[4].values.to_numpy())
+            for doc, n, payload, points in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3), batch.column(4)):
+                docs_.append(doc)
+                counts.append(n)
+                state["size"] += n
+                data.append(payload.as_py())
+                marks.append(points.values.to_numpy())
                 if state["size"] >= BLOCK_IDS:
                     yield out()
         if docs_:
@@ -266,7 +259,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, max_bits: i
 
     kind = ("part int, block long, before long, n_ids long, doc_ids array<long>, doc_sizes array<long>, "
             "payload binary, checkpoint array<long>")
-    (coded.repartition(parts, "part").sortWithinPartitions("part", "doc_id").mapInArrow(blocks, kind)
+    (coded.repartitionByRange(parts, "doc_id", "row").sortWithinPartitions("doc_id", "row").mapInArrow(blocks, kind)
      .write.option("compression", "none").parquet(f"{path}/blocks"))
     spark.createDataFrame(pa.table({"id": pa.array(np.flatnonzero(bits)), "bits": pa.array(bits[bits > 0].astype(np.int32))})
                           ).coalesce(1).write.parquet(f"{path}/code")

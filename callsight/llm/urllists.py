@@ -7,7 +7,8 @@ equi-joins on the keys that a URL has (itself, its path prefixes, its host and t
 calendar month, so neither a key with a long history nor a host with many captures pairs everything.
 
 The most specific match decides: url, then the longest prefix, host, the longest domain; at equal rank
-``allow``, then the first list by name. Keys have no scheme, user, port or fragment and a lower-case host.
+``allow``, then the first list by name. A prefix is a host, or a host and whole path segments; a slash at its end
+says nothing. Keys have no scheme, user, port or fragment and a lower-case host.
 Defined cases: a null, empty or hostless URL, or a capture without a day, matches nothing and has no
 verdict; entries with a null field are ignored; repeated captures are judged each; without entries
 nothing matches; captures keep their other columns, whatever their names.
@@ -31,7 +32,9 @@ def host(url: Column) -> Column:
 def intervals(entries: DataFrame) -> DataFrame:
     """list, kind, pattern, verdict, since, until (exclusive; null while it still holds)."""
     fields = ["list", "kind", "pattern", "verdict", "action", "day"]
-    daily = (entries.select(*fields[:-1], F.col("day").cast("date").alias("day")).dropna()
+    # a prefix names a host or a folder, with or without a slash at its end
+    pattern = F.when(F.col("kind") == "prefix", F.regexp_replace("pattern", "/+$", "")).otherwise(F.col("pattern"))
+    daily = (entries.withColumn("pattern", pattern).select(*fields[:-1], F.col("day").cast("date").alias("day")).dropna()
              .groupBy("list", "kind", "pattern", "day")
              .agg(F.max(F.col("action") == "add").alias("added"),
                   F.min(F.when(F.col("action") == "add", F.col("verdict"))).alias("verdict")))
@@ -49,7 +52,8 @@ def _keys(rows: DataFrame, depths: list[int]) -> DataFrame:
     domains = F.transform(F.sequence(F.lit(2), F.greatest(F.size(labels), F.lit(2))),
                           lambda n: F.struct(F.lit("domain").alias("kind"), F.array_join(F.slice(labels, -n, n), ".").alias("key")))
     prefixes = [F.when(F.size("parts") > d, F.struct(F.lit("prefix").alias("kind"), F.concat_ws(
-        "/", "host", F.array_join(F.slice("parts", 2, d), "/")).alias("key"))) for d in depths if d > 0]
+        "/", "host", F.array_join(F.slice("parts", 2, d), "/")).alias("key"))) if d else
+        F.struct(F.lit("prefix").alias("kind"), F.col("host").alias("key")) for d in depths]
     own = [F.struct(F.lit(k).alias("kind"), F.col(c).alias("key")) for k, c in (("url", "whole"), ("host", "host"))]
     all_ = F.concat(F.array(*own, *prefixes), F.when(F.size(labels) >= 2, domains).otherwise(F.slice(domains, 1, 0)))
     return rows.select("row", "day", F.explode(all_).alias("k")).where("k is not null").select("row", "day", "k.kind", "k.key")

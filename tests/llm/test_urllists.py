@@ -74,3 +74,16 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], ENTRY)
     assert urllists.judge(frame, none).where("verdict is null").count() == len(captures)
     assert urllists.judge(frame.limit(0), spark.createDataFrame(entries, ENTRY)).count() == 0
+
+
+def test_prefixes_of_a_host_and_with_a_slash(spark):
+    entries = spark.createDataFrame([
+        ("p", "prefix", "a.example", "block", "add", "2024-01-01"), ("p", "prefix", "b.example/p/", "block", "add", "2024-01-01"),
+        ("p", "prefix", "a.example/ok//", "allow", "add", "2024-01-01"), ("p", "prefix", "c.example/", "block", "add", "2024-01-01")],
+        "list string, kind string, pattern string, verdict string, action string, day string")
+    urls = {"http://a.example": "block", "http://a.example/": "block", "http://a.example/x/y": "block", "http://a.example/ok": "allow",
+            "http://a.example/ok/z": "allow", "http://a.example/okay": "block", "http://b.example/p": "block", "http://b.example/p/q/r": "block",
+            "http://b.example/pq": None, "http://b.example/": None, "http://c.example/any": "block", "http://sub.a.example/": None}
+    captures = spark.createDataFrame([(u, "2024-02-01") for u in urls], "url string, day string")
+    got = {r["capture"]["url"]: r["verdict"] for r in urllists.judge(captures, entries).collect()}
+    assert got == urls
