@@ -12,14 +12,16 @@ What crowded runs leave uncompared is found exactly: the members of runs that ar
 first level are joined on the rarest shingles of their sets (prefix and position filter). Only pairs
 of different components are made, so a large group of near copies makes none inside itself.
 
-Equal sets are one class: only its smallest doc_id enters the forest. A pair is lost only if it
+A row is known by the 64-bit hash of its doc_id and text, so rows of one doc_id with different texts stand
+apart. Equal sets are one class: only one of its rows enters the forest. A pair is lost only if it
 shares no first-level run in any tree; for a pair at similarity s that is (1 - s ** 4) ** trees.
 There are 16 trees, or as many more as keep it under ``MISSED`` at ``percent`` (22 at 80).
 
 Defined cases: null, empty and blank texts have no shingles, are linked with nothing and are
 their own component; a text of fewer than five words has its word sequence as its one shingle;
 rows with a null doc_id are reported with a null component and not linked (``deduplicate`` keeps
-them); repeated rows of one id count as copies of each other, and ``deduplicate`` keeps one of them.
+them). A component is named by its smallest doc_id; ``deduplicate`` keeps one of its rows: that of this doc_id, and of
+several rows of that id, one.
 """
 
 from __future__ import annotations
@@ -80,14 +82,13 @@ def _sketch(size: int, trees: int, depth: int):
         import hashlib
 
         for batch in batches:
-            ids = batch.column(0)
             counts, digests, signatures = [], [], []
-            for values in shingle_sets(batch.column(1), size):
+            for values in shingle_sets(batch.column(2), size):
                 counts.append(len(values))
                 digests.append(hashlib.blake2b(values.tobytes(), digest_size=16).digest())
                 signatures.append(_signature(values, a, b).tobytes() if len(values) else None)
-            yield pa.record_batch([ids, pa.array(counts, pa.int64()), pa.array(digests, pa.binary()),
-                                   pa.array(signatures, pa.binary())], ["doc_id", "n_shingles", "digest", "signature"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()),
+                                   pa.array(signatures, pa.binary())], ["id", "doc_id", "n_shingles", "digest", "signature"])
 
     return run
 
@@ -115,14 +116,14 @@ def _prefixes(trees: int, levels: tuple[int, ...]):
 def prefixes(signatures: DataFrame, copies: DataFrame, trees: int = TREES, levels: tuple[int, ...] = LEVELS) -> DataFrame:
     """id and a prefix key for every level, a row for each tree, without the ids listed as copies.
 
-    signatures: doc_id, signature. Signatures that the list can't concern aren't shuffled; the filter
+    signatures: id, signature. Signatures that the list can't concern aren't shuffled; the filter
     and the keys share one Python worker."""
     run, kind = _prefixes(trees, levels)
     probe = Probe(copies)
     clear = probe.keep(False)
     listed = copies.toDF("_listed").distinct().hint("merge")
     doubtful = signatures.mapInArrow(probe.keep(True), signatures.schema)
-    doubtful = doubtful.join(listed, doubtful["doc_id"] == listed["_listed"], "left_anti")
+    doubtful = doubtful.join(listed, doubtful["id"] == listed["_listed"], "left_anti")
     return signatures.mapInArrow(lambda batches: run(clear(batches)), kind).union(doubtful.mapInArrow(run, kind))
 
 
@@ -252,38 +253,61 @@ def confirmed(pairs: DataFrame, docs: DataFrame, percent: int, size: int = 5) ->
             .where(_alike(percent)("x", "y")).select("a", "b"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, trees: int | None = None,
-                    levels: tuple[int, ...] = LEVELS, crowd: int = CROWD) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every row; linked means similarity of ``percent`` or more."""
+def row_id(*columns: str):
+    """What a row is known by: the hash of its id and text."""
+    return F.xxhash64(*(columns or ("doc_id", "text")))
+
+
+def marked(docs: DataFrame, percent: int = 85, size: int = 5, trees: int | None = None,
+           levels: tuple[int, ...] = LEVELS, crowd: int = CROWD) -> DataFrame:
+    """id (``row_id``), doc_id, n_shingles, component_id and first (whether the row stands for its component) of every row;
+    linked means similarity of ``percent`` or more."""
     trees = trees or trees_for(percent, levels[0])
-    texts = docs.select("doc_id", "text")
+    texts = docs.select(row_id().alias("id"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     sketches = stage(texts.mapInArrow(_sketch(size, trees, levels[-1]),
-                                      "doc_id long, n_shingles long, digest binary, signature binary"), "near-sketches")
+                                      "id long, doc_id long, n_shingles long, digest binary, signature binary"), "near-sketches")
     full = sketches.where("n_shingles > 0 and doc_id is not null")
-    classes = stage(full.groupBy("digest").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n")), "near-classes")
-    # copies of another document's set stay out of the forest; few rows are on that list, so few are shuffled
-    copies = (full.select("digest", "doc_id").join(classes.where("n > 1"), "digest").where("doc_id != id").select("doc_id"))
-    rows = prefixes(full.select("doc_id", "signature"), stage(copies, "near-copies"), trees, levels)
+    # the row that stands for a class is that of the smallest doc_id
+    classes = stage(full.groupBy("digest").agg(F.min(F.struct("doc_id", "id")).alias("best"), F.count(F.lit(1)).alias("n")).select(
+        "digest", "best", F.col("best.id").alias("id"), "n"), "near-classes")
+    # other rows of a set stay out of the forest; few rows are on that list, so few are shuffled
+    copies = full.select("digest", F.col("id").alias("row")).join(classes.where("n > 1"), "digest").where("row != id").select("row")
+    rows = prefixes(full.select("id", "signature"), stage(copies, "near-copies"), trees, levels)
     pairs, crowded = candidates(rows, levels, crowd)
-    keyed = texts.where("doc_id is not null").toDF("id", "text")
+    keyed = texts.where("doc_id is not null").select("id", "text")
     reached = components(confirmed(stage(pairs, "near-pairs"), keyed, percent, size).toDF("u", "v"))
     crowded = stage(crowded, "near-crowded")
     if not crowded.isEmpty():
         reached = stage(reached, "near-reached")
         sets = among(keyed, "id", crowded).mapInArrow(_sets(size), "id long, shingles binary").join(reached, "id", "left")
-        sets = stage(sets.select("id", F.coalesce("component_id", "id").alias("component"), "shingles"), "near-crowd-sets")
+        sets = stage(sets.select("id", F.coalesce("component_id", "id").alias("component"), "shingles").dropDuplicates(["id"]), "near-crowd-sets")
         pairs = stage(crowd_pairs(sets, percent), "near-crowd-pairs")
         if not pairs.isEmpty():
             reached = components(reached.union(confirmed(pairs, keyed, percent, size)).toDF("u", "v"))
-    members = classes.join(reached, "id", "left").select("digest", F.coalesce("component_id", "id").alias("component_id"))
-    return (sketches.select("doc_id", "n_shingles", "digest").join(members, "digest", "left")
-            .select("doc_id", "n_shingles", F.when(F.col("n_shingles") > 0, F.col("component_id"))
-                    .otherwise(F.col("doc_id")).alias("component_id"))
-            .withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
-            .withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True))))
+    reached = stage(reached, "near-reached")
+    heads = reached.join(classes.select("id", "best"), "id").groupBy("component_id").agg(F.min("best").alias("head"))
+    named = reached.join(heads, "component_id").select("id", "head")
+    members = classes.join(named, "id", "left").select("digest", F.coalesce("head", "best").alias("head"))
+    joined = sketches.select("id", "doc_id", "n_shingles", "digest").join(members, "digest", "left")
+    linked = (F.col("n_shingles") > 0) & F.col("doc_id").isNotNull()
+    return joined.select("id", "doc_id", "n_shingles", F.when(linked, F.col("head.doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+                         (~linked | (F.col("id") == F.col("head.id"))).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, trees: int | None = None,
+                    levels: tuple[int, ...] = LEVELS, crowd: int = CROWD) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every row; linked means similarity of ``percent`` or more."""
+    return marked(docs, percent, size, trees, levels, crowd).select(
+        "doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("first")).alias("kept"))
 
 
 def deduplicate(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
-    """One document of each near-duplicate group (the smallest doc_id), with all its columns."""
-    dropped = near_duplicates(docs, percent, size).where("not kept").select("doc_id")
-    return without(docs, "doc_id", stage(dropped, "near-dropped"))
+    """One row of each near-duplicate group (of the smallest doc_id), with all its columns."""
+    marks = stage(marked(docs, percent, size).select("id", "doc_id", "n_shingles", "first"), "near-marks")
+    keyed = docs.select(row_id().alias("_near_row"), "*")
+    kept = without(keyed, "_near_row", stage(marks.where("not first").select("id"), "near-dropped"))
+    # rows equal in id and text are one
+    repeated = stage(marks.where("first and n_shingles > 0 and doc_id is not null").groupBy("id").count().where("count > 1").select("id"), "near-repeated")
+    if not repeated.isEmpty():
+        kept = without(kept, "_near_row", repeated).union(among(kept, "_near_row", repeated).dropDuplicates(["_near_row"]))
+    return kept.drop("_near_row")

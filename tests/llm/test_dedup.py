@@ -169,6 +169,18 @@ def test_near_defined_cases(docs):
     assert near.near_duplicates(docs([])).count() == 0
 
 
+def test_rows_of_one_id_with_different_texts_stand_apart(docs):
+    """Doc 7 holds a copy of doc 1 in one row and a text of its own in another; doc 5 is there twice."""
+    rows = [(1, "a b c d e f g h"), (7, "A b c d e f g h"), (7, "only here and nowhere else at all"), (5, "k l m n o p q"), (5, "k l m n o p q"),
+            (9, "k l m n o p q"), (2, "x y"), (2, "x y z"), (2, None), (2, None)]
+    marks = {(r["doc_id"], r["component_id"], r["kept"]) for r in near.near_duplicates(docs(rows)).collect()}
+    assert marks >= {(7, 1, False), (7, 7, True), (5, 5, True), (9, 5, False), (1, 1, True)}
+    kept = near.deduplicate(docs(rows))
+    assert kept.columns == docs(rows).columns
+    assert sorted(((r["doc_id"], r["text"]) for r in kept.collect()), key=str) == sorted([
+        (1, "a b c d e f g h"), (7, "only here and nowhere else at all"), (5, "k l m n o p q"), (2, "x y"), (2, "x y z"), (2, None), (2, None)], key=str)
+
+
 def test_components_of_a_long_chain_and_a_star(spark):
     chain = [(k, k + 1) for k in range(0, 300)]
     random.Random(2).shuffle(chain)
