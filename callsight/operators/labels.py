@@ -11,11 +11,12 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 from typing import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..schema import UNKNOWN
+from .patterns import first_places
 
 
 @dataclass(frozen=True)
@@ -281,3 +282,42 @@ def rule_hit_counts(df: DataFrame, rules: RuleSet, text_col: str = "transcript")
     """Number of calls hitting each rule phrase (map-side partial aggregation)."""
     return (rule_hits(df, rules, text_col).groupBy("kind", "label", "phrase")
             .agg(F.count(F.lit(1)).alias("n_calls")))
+
+
+# ------------------------------------------------- rules as a table: any number of phrases
+def rules_table(spark, rules: RuleSet) -> DataFrame:
+    """kind, label, phrase and place (``explain_matches``' order) of a rule set's phrases."""
+    rows = [("type", label, p) for label, phrases in rules.types for p in _nonblank(phrases)]
+    rows += [("outcome", label, p) for label in rules.explain_outcome_order for p in _nonblank(rules.outcome_phrases(label))]
+    return spark.createDataFrame([(*r, k) for k, r in enumerate(rows)], "kind string, label string, phrase string, place long")
+
+
+def table_hits(df: DataFrame, rules: DataFrame, text_col: str = "transcript", id_col: str = "call_id",
+               negation_words: Sequence[str] = tuple(tx.NEGATION_WORDS)) -> DataFrame:
+    """L8 (row level) for phrases in a table (kind, label, phrase): one row per guarded hit, as ``rule_hits`` gives.
+
+    Phrases are found by automata, so thousands of them cost one pass over the texts and no expression each; the
+    negation guard (T4) looks at the characters that come with each hit."""
+    given = rules.select("kind", "label", "phrase", F.lower("phrase").alias("_needle"), *[c for c in ("place",) if c in rules.columns])
+    given = given.where(F.col("phrase").rlike(r"\S"))
+    texts = df.select(F.col(id_col), F.lower(tx.safe_text(text_col)).alias("_lc"))
+    found = first_places(texts, id_col, "_lc", given, "_needle", tx.NEGATION_WINDOW)
+    clear = found.where(~F.col("_before").rlike(tx.negation_regex(negation_words)))
+    return clear.join(given, "_needle").withColumnRenamed("_row", id_col).drop("_needle", "_before")
+
+
+def table_hit_counts(df: DataFrame, rules: DataFrame, text_col: str = "transcript", **options) -> DataFrame:
+    """Number of calls hitting each phrase of a table of rules."""
+    return table_hits(df, rules, text_col, **options).groupBy("kind", "label", "phrase").agg(F.count(F.lit(1)).alias("n_calls"))
+
+
+def explain_by_table(df: DataFrame, rules: DataFrame, max_items: int = 5, text_col: str = "transcript", id_col: str = "call_id",
+                     **options) -> DataFrame:
+    """L6 for phrases in a table with a ``place``: (id, matches), the first ``max_items`` of each call that has hits.
+
+    Ids must be unique. Only the first places of a call leave the tasks that find them (a limited window)."""
+    hits = table_hits(df, rules, text_col, id_col, **options)
+    first = hits.withColumn("_n", F.row_number().over(Window.partitionBy(id_col).orderBy("place"))).where(F.col("_n") <= max(0, int(max_items)))
+    text = F.concat(F.lit("["), "label", F.lit("] …"), "phrase", F.lit("…"))
+    return first.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct("place", text.alias("text")))).alias("m")).select(
+        id_col, F.transform("m", lambda x: x["text"]).alias("matches"))

@@ -1,4 +1,4 @@
-"""Which texts hold which needles: one automaton for a block of needles, one pass over the texts a block."""
+"""Which texts hold which needles, and where first: one automaton for a block of needles, one pass over the texts a block."""
 
 from __future__ import annotations
 
@@ -34,6 +34,54 @@ def _held(shared):
     return run
 
 
+def _blocks(needles: DataFrame, needle_key: str):
+    """The distinct needles in lists of about ``BLOCK_CHARS`` characters, dealt by hash; each broadcast."""
+    wanted = staged(needles.where(F.length(needle_key) > 0).select(F.col(needle_key).alias("_needle")).distinct(), "pattern-needles")
+    size = wanted.agg(F.coalesce(F.sum(F.length("_needle")), F.lit(0))).first()[0]
+    blocks = max(1, -(-size // BLOCK_CHARS))
+    for b in range(blocks):
+        block = [r[0] for r in wanted.where(F.pmod(F.xxhash64("_needle"), F.lit(blocks)) == b).collect()]
+        if block:
+            yield needles.sparkSession.sparkContext.broadcast(block)
+
+
+def _first(shared, window: int):
+    """(row, needle, before) of rows (row, text): the characters in front of each needle's first place."""
+    def run(batches):
+        import ahocorasick
+        import pyarrow as pa
+
+        find = ahocorasick.Automaton()
+        for k, needle in enumerate(shared.value):
+            find.add_word(needle, k)
+        find.make_automaton()
+        sizes = [len(needle) for needle in shared.value]
+        for batch in batches:
+            row_of, needles, before = [], [], []
+            for n, text in enumerate(batch.column(1).to_pylist()):
+                first: dict[int, int] = {}
+                for end, k in find.iter(text or ""):
+                    first.setdefault(k, end)
+                for k, end in first.items():
+                    begin = end + 1 - sizes[k]
+                    row_of.append(n)
+                    needles.append(shared.value[k])
+                    before.append(text[max(0, begin - window):begin])
+            yield pa.record_batch([batch.column(0).take(pa.array(row_of, pa.int64())), pa.array(needles, pa.string()),
+                                   pa.array(before, pa.string())], ["_row", "_needle", "_before"])
+
+    return run
+
+
+def first_places(texts: DataFrame, id_key: str, text_key: str, needles: DataFrame, needle_key: str, window: int) -> DataFrame:
+    """_row (the id), _needle and _before of every row of texts and needle that it holds: the ``window`` characters in
+    front of the needle's first place. Rows of equal ids stay apart; only ids, needles and windows leave the tasks."""
+    rows = texts.select(F.col(id_key).alias("_row"), text_key)
+    kind = f"_row {rows.schema['_row'].dataType.simpleString()}, _needle string, _before string"
+    found = [rows.mapInArrow(_first(block, window), kind) for block in _blocks(needles, needle_key)]
+    return reduce(DataFrame.union, found) if found else texts.sparkSession.createDataFrame([], kind)
+
+
 def substring_pairs(texts: DataFrame, text_key: str, needles: DataFrame, needle_key: str) -> DataFrame:
     """Exact pairs (text row, needle row) where ``needle`` is a substring of ``text``; no pair for an empty needle.
 
@@ -42,12 +90,6 @@ def substring_pairs(texts: DataFrame, text_key: str, needles: DataFrame, needle_
     joined on afterwards."""
     spark = texts.sparkSession
     rows = staged(texts.where(F.col(text_key).isNotNull()).withColumn("_row", F.monotonically_increasing_id()), "pattern-texts")
-    wanted = staged(needles.where(F.length(needle_key) > 0).select(F.col(needle_key).alias("_needle")).distinct(), "pattern-needles")
-    size = wanted.agg(F.coalesce(F.sum(F.length("_needle")), F.lit(0))).first()[0]
-    blocks, found = max(1, -(-size // BLOCK_CHARS)), []
-    for b in range(blocks):
-        block = [r[0] for r in wanted.where(F.pmod(F.xxhash64("_needle"), F.lit(blocks)) == b).collect()]
-        if block:
-            found.append(rows.select("_row", text_key).mapInArrow(_held(spark.sparkContext.broadcast(block)), "_row long, _needle string"))
+    found = [rows.select("_row", text_key).mapInArrow(_held(block), "_row long, _needle string") for block in _blocks(needles, needle_key)]
     hits = reduce(DataFrame.union, found) if found else spark.createDataFrame([], "_row long, _needle string")
     return hits.join(rows, "_row").drop("_row").join(needles, F.col("_needle") == needles[needle_key]).drop("_needle")

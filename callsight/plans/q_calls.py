@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..functions import text as tx
 from ..operators import aggregates as agg
@@ -258,6 +259,42 @@ def rule_hit_counts(spark, sf):
     return lab.rule_hit_counts(inc, LABEL_RULES)
 
 
+# ------------------------------------------------------------------ rules as a table
+TABLE_RULES_SQL = WITH_RAW.rstrip() + f""",
+g AS (SELECT call_id, lower(coalesce(transcript, '')) AS lc FROM calls_raw WHERE len({stokens('transcript')}) >= 20),
+words AS (SELECT DISTINCT unnest(string_split(lower(text), ' ')) AS phrase FROM benchmark),
+rules AS (SELECT phrase, substr(phrase, 1, 1) AS label, row_number() OVER (ORDER BY phrase) - 1 AS place FROM words
+          WHERE regexp_full_match(phrase, '[a-z]{{3,}}')),
+hits AS (SELECT g.call_id, r.label, r.phrase, r.place,
+                substr(g.lc, greatest(1, instr(g.lc, r.phrase) - 20), instr(g.lc, r.phrase) - greatest(1, instr(g.lc, r.phrase) - 20)) AS win
+         FROM g JOIN rules r ON instr(g.lc, r.phrase) > 0),
+clear AS (SELECT * FROM hits WHERE NOT regexp_matches(win, {q(neg_re())}))
+"""
+
+
+def word_rules(spark, sf):
+    """A rule for every plain word of the benchmark items, labeled by its first letter: far more than a rule set spells out."""
+    words = fx.table(spark, sf, "benchmark").select(F.explode(F.split(F.lower("text"), " ")).alias("phrase")).distinct()
+    words = words.filter(F.col("phrase").rlike("^[a-z]{3,}$"))
+    # one task orders the vocabulary, the calls never
+    place = F.row_number().over(Window.orderBy("phrase")) - 1
+    return words.select(F.lit("type").alias("kind"), F.substring("phrase", 1, 1).alias("label"), "phrase", place.cast("bigint").alias("place"))
+
+
+@register("rule_table_counts", covers="L8", oracle=TABLE_RULES_SQL + """
+SELECT 'type' AS kind, label, phrase, count(*) AS n_calls FROM clear GROUP BY label, phrase""")
+def rule_table_counts(spark, sf):
+    return lab.table_hit_counts(gated(spark, sf)[0], word_rules(spark, sf))
+
+
+@register("rule_table_explain", covers="L6", oracle=TABLE_RULES_SQL + """
+SELECT call_id, string_agg('[' || label || '] …' || phrase || '…', ' ' ORDER BY place) AS matches FROM (
+  SELECT *, row_number() OVER (PARTITION BY call_id ORDER BY place) AS n FROM clear) WHERE n <= 5 GROUP BY call_id""")
+def rule_table_explain(spark, sf):
+    out = lab.explain_by_table(gated(spark, sf)[0], word_rules(spark, sf), 5)
+    return out.select("call_id", F.array_join("matches", " ").alias("matches"))
+
+
 # ------------------------------------------------------------------ aggregates
 def _top_sql(key: str, col: str, src: str = "labeled") -> str:
     return f"""(SELECT {key}, {col} FROM (

@@ -80,3 +80,41 @@ def test_mask_name(spark):
     df = spark.createDataFrame([("Jane Smith",), ("J",), ("  ",), (None,)], "n string")
     got = [r.m for r in df.select(tx.mask_name("n").alias("m")).collect()]
     assert got == ["J*** S****", "J*", "  ", None]
+
+
+def test_thousands_of_phrases_as_a_table(spark):
+    """The same hits as one expression a phrase, and as a plain loop for phrases that no plan could spell out."""
+    import random
+    import re
+
+    rng = random.Random(6)
+    words = [f"w{k}" for k in range(3000)]
+    phrases = [f"{rng.choice(words)} {rng.choice(words)}" for _ in range(2500)] + words[:2500] + ["  ", "W7 W8"]
+    texts = [" ".join(rng.choice(words + ["no", "never", "denied"] * 60) for _ in range(120)) for _ in range(40)] + ["", None, "w7 W8"]
+    calls = spark.createDataFrame([(str(k), t) for k, t in enumerate(texts)], "call_id string, transcript string")
+    table = spark.createDataFrame([("type", "L%d" % (k % 7), p, k) for k, p in enumerate(phrases)], "kind string, label string, phrase string, place long")
+    guard = re.compile(r"(^|[^\w])(no|not|never|without|deny|denied|denies)([^\w]|$)")
+    want = []
+    for k, t in enumerate(texts):
+        low = (t or "").lower()
+        for place, p in enumerate(phrases):
+            at = low.find(p.lower())
+            if p.strip() and at >= 0 and not guard.search(low[max(0, at - 20):at]):
+                want.append((str(k), "L%d" % (place % 7), p, place))
+    got = sorted((r.call_id, r.label, r.phrase, r.place) for r in lab.table_hits(calls, table).collect())
+    assert got == sorted(want) and len(want) > 2000
+    explained = {r.call_id: r.matches for r in lab.explain_by_table(calls, table, 3).collect()}
+    for call in {w[0] for w in want}:
+        first = sorted((w[3], f"[{w[1]}] …{w[2]}…") for w in want if w[0] == call)[:3]
+        assert explained.pop(call) == [x for _, x in first]
+    assert not explained
+
+
+def test_rules_table_gives_the_hits_of_a_rule_set(spark):
+    calls = spark.createDataFrame([("a", "an error and a refund issued a refund"), ("b", "no error here"), ("b", "issue with error"), (None, "error")],
+                                  "call_id string, transcript string")
+    rules = lab.RuleSet(types=(("Support", ("error", "issue", " ")), ("Complaint", ("error",))), outcomes=(("Refund", ("issued a refund",)),))
+    table = lab.rules_table(spark, rules)
+    key = lambda df: sorted((str(r.call_id), r.kind, r.label, r.phrase) for r in df.collect())
+    assert key(lab.table_hits(calls, table)) == key(lab.rule_hits(calls, rules))
+    assert lab.table_hits(calls, table.limit(0)).count() == 0
