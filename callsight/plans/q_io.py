@@ -55,25 +55,29 @@ CSV_PARTS = 4
 @register("csv_glob_rejects", covers="S2 S3 U1", oracle="WITH " + CALLS_RAW_CTE + f"""
 SELECT call_id, agent_id, CASE WHEN CAST(call_id AS BIGINT) % {CSV_PARTS} <> 2 THEN campaign END AS campaign,
        CASE WHEN CAST(call_id AS BIGINT) % {CSV_PARTS} <> 2 THEN {sr6('amount')} END AS amount, 'included' AS reason
-FROM calls_raw WHERE CAST(call_id AS BIGINT) % {CSV_PARTS} <> 3
-UNION ALL SELECT NULL, NULL, NULL, NULL, 'csv-fail: missing header in '
-UNION ALL SELECT NULL, NULL, NULL, NULL, 'csv-fail: malformed row in '""")
+FROM calls_raw
+UNION ALL SELECT NULL, NULL, NULL, NULL, 'csv-fail: missing header in ' FROM (SELECT DISTINCT campaign FROM calls_raw)
+UNION ALL SELECT NULL, NULL, NULL, NULL, 'csv-fail: malformed row in ' FROM (SELECT DISTINCT agent_id FROM calls_raw)""")
 def csv_glob_rejects(spark, sf):
-    """Uploads of the calls in three layouts (full, columns reversed, a subset in another order), one
-    without a usable header and one with malformed rows; file names are cut from the reasons."""
+    """Uploads of all calls in four layouts (full, columns reversed, a subset in another order, with unknown columns and a comma
+    in a value), and all of them again in files without a usable header, one a campaign, and with malformed rows, one an agent;
+    a file that can't be read is skipped. File names are cut from the reasons."""
     root = _scratch(spark, "csvglob")
     calls = fx.calls(spark, sf).drop("transcript")
     part = F.col("call_id").cast("bigint") % CSV_PARTS
     columns = [c for c in calls.columns if c not in ("Connected", "Type", "Outcome")]
-    layouts = {0: columns, 1: columns[::-1], 2: ["agent_id", "call_id"]}
+    extra = calls.withColumn("remark", F.concat(F.lit('so, "'), "campaign", F.lit('"')))
+    layouts = {0: columns, 1: columns[::-1], 2: ["agent_id", "call_id"], 3: ["remark", *columns]}
     for k, names in layouts.items():
-        io.write_csv(calls.filter(part == k).select(*names), f"{root}/layout{k}")
-    odd = calls.filter(part == 3).limit(3).select("agent_id", "campaign")
-    odd.coalesce(1).write.csv(f"{root}/noheader", header=False)
-    line = F.concat_ws(",", "call_id", F.lit("x"), F.lit("one too many"))
-    lines = calls.filter(part == 3).limit(3).agg(F.concat_ws("\n", F.lit("call_id,agent_id"), F.collect_list(line)).alias("value"))
-    lines.write.text(f"{root}/malformed")
-    read, rejects = io.read_calls_csv_glob(spark, f"{root}/*/part-*", skip_unreadable=True)
+        io.write_csv(extra.filter(part == k).select(*names), f"{root}/layout{k}")
+    io.write_bytes(spark, f"{root}/layout0/part-broken.csv.gz", b"\x1f\x8b\x08\x00 this is no archive")
+    odd = calls.select("campaign", "agent_id", "amount").repartition("campaign").withColumn("folder", F.col("campaign"))
+    odd.write.partitionBy("folder").csv(f"{root}/bad-heads", header=False)
+    line = F.struct(F.lit(1).alias("n"), F.concat_ws(",", "call_id", F.lit("x"), F.lit("one too many")).alias("value"))
+    head = F.struct(F.lit(0).alias("n"), F.lit("call_id,agent_id").alias("value"))
+    lines = calls.select("agent_id", line.alias("l")).union(calls.select("agent_id", head).distinct()).repartition("agent_id")
+    lines.sortWithinPartitions("agent_id", "l.n").select("agent_id", "l.value").write.partitionBy("agent_id").text(f"{root}/bad-rows")
+    read, rejects = io.read_calls_csv_glob(spark, f"{root}/{{layout*/part-*,bad-*/*/part-*}}", skip_unreadable=True)
     empty = F.lit(None).cast("string")
     return read.select("call_id", "agent_id", "campaign", r6("amount").alias("amount"), F.lit("included").alias("reason")).unionByName(
         rejects.select(empty.alias("call_id"), empty.alias("agent_id"), empty.alias("campaign"), F.lit(None).cast("double").alias("amount"),

@@ -8,14 +8,12 @@ failed job never exposes a half-written snapshot nor blocks a later one.
 
 from __future__ import annotations
 
-import csv
 import json
 import time
 import uuid
-from functools import reduce
 from typing import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -37,58 +35,57 @@ def read_calls_csv(spark: SparkSession, path: str | Sequence[str], *, multiline:
     return normalize_calls(df)
 
 
-def _headers(spark: SparkSession, glob: str) -> list[tuple[str, str]]:
-    """(file, first line) of every non-empty file: one row a file, as the file listing itself.
+#: a field of a line with a comma put in front: quoted, quotes inside doubled, or plain. Possessive, so that long fields nest nothing
+_FIELD = ',(?:"[^"]*+(?:""[^"]*+)*+"(?=,|$)|[^,]*+)'
+_RECORD = '(?:[^"\\r\\n]++|"[^"]*+")++'
 
-    Only the first split of each file is aggregated; line numbers grow along a split."""
-    lines = spark.read.text(glob).select("value", F.monotonically_increasing_id().alias("n"),
-                                         F.col("_metadata.file_path").alias("file"),
-                                         F.col("_metadata.file_block_start").alias("at"))
-    first = lines.filter("at = 0").groupBy("file").agg(F.min_by("value", "n").alias("header"))
-    return sorted((r["file"], r["header"]) for r in first.collect())
 
+def _fields(line: Column) -> Column:
+    """The fields of a line: null where empty, unquoted and quotes undoubled where quoted."""
+    def value(f):
+        f = F.substring(f, F.lit(2), F.length(f))
+        quoted = f.rlike('(?s)^".*"$') & (F.length(f) > 1)
+        inner = F.regexp_replace(F.substring(f, F.lit(2), F.length(f) - 2), '""', '"')
+        return F.when(quoted, inner).when(f != "", f)
+    return F.transform(F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(_FIELD), F.lit(0)), value)
 
-def _columns(header: str) -> list[str]:
-    """Column names of a header line, trimmed, without a byte order mark."""
-    return [c.strip() for c in next(csv.reader([header.lstrip("\ufeff")]), [])]
+
+def _csv_records(spark: SparkSession, glob: str, skip_unreadable: bool, multiline: bool) -> DataFrame:
+    """file, place (growing along a file), head (whether in the file's first split) and fields of every line that isn't blank,
+    written once: the files are read in one scan."""
+    reader = spark.read.option("ignoreCorruptFiles", skip_unreadable).option("ignoreMissingFiles", skip_unreadable)
+    file, at = F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start")
+    if multiline:
+        text = reader.text(glob, wholetext=True)
+        lines = text.select(file, F.lit(True).alias("head"), F.posexplode(F.regexp_extract_all("value", F.lit(_RECORD), F.lit(0))).alias("place", "value"))
+        lines = lines.withColumn("place", F.col("place").cast("bigint"))
+    else:
+        lines = reader.text(glob).select(file, (at == 0).alias("head"), F.monotonically_increasing_id().alias("place"), "value")
+    return staged(lines.where(F.trim("value") != "").select("file", "head", "place", _fields(F.col("value")).alias("fields")), "csv-records")
 
 
 def read_calls_csv_glob(spark: SparkSession, glob: str, *, skip_unreadable: bool = False, multiline: bool = False):
     """Many CSV files, each with any subset of the call columns in any order, by its header.
 
-    Files of one header are read together, and the layouts are united by name. A file without
-    a header that names ``call_id`` and a file with a malformed row each become one reject row
-    ``csv-fail: ...`` and give no calls. With ``skip_unreadable`` files that can't be read are left
-    out (S3). Returns (calls, rejects)."""
-    layouts: dict[tuple[str, ...], list[str]] = {}
-    rejects = []
-    for file, header in _headers(spark, glob):
-        names = _columns(header)
-        if "call_id" in names and len(set(names)) == len(names):
-            layouts.setdefault(tuple(names), []).append(file)
-        else:
-            rejects.append((file.rsplit("/", 1)[-1], "csv-fail: missing header in " + file.rsplit("/", 1)[-1]))
-    parts = []
-    for names, files in sorted(layouts.items()):
-        schema = T.StructType([T.StructField(c, T.StringType()) for c in (*names, "_corrupt_record")])
-        reader = (spark.read.options(**CSV_OPTIONS).option("multiLine", multiline).option("columnPruning", False).schema(schema)
-                  .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record")
-                  .option("ignoreCorruptFiles", skip_unreadable).option("ignoreMissingFiles", skip_unreadable))
-        known = [c for c in names if c in CALL_COLUMNS]
-        parts.append(reader.csv(files).select(*known, "_corrupt_record", F.col("_metadata.file_name").alias("_file")))
-    rejected = spark.createDataFrame(rejects, "call_id string, reason string")
-    if not parts:
-        return empty_calls(spark), rejected
-    raw = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts)
-    # one aggregate per file; it also reads a data column, since Spark refuses plans that read
-    # only the corrupt-record column of a raw CSV scan
-    per_file = raw.groupBy("_file").agg(F.max(F.col("_corrupt_record").isNotNull().cast("int")).alias("_bad"),
-                                        F.count("call_id").alias("_n"))
-    bad = per_file.filter((F.col("_bad") == 1) & (F.col("_n") >= 0)).select("_file")
-    good = raw.join(bad, "_file", "left_anti").drop("_corrupt_record", "_file")
-    malformed = bad.select(F.col("_file").alias("call_id"),
-                           F.concat(F.lit("csv-fail: malformed row in "), F.col("_file")).alias("reason"))
-    return normalize_calls(good), rejected.unionByName(malformed)
+    A file's header is its first line; the layout is looked up row by row, so any number of files and
+    layouts is one plan, and no list of files or headers comes to the driver. A file without
+    a header that names ``call_id``, or whose header names a column twice, and a file with a row of another number of
+    fields than its header each become one reject row ``csv-fail: ...`` and give no calls. With ``skip_unreadable``
+    files that can't be read are left out (S3). Values with line breaks need ``multiline``, which reads a file in
+    one task. Returns (calls, rejects)."""
+    rows = _csv_records(spark, glob, skip_unreadable, multiline)
+    heads = rows.where("head").groupBy("file").agg(F.min("place").alias("first"), F.min_by("fields", "place").alias("names"))
+    names = F.transform("names", lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), "\ufeff", "")))
+    heads = staged(heads.select("file", "first", names.alias("names")), "csv-heads")
+    usable = F.array_contains("names", "call_id") & (F.size("names") == F.size(F.array_distinct("names")))
+    lines = rows.join(heads.where(usable), "file").where("place != first")
+    bad = lines.where(F.size("fields") != F.size("names")).select("file").distinct()
+    good = lines.join(bad, "file", "left_anti")
+    columns = [F.try_element_at("fields", F.nullif(F.array_position("names", c), F.lit(0)).cast("int")).alias(c) for c in CALL_COLUMNS]
+    name = F.regexp_extract("file", r"([^/]+)$", 1)
+    rejects = heads.where(~usable).select(name.alias("call_id"), F.concat(F.lit("csv-fail: missing header in "), name).alias("reason")).unionByName(
+        bad.select(name.alias("call_id"), F.concat(F.lit("csv-fail: malformed row in "), name).alias("reason")))
+    return normalize_calls(good.select(*columns)), rejects
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
@@ -110,6 +107,14 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
+def write_bytes(spark: SparkSession, path: str, data: bytes) -> None:
+    """A small file of its own, which must not exist."""
+    fs, p = _fs(spark, path)
+    out = fs.create(p, False)
+    out.write(bytearray(data))
+    out.close()
+
+
 def _pointers(spark: SparkSession, root: str) -> list[str]:
     """Names of the published versions, oldest first: ``<number>-<run>``, each an empty file."""
     fs, p = _fs(spark, f"{root.rstrip('/')}/_published")
@@ -125,10 +130,7 @@ def _publish(spark: SparkSession, root: str, run: str, manifest: dict | None = N
     """Make a run the current version: its manifest first, if it has one, then one empty pointer file."""
     root = root.rstrip("/")
     if manifest is not None:
-        fs, p = _fs(spark, f"{root}/manifests/{run}.json")
-        out = fs.create(p, False)
-        out.write(bytearray(json.dumps(manifest, sort_keys=True).encode("utf-8")))
-        out.close()
+        write_bytes(spark, f"{root}/manifests/{run}.json", json.dumps(manifest, sort_keys=True).encode("utf-8"))
     names = _pointers(spark, root)
     number = int(names[-1].split("-", 1)[0]) + 1 if names else 1
     fs, pointer = _fs(spark, f"{root}/_published/{number:012d}-{run}")
