@@ -66,14 +66,18 @@ def kpi_tiles(calls: DataFrame, excluded: DataFrame) -> DataFrame:
     b = excluded.select(F.lit(None).cast("string").alias("Connected"),
                         F.lit(None).cast("string").alias("Type"),
                         F.lit(None).cast("string").alias("Outcome"), F.lit(True).alias("_ex"))
-    u = a.unionByName(b)
-    inc = ~F.col("_ex")
+    return flagged_tiles(a.unionByName(b).withColumn("included", ~F.col("_ex")))
+
+
+def flagged_tiles(rows: DataFrame) -> DataFrame:
+    """A2 over all calls of a batch with their labels and whether the gate let them in (``included``): one pass."""
+    inc = F.col("included")
     c = F.count_if(inc & (F.col("Connected") == "Connected"))
     d = F.count_if(inc & (F.col("Connected") == "Disconnected"))
-    return (u.agg(F.count_if(inc).alias("total"), c.alias("connected"), d.alias("disconnected"),
+    return (rows.agg(F.count_if(inc).alias("total"), c.alias("connected"), d.alias("disconnected"),
                   mode_of(F.when(inc, F.col("Type"))).alias("top_type"),
                   mode_of(F.when(inc, F.col("Outcome"))).alias("top_outcome"),
-                  F.count_if(F.col("_ex")).alias("excluded"))
+                  F.count_if(~inc).alias("excluded"))
              .withColumn("pct_connected", F.col("connected") * 100.0
                          / F.greatest(F.lit(1), F.col("connected") + F.col("disconnected")))
              .select("total", "connected", "disconnected", "pct_connected", "top_type",
@@ -206,12 +210,16 @@ def batch_report(included: DataFrame, excluded: DataFrame) -> DataFrame:
     """Included, connected, disconnected, excluded counts (one union + aggregate)."""
     a = included.select(F.col("Connected"), F.lit(False).alias("_ex"))
     b = excluded.select(F.lit(None).cast("string").alias("Connected"), F.lit(True).alias("_ex"))
-    u = a.unionByName(b)
-    inc = ~F.col("_ex")
-    return u.agg(F.count_if(inc).alias("included"),
-                 F.count_if(inc & (F.col("Connected") == "Connected")).alias("connected"),
-                 F.count_if(inc & (F.col("Connected") == "Disconnected")).alias("disconnected"),
-                 F.count_if(F.col("_ex")).alias("excluded"))
+    return flagged_report(a.unionByName(b).withColumn("included", ~F.col("_ex")))
+
+
+def flagged_report(rows: DataFrame) -> DataFrame:
+    """A15 over all calls of a batch with their labels and whether the gate let them in (``included``): one pass."""
+    inc = F.col("included")
+    return rows.agg(F.count_if(inc).alias("included"),
+                    F.count_if(inc & (F.col("Connected") == "Connected")).alias("connected"),
+                    F.count_if(inc & (F.col("Connected") == "Disconnected")).alias("disconnected"),
+                    F.count_if(~inc).alias("excluded"))
 
 
 def scope_tallies(scope: DataFrame, key: str = "question_id", top: int = 3) -> DataFrame:

@@ -106,6 +106,32 @@ def to_dense(idx: str = "vec_idx", val: str = "vec_val", dim: int = vx.HASH_DIM)
     return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.coalesce(m[i], F.lit(0.0)))
 
 
+def batched_embedder(embed, batch: int = 64, name: str = "vector"):
+    """V7: an embedder for ``embed_texts`` from a function of a list of texts to a list of vectors, called in the
+    tasks with at most ``batch`` texts at a time (null counts as empty). What it needs once a task (a model) it may
+    load on its first call."""
+    def embedder(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+        from typing import Iterator
+
+        import pandas as pd
+        from pyspark.sql.functions import pandas_udf
+
+        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for texts in batches:
+                given, out = texts.fillna("").tolist(), []
+                for k in range(0, len(given), batch):
+                    part = embed(given[k:k + batch])
+                    if len(part) != len(given[k:k + batch]):
+                        raise ValueError(f"the embedder gave {len(part)} vectors for {len(given[k:k + batch])} texts")
+                    out += [[float(x) for x in v] for v in part]
+                yield pd.Series(out, dtype=object)
+
+        run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
+        return df.withColumn(name, pandas_udf(run, "array<double>")(F.col(text_col)))
+
+    return embedder
+
+
 def embed_texts(texts: DataFrame, id_col: str, text_col: str, embedder=None,
                 dim: int = vx.HASH_DIM) -> DataFrame:
     """V7: pluggable embedder. ``embedder`` is a function (DataFrame, id, text) -> DataFrame with
@@ -286,3 +312,28 @@ def topk_display(ranked_scope: DataFrame, k: int, id_col: str = "call_id", seman
     scope_count = ranked_scope.select(F.count(F.lit(1))).scalar()
     top = rows.orderBy(*order)
     return (top.limit(max(1, int(k))) if semantic else top).withColumn("scope_count", scope_count)
+
+
+def present(scope: DataFrame, question: str, *, semantic: bool, top_k: int | None, reorder=None, id_col: str = "call_id") -> DataFrame:
+    """O3: the rows to show, with ``position`` and the ``scope_count`` of the whole scope.
+
+    ``reorder`` is a function of (scope, question) that gives the scope's rows with a ``rank`` column, and none more or
+    fewer. One that fails, or that changes the number of rows, is not used: rows are then in id order, as without
+    semantic ranking. Only with semantic ranking are at most ``max(1, top_k)`` rows shown."""
+    rows = staged(scope, "present-scope")
+    ranked = None
+    if semantic and reorder is not None:
+        try:
+            found = staged(reorder(rows, question).select(*rows.columns, "rank"), "present-ranked")
+            ranked = found if found.count() == rows.count() else None
+        except Exception:  # whatever a hook raises, the scope is shown as it is
+            ranked = None
+    if ranked is None:
+        ranked = rows.withColumn("rank", F.lit(0))
+    count = rows.select(F.count(F.lit(1))).scalar()
+    order = Window.orderBy(F.col("rank").asc_nulls_last(), F.col(id_col))
+    # a limited window keeps top_k rows a task; all rows are numbered in one only where all are shown
+    out = ranked.withColumn("position", F.row_number().over(order))
+    if semantic and top_k is not None:
+        out = out.where(F.col("position") <= max(1, int(top_k)))
+    return out.withColumn("scope_count", count).drop("rank")

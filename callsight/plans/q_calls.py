@@ -354,9 +354,8 @@ SELECT count(*) AS total, count(*) FILTER (WHERE Connected = 'Connected') AS con
        (SELECT count(*) FROM calls_raw WHERE len({stokens('transcript')}) < 20) AS excluded
 FROM labeled""")
 def kpi_tiles(spark, sf):
-    inc, exc = gated(spark, sf)
-    calls = lab.apply_labels(inc, LABEL_RULES)
-    return agg.kpi_tiles(calls, exc).withColumn("pct_connected", r6("pct_connected"))
+    calls = lab.apply_labels(flt.flagged(fx.calls(spark, sf)), LABEL_RULES)
+    return agg.flagged_tiles(calls).withColumn("pct_connected", r6("pct_connected"))
 
 
 @register("connection_breakdown", covers="A3 O6", oracle=LABELED_SQL + """
@@ -451,5 +450,4 @@ SELECT (SELECT count(*) FROM labeled) AS included,
        (SELECT count(*) FROM labeled WHERE Connected = 'Disconnected') AS disconnected,
        (SELECT count(*) FROM calls_raw WHERE len({stokens('transcript')}) < 20) AS excluded""")
 def batch_report(spark, sf):
-    inc, exc = gated(spark, sf)
-    return agg.batch_report(lab.apply_labels(inc, LABEL_RULES), exc)
+    return agg.flagged_report(lab.apply_labels(flt.flagged(fx.calls(spark, sf)), LABEL_RULES))

@@ -49,6 +49,17 @@ def snapshot_roundtrip(spark, sf):
     return back.select("call_id", fmt_ts("start_time").alias("start_time"), "Connected", "Type", "Outcome")
 
 
+@register("snapshot_csv_fallback", covers="S4", oracle="WITH " + CALLS_RAW_CTE + f"""
+SELECT call_id, {sfmt('start_time')} AS start_time, agent_id, {sr6('amount')} AS amount, sha256(transcript) AS transcript_sha FROM calls_raw""")
+def snapshot_csv_fallback(spark, sf):
+    """No version is published, so the CSV export of the same calls is loaded."""
+    path = _scratch(spark, "fallback")
+    io.write_csv(fx.calls(spark, sf), f"{path}/calls.csv")
+    back = io.load_snapshot(spark, f"{path}/snapshots", csv_fallback=f"{path}/calls.csv")
+    return back.select("call_id", fmt_ts("start_time").alias("start_time"), "agent_id", r6("amount").alias("amount"),
+                       F.sha2("transcript", 256).alias("transcript_sha"))
+
+
 CSV_PARTS = 4
 
 

@@ -361,3 +361,56 @@ WHERE (SELECT count(rank) FROM j) = 0 OR rank IS NOT NULL""")
 def rank_intersect(spark, sf):
     ranked = vec.knn(index(spark, sf), _question_vec(spark), k=50, metric="cosine", rank_digits=9)
     return vec.rank_intersect(_scope(spark, sf), ranked.select("doc_id", "rank")).select("call_id", "rank")
+
+
+PRESENT_MODES = ("near", "losing", "failing", "off")
+
+
+@register("present_reordered", covers="O3 J2", oracle=_scope_dist_sql() + """,
+n AS (SELECT count(*) AS scope_count FROM sdist),
+near AS (SELECT call_id, row_number() OVER (ORDER BY round(distance, 9) NULLS LAST, call_id) AS position FROM sdist),
+plain AS (SELECT call_id, row_number() OVER (ORDER BY call_id) AS position FROM sdist)
+SELECT 'near' AS mode, call_id, position, scope_count FROM near, n WHERE position <= 10
+UNION ALL SELECT m.mode, call_id, position, scope_count FROM plain, n, (VALUES ('losing'), ('failing')) AS m(mode) WHERE position <= 10
+UNION ALL SELECT 'off', call_id, position, scope_count FROM plain, n""")
+def present_reordered(spark, sf):
+    """A scope shown by a question's distance, by hooks that lose rows or fail (not used), and without semantic ranking."""
+    ranked = vec.rerank_indexed(index(spark, sf), _question_vec(spark), F.col("metadata")["type"] == "Support")
+    distances = ranked.select(F.col("doc_id").alias("_did"), F.round("distance", 9).alias("rank"))
+
+    def near(scope, question):
+        return scope.join(distances, scope["call_id"] == distances["_did"], "left")
+
+    def losing(scope, question):
+        return near(scope, question).where("rank < 1")
+
+    def failing(scope, question):
+        raise RuntimeError("no model")
+
+    out = None
+    for mode, hook in zip(PRESENT_MODES, (near, losing, failing, near)):
+        shown = vec.present(_scope(spark, sf).select("call_id"), QUESTION_TEXT, semantic=mode != "off", top_k=10, reorder=hook)
+        shown = shown.select(F.lit(mode).alias("mode"), "call_id", "position", "scope_count")
+        out = shown if out is None else out.unionByName(shown)
+    return out
+
+
+VOWELS = "aeiou"
+
+
+@register("embedder_hook", covers="V7 V3 V4", oracle="""
+WITH v AS (SELECT CAST(item_id AS VARCHAR) AS doc_id, [""" + ", ".join(
+    f"CAST(length(lower(coalesce(text, ''))) - length(replace(lower(coalesce(text, '')), '{c}', '')) AS DOUBLE)" for c in VOWELS) + f"""] AS v FROM benchmark),
+d AS (SELECT a.doc_id AS query_id, b.doc_id, {_dist_sql('cosine').replace('qvec', 'a.v').replace('list_zip(v,', 'list_zip(b.v,').replace('list_transform(v,', 'list_transform(b.v,')} AS distance
+      FROM v a, v b)
+SELECT query_id, doc_id, round(distance, 6) AS distance, rank FROM (
+  SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(distance, 9), doc_id) AS rank FROM d) WHERE rank <= 3""")
+def embedder_hook(spark, sf):
+    """Benchmark items embedded by a caller's function of lists of texts, and the three nearest of each."""
+    def count_vowels(texts):
+        return [[t.lower().count(c) for c in VOWELS] for t in texts]
+
+    items = fx.table(spark, sf, "benchmark").select(F.col("item_id").cast("string").alias("doc_id"), "text")
+    embedded = vec.embed_texts(items, "doc_id", "text", vec.batched_embedder(count_vowels))
+    queries = embedded.select(F.col("doc_id").alias("query_id"), F.col("vector").alias("qvec"))
+    return vec.knn(embedded, queries, 3, rank_digits=9).withColumn("distance", r6("distance"))

@@ -87,3 +87,33 @@ def test_knn_in_blocks_and_small_l2(spark, monkeypatch):
         want[f"q{q}"] = [i for _, i in d]
     for q, ids in want.items():
         assert [r[1] for r in sorted((r for r in whole if r[0] == q), key=lambda r: r[3])] == ids
+
+
+def test_embedder_of_lists_gets_batches_of_64(spark):
+    import pytest
+
+    def embed(texts):
+        assert len(texts) <= 64
+        return [[len(t), len(texts)] for t in texts]
+
+    docs = spark.createDataFrame([(str(k), "x" * k if k else None) for k in range(150)], "doc_id string, text string").coalesce(1)
+    got = {r.doc_id: list(r.vector) for r in vec.embed_texts(docs, "doc_id", "text", vec.batched_embedder(embed)).collect()}
+    assert all(got[str(k)][0] == k for k in range(150)) and {v[1] for v in got.values()} <= {64.0, 22.0}
+    with pytest.raises(Exception):
+        vec.embed_texts(docs, "doc_id", "text", vec.batched_embedder(lambda texts: [[1.0]])).collect()
+
+
+def test_present_uses_only_a_hook_that_keeps_all_rows(spark):
+    from pyspark.sql import functions as F
+    scope = spark.createDataFrame([(c,) for c in "dbac"], "call_id string")
+    shown = lambda **k: [(r.call_id, r.scope_count) for r in vec.present(scope, "q", **k).orderBy("position").collect()]
+    back = lambda s, q: s.withColumn("rank", -F.ascii("call_id"))
+    assert shown(semantic=True, top_k=2, reorder=back) == [("d", 4), ("c", 4)]
+    assert shown(semantic=True, top_k=0, reorder=back) == [("d", 4)]
+    assert shown(semantic=True, top_k=None, reorder=back)[0] == ("d", 4)
+    plain = [("a", 4), ("b", 4), ("c", 4), ("d", 4)]
+    assert shown(semantic=False, top_k=1, reorder=back) == plain
+    for bad in (lambda s, q: back(s, q).limit(3), lambda s, q: back(s, q).union(back(s, q)), lambda s, q: 1 / 0,
+                lambda s, q: back(s, q).withColumn("rank", F.raise_error(F.lit("late")))):
+        assert shown(semantic=True, top_k=3, reorder=bad) == plain[:3]
+    assert vec.present(scope.limit(0), "q", semantic=True, top_k=3, reorder=back).count() == 0
