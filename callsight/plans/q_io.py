@@ -95,13 +95,22 @@ def csv_glob_rejects(spark, sf):
                        F.regexp_replace("reason", " in .*", " in ").alias("reason")))
 
 
-@register("file_listing", covers="S9 S10 T8")
+@register("file_listing", covers="S9 S10 T8", oracle="WITH " + CALLS_RAW_CTE + """,
+files AS (SELECT campaign, string_agg(call_id || chr(10), '' ORDER BY call_id) AS content FROM calls_raw GROUP BY campaign)
+SELECT campaign AS name, CAST(strlen(content) AS BIGINT) AS size, sha256(content) AS found FROM files
+UNION ALL SELECT campaign || '.wav', NULL, 'file not found' FROM files""")
 def file_listing(spark, sf):
-    listing = io.list_media(spark, sf, [".PARQUET"])
-    hashes = io.hash_media(spark, sf, ["parquet"]).select("path", "sha256")
-    requested = spark.createDataFrame([("documents.parquet",), ("missing.wav",)], "name string")
-    found = listing.join(hashes, "path").select(F.col("name").alias("call_id"), F.col("sha256").alias("reason"))
-    return found.unionByName(io.missing_files(requested, listing))
+    """One file a campaign with its calls' ids, listed beside files of another kind; recordings of them are asked for in vain."""
+    root = _scratch(spark, "media")
+    calls = fx.calls(spark, sf).select("campaign", "call_id")
+    calls.repartition("campaign").sortWithinPartitions("campaign", "call_id").write.partitionBy("campaign").text(f"{root}/ids")
+    calls.write.csv(f"{root}/other")
+    listing = io.list_media(spark, root, [".TXT"])
+    found = listing.join(io.hash_media(spark, root, ["txt"]).select("path", "sha256"), "path")
+    files = found.select(F.regexp_extract("path", "campaign=([^/]+)", 1).alias("name"), F.col("length").alias("size"), F.col("sha256").alias("found"))
+    asked = calls.select(F.concat("campaign", F.lit(".wav")).alias("name")).distinct()
+    lost = io.missing_files(asked, listing)
+    return files.unionByName(lost.select(F.col("call_id").alias("name"), F.lit(None).cast("bigint").alias("size"), F.col("reason").alias("found")))
 
 
 def _payloads(spark, sf):
