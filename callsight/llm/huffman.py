@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .staging import shared_dir, stage
-from .tokens import encoder
+from .tokens import SLICE, encoder
 from .words import slices
 
 MAX_BITS, STRIDE = 16, 256
@@ -152,7 +152,7 @@ def tokenized(docs: DataFrame, vocabulary: str | None = None) -> DataFrame:
         tokens = encoder(vocabulary)
         kind = "<u2" if tokens.tokenizer.get_vocab_size() <= 1 << 16 else "<u4"
         for batch in batches:
-            for first, texts in slices(batch.column(1)):
+            for first, texts in slices(batch.column(1), SLICE):
                 ids, at = tokens.documents(texts)
                 size = np.dtype(kind).itemsize
                 data = pa.py_buffer(ids.astype(kind).tobytes())

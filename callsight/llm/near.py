@@ -89,6 +89,7 @@ def _sketch(size: int, trees: int, depth: int):
                 signatures.append(_signature(values, a, b).tobytes() if len(values) else None)
             yield pa.record_batch([batch.column(0), batch.column(1), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()),
                                    pa.array(signatures, pa.binary())], ["id", "doc_id", "n_shingles", "digest", "signature"])
+        pa.default_memory_pool().release_unused()  # the worker waits for its next task without it
 
     return run
 
@@ -166,6 +167,7 @@ def _sets(size: int):
         for batch in batches:
             yield pa.record_batch([batch.column(0), pa.array([s.tobytes() for s in shingle_sets(batch.column(1), size)],
                                                              pa.binary())], ["id", "shingles"])
+        pa.default_memory_pool().release_unused()
 
     return run
 

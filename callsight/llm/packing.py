@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .staging import stage
-from .tokens import END_ID, encoder
+from .tokens import END_ID, SLICE, encoder
 from .words import slices
 
 CAPACITY = 4096
@@ -151,7 +151,7 @@ def cut(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str | None = None
         row = TaskContext.get().partitionId() << 40
         tokens = encoder(vocabulary)
         for batch in batches:
-            for first, texts in slices(batch.column(1)):
+            for first, texts in slices(batch.column(1), SLICE):
                 ids, at = tokens.documents(texts)
                 size = np.diff(at)
                 parts = -(-size // capacity)

@@ -22,8 +22,10 @@ from .words import LOWER, span_hashes, utf8_batch, word_bounds
 END_ID = 2
 VOCABULARY = "word_bpe_49k.json"
 #: slots of a worker's piece table, and ids remembered before it starts afresh
-SLOTS = 1 << 22
-MAX_IDS = 1 << 24
+SLOTS = 1 << 21
+MAX_IDS = 1 << 23
+#: bytes of text that are encoded at once; a few dozen times as much is held meanwhile
+SLICE = 1 << 20
 #: Latin letters that are single code points in either case
 _LETTERS = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 
