@@ -1,9 +1,10 @@
 """Derived inputs built from the driver tables (same definitions as the oracle SQL).
 
 ``calls`` is derived from documents ⋈ orders ⋈ customer, the first line item of
-each order and its part. All joins are on keys; line items of other orders leave
-by a semi-join before the first one of each order is taken (``min`` of a struct, which
-Spark sorts within tasks and combines map-side).
+each order and its part. All joins are on keys; orders and line items that are no calls leave
+by a semi-join before the first item of each order is taken (``min`` of a struct, which
+Spark sorts within tasks and combines map-side). The texts are joined last, so they are shuffled
+once, however many tables are too large to broadcast.
 """
 
 from __future__ import annotations
@@ -42,18 +43,23 @@ def first_line_items(spark: SparkSession, sf_dir: str) -> DataFrame:
               .select("l_orderkey", "f.l_partkey", "f.l_suppkey", "f.l_quantity"))
 
 
-def calls_with_raw_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The canonical 14-column ``calls`` table with raw (user-supplied) labels."""
-    prepare(spark)
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
-    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
+def _order_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the other tables say of the orders that are calls, without any text."""
+    calls = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("o_orderkey"))
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate").join(calls, "o_orderkey", "left_semi")
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_mktsegment")
     p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
     fl = first_line_items(spark, sf_dir)
-    j = (d.join(o, d.doc_id == o.o_orderkey, "inner")
-          .join(c, o.o_custkey == c.c_custkey, "inner")
-          .join(fl, o.o_orderkey == fl.l_orderkey, "left")
-          .join(p, fl.l_partkey == p.p_partkey, "left"))
+    return (o.join(c, o.o_custkey == c.c_custkey, "inner")
+             .join(fl, o.o_orderkey == fl.l_orderkey, "left")
+             .join(p, fl.l_partkey == p.p_partkey, "left"))
+
+
+def _calls(facts: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 14 columns of ``calls`` from the orders' facts and the texts; a ``priority`` among the facts stays."""
+    prepare(spark)
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    j = d.join(facts, F.col("doc_id") == F.col("o_orderkey"), "inner")
     doc = F.col("doc_id")
     start = F.timestamp_seconds(
         F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + (doc * 7919) % 86400)
@@ -75,9 +81,15 @@ def calls_with_raw_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         _raw_label(doc, "Connected", "Disconnected").alias("Connected"),
         _raw_label(doc, "Support", "Complaint").alias("Type"),
         _raw_label(doc, "Refund", "Resolved").alias("Outcome"),
+        *[c for c in ("priority",) if c in facts.columns],
     )
 
 
+def calls_with_raw_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The canonical 14-column ``calls`` table with raw (user-supplied) labels."""
+    return _calls(_order_facts(spark, sf_dir), spark, sf_dir)
+
+
 def calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Calls without user labels (labels are computed by the rules)."""
     return calls_with_raw_labels(spark, sf_dir).drop("Connected", "Type", "Outcome")
@@ -95,11 +107,20 @@ def order_priority(spark: SparkSession, sf_dir: str) -> DataFrame:
                                                   F.col("o_orderpriority").alias("priority"))
 
 
+def prioritized_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calls with raw labels and their order's ``priority``, which joins them before the texts do; ``order_id`` first."""
+    priority = order_priority(spark, sf_dir).withColumnRenamed("order_id", "_order_id")
+    facts = _order_facts(spark, sf_dir)
+    facts = facts.join(priority, F.col("o_orderkey").cast("string") == F.col("_order_id")).drop("_order_id")
+    calls = _calls(facts, spark, sf_dir)
+    return calls.select("order_id", *[c for c in calls.columns if c != "order_id"])
+
+
 def batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two overlapping upload batches over the whole calls table: batch 1 = every call whose
     order is not low priority; batch 2 = urgent, high and low priority calls re-uploaded with
     amount + 1 (so urgent/high calls are updated and low ones are new)."""
-    base = calls_with_raw_labels(spark, sf_dir).join(order_priority(spark, sf_dir), "order_id")
+    base = prioritized_calls(spark, sf_dir)
     b1 = base.filter(~F.col("priority").isin(*BATCH1_EXCLUDES)).withColumn("batch", F.lit(1))
     b2 = (base.filter(F.col("priority").isin(*BATCH2_PRIORITIES)).withColumn("amount", F.col("amount") + 1)
               .withColumn("batch", F.lit(2)))
