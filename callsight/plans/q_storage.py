@@ -11,7 +11,7 @@ from ..operators import filters as flt
 from ..operators import labels as lab
 from ..operators import merge as mg
 from ..schema import EXCLUDED
-from ..session import scratch_path
+from ..session import scratch_path, staged
 from ..sources import io
 from ..sources import labels as label_store_runs
 from . import fixtures as fx
@@ -97,7 +97,7 @@ SELECT month, count(*) AS calls, {sr6('sum(amount + CASE WHEN again THEN 1 ELSE
 def monthly_merge(spark, sf):
     """All calls, then corrections of the urgent ones in even months, then those again: which upload wrote each month's folder."""
     root = scratch_path(spark, f"monthly-{uuid.uuid4().hex[:12]}")
-    base = fx.calls_with_raw_labels(spark, sf).join(fx.order_priority(spark, sf), "order_id")
+    base = fx.prioritized_calls(spark, sf)
     io.merge_calls_snapshot(base.drop("priority"), root, tz="UTC", source="uploads", batch=1)
     first = {run for run, _ in io.snapshot_parts(spark, root)}
     again = (base.filter((F.col("priority") == "1-URGENT") & (F.month("start_time") % 2 == 0)).drop("priority")
@@ -148,7 +148,7 @@ UNION ALL SELECT 3, call_id, 'Disconnected', Type, Outcome, TRUE FROM k""")
 def label_store(spark, sf):
     """A first upload, all calls, and all calls under a changed rule: what each run had to label."""
     root = scratch_path(spark, f"labels-{uuid.uuid4().hex[:12]}")
-    inc, _ = flt.gate(fx.calls(spark, sf))
+    inc = staged(flt.gate(fx.calls(spark, sf))[0], "label-calls")       # what all three runs read
     first = inc.join(fx.order_priority(spark, sf).filter("priority <> '5-LOW'"), "order_id", "left_semi")
     changed = replace(LABEL_RULES, duration_cutoff_s=10 ** 9)
     runs = [label_store_runs.label_calls(calls, root, rules) for calls, rules in ((first, LABEL_RULES), (inc, LABEL_RULES), (inc, changed))]
