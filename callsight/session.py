@@ -73,5 +73,5 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     """A frame written once to the shared scratch folder and read from there: it is computed once, and a
     lost executor reads it again."""
     path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
