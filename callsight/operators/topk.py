@@ -4,13 +4,13 @@ from __future__ import annotations
 
 import numpy as np
 
-#: entries of a distance matrix at a time
-CELLS = 1 << 22
+#: entries of a distance matrix, or of a block of vectors, at a time
+CELLS = 1 << 19
 
 
-def slices(rows: int, queries: int):
-    """(first, end) of row slices whose distance matrix to all queries stays below ``CELLS`` entries."""
-    step = max(1, CELLS // max(queries, 1))
+def slices(rows: int, queries: int, dim: int = 1):
+    """(first, end) of row slices whose distance matrix to all queries, and whose vectors, stay below ``CELLS`` entries."""
+    step = max(1, CELLS // max(queries, dim, 1))
     for first in range(0, rows, step):
         yield first, min(rows, first + step)
 
