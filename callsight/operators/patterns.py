@@ -11,6 +11,8 @@ from ..session import staged
 
 #: characters of the needles of one automaton, about
 BLOCK_CHARS = 1 << 20
+#: texts whose hits a task holds at a time
+ROWS = 128
 
 
 def _held(shared):
@@ -23,7 +25,7 @@ def _held(shared):
         for needle in shared.value:
             find.add_word(needle, needle)
         find.make_automaton()
-        for batch in batches:
+        for batch in (given.slice(k, ROWS) for given in batches for k in range(0, given.num_rows, ROWS)):
             rows, needles = [], []
             for row, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 found = {needle for _, needle in find.iter(text)}
@@ -56,7 +58,7 @@ def _first(shared, window: int):
             find.add_word(needle, k)
         find.make_automaton()
         sizes = [len(needle) for needle in shared.value]
-        for batch in batches:
+        for batch in (given.slice(k, ROWS) for given in batches for k in range(0, given.num_rows, ROWS)):
             row_of, needles, before = [], [], []
             for n, text in enumerate(batch.column(1).to_pylist()):
                 first: dict[int, int] = {}
