@@ -22,6 +22,9 @@ TAIL_FRACTION_DEFAULT = 0.25
 # Whitespace as Python's str.isspace() sees it, spelled so Java and RE2 read it alike.
 WS_CLASS = r"[\t\n\x0B\f\r\x1C-\x1F\x{85}\p{Z}]"
 
+# A text that is more than white space.
+NOT_BLANK = "[^" + WS_CLASS[1:]
+
 # Unicode-aware word boundary written with explicit classes so that Java and RE2
 # agree (Python's ``\b`` treats letters/digits/underscore of any script as word chars).
 _NOT_WORD = r"[^\p{L}\p{N}_]"
@@ -95,6 +98,12 @@ def unicode_trim(c) -> Column:
     return F.regexp_replace(_col(c), f"^{WS_CLASS}+|{WS_CLASS}+$", "")
 
 
+def trimmed(c: Column) -> Column:
+    """``unicode_trim`` of a long text in a column: searched only if it begins or ends with white space."""
+    at_end = F.concat(F.substring(c, 1, 1), F.substring(c, -1, 1)).rlike(WS_CLASS)
+    return F.when(at_end, unicode_trim(c)).otherwise(c)
+
+
 def normalize_ws(c) -> Column:
     """Collapse any whitespace run to one space and strip (null -> '')."""
     return unicode_trim(F.regexp_replace(safe_text(c), f"{WS_CLASS}+", " "))

@@ -2,7 +2,7 @@
 
 Scale notes
 -----------
-* Hash embedding is a projection of each row; it shuffles nothing.
+* Hash embedding is a projection of each row, in Arrow batches; it shuffles nothing.
 * k-NN is exact: all indexed documents are scored against the stated query set, block by
   block. A block holds about ``QUERY_BLOCK`` queries (by hash) and is one broadcast; the
   same plan serves every number of queries, with one pass over the index per block. Each
@@ -13,6 +13,7 @@ Scale notes
 from __future__ import annotations
 
 from functools import reduce
+from hashlib import md5
 from typing import Mapping, Sequence
 
 import numpy as np
@@ -37,7 +38,7 @@ META_FIELDS = {"call_id": "call_id", "start_time": "start_time", "agent_id": "ag
 
 def prepare_docs(df: DataFrame, fields: Sequence[str] = ("transcript",)) -> DataFrame:
     """(doc_id, text, metadata): non-blank fields joined by newline; empty text dropped."""
-    parts = [tx.unicode_trim(F.col(f).cast("string")) if f in df.columns else F.lit(None).cast("string")
+    parts = [tx.trimmed(F.col(f).cast("string")) if f in df.columns else F.lit(None).cast("string")
              for f in fields]
     text = F.array_join(F.filter(F.array(*parts), lambda x: x.isNotNull() & (x != "")), "\n")
     meta = []
@@ -50,7 +51,7 @@ def prepare_docs(df: DataFrame, fields: Sequence[str] = ("transcript",)) -> Data
         meta += [F.lit(k), F.coalesce(v.cast("string"), F.lit(""))]
     out = df.select(F.col("call_id").cast("string").alias("doc_id"), text.alias("text"),
                     F.create_map(*meta).alias("metadata"))
-    return out.filter(tx.unicode_trim(F.col("text")) != "")
+    return out.filter(F.col("text").rlike(tx.NOT_BLANK))
 
 
 def validate_docs(docs: DataFrame, id_field: str = "doc_id", text_field: str = "text") -> DataFrame:
@@ -72,24 +73,57 @@ def hash_embed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """V1: docs + sparse L2-normalized hash vector ``vec_idx array<int>``, ``vec_val array<double>``
     (sorted by index; empty arrays for a text without tokens).
 
-    A narrow projection: every row is embedded from its own text, so rows with equal or null
-    ids stay apart and nothing is shuffled. Counts come from the sorted buckets, in one pass: the place
-    where a bucket begins, subtracted from that where the next one does."""
-    buckets = F.array_sort(F.transform(vx.hash_tokens(F.col(text_col)), lambda t: vx.hash_bucket(t, dim)))
-    # one-row generators keep the optimizer from evaluating the token work once per use
-    rows = docs.select("*", F.inline(F.array(F.struct(buckets.alias("_b")))))
-    begins = F.filter(F.transform("_b", lambda x, i: F.when((i == 0) | (x != F.try_element_at("_b", F.greatest(i, F.lit(1)))), i + 1)),
-                      lambda i: i.isNotNull())
-    rows = rows.select("*", F.inline(F.array(F.struct(begins.cast("array<bigint>").alias("_f")))))
-    rows = rows.select("*", F.inline(F.array(F.struct(F.transform("_f", lambda i: F.element_at("_b", i.cast("int"))).alias("vec_idx")))))
-    after = F.concat(F.slice("_f", F.lit(2), F.greatest(F.size("_f") - 1, F.lit(0))),
-                     F.array(F.size("_b").cast("bigint") + 1))
-    counts = F.zip_with("_f", F.slice(after, F.lit(1), F.size("_f")), lambda x, y: (y - x).cast("double"))
-    rows = rows.select("*", F.inline(F.array(F.struct(counts.alias("_n")))))
-    norm = vx.l2_norm(F.col("_n"))
-    return (rows.withColumn("_norm", norm)
-                .withColumn("vec_val", F.transform("_n", lambda x: x / F.col("_norm")))
-                .drop("_b", "_f", "_n", "_norm"))
+    A projection of each row: rows with equal or null ids stay apart and nothing is shuffled. Texts are lower-cased by
+    Spark and counted in Arrow batches inside the tasks; a task keeps the buckets of words it has met, a bounded number."""
+    lowered = F.lower(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    return docs.withColumn("_e", _embedder(int(dim))(lowered)).select("*", "_e.vec_idx", "_e.vec_val").drop("_e")
+
+
+#: words whose buckets a task keeps, and texts of one piece of the answer
+KNOWN_WORDS, EMBED_ROWS = 1 << 17, 1024
+
+
+def _embedder(dim: int):
+    """A function of a column of lower-cased texts to their vectors as (vec_idx, vec_val)."""
+    from typing import Iterator
+
+    import pyarrow as pa
+    from pyspark.sql.functions import arrow_udf
+
+    kind = pa.struct([("vec_idx", pa.list_(pa.int32())), ("vec_val", pa.list_(pa.float64()))])
+
+    def vectors(texts: pa.Array, known: dict) -> pa.Array:
+        ends, idx, val = [0], [np.zeros(0, np.int32)], [np.zeros(0)]
+        for text in texts.to_pylist():
+            words = text.split()                # at WS_CLASS, which is what Python calls white space
+            at = []
+            for w in words:
+                bucket = known.get(w)
+                if bucket is None:
+                    bucket = int(md5(w.encode("utf-8")).hexdigest()[:8], 16) % dim
+                    if len(known) >= KNOWN_WORDS:
+                        known.clear()
+                    if len(w) <= 64:
+                        known[w] = bucket
+                at.append(bucket)
+            counts = np.bincount(np.array(at, dtype=np.int64), minlength=dim)
+            held = np.flatnonzero(counts)
+            n = counts[held].astype(np.float64)
+            idx.append(held.astype(np.int32))
+            val.append(n / np.sqrt((n * n).sum()) if len(n) else n)
+            ends.append(ends[-1] + len(held))
+        ends = pa.array(ends, pa.int32())
+        return pa.StructArray.from_arrays([pa.ListArray.from_arrays(ends, pa.array(np.concatenate(idx), pa.int32())),
+                                           pa.ListArray.from_arrays(ends, pa.array(np.concatenate(val), pa.float64()))], ["vec_idx", "vec_val"])
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        known: dict = {}
+        for texts in batches:
+            parts = [vectors(texts.slice(k, EMBED_ROWS), known) for k in range(0, len(texts), EMBED_ROWS)]
+            yield pa.concat_arrays(parts) if parts else pa.array([], kind)
+
+    run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return arrow_udf(run, "struct<vec_idx:array<int>,vec_val:array<double>>")
 
 
 def hash_sparse(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -211,7 +245,7 @@ def _score(docs: DataFrame, queries: DataFrame, k: int, metric: str,
         best = RunningTopK(len(q), kk)
         for batch in batches:
             ids = np.asarray(batch.column(0).to_pylist(), dtype=str)
-            for first, end in slices(batch.num_rows, len(q)):
+            for first, end in slices(batch.num_rows, len(q), q.shape[1]):
                 block = dense(*(batch.column(c).slice(first, end - first) for c in range(1, batch.num_columns)), dim=q.shape[1])
                 dist = distances(block, q, metric)
                 best.add(dist if rank_digits is None else np.round(dist, rank_digits), dist, ids[first:end])
@@ -265,9 +299,11 @@ def question_vectors(questions: DataFrame, id_col: str = "question_id", text_col
 
 def rank_intersect(scope: DataFrame, ranked: DataFrame, id_col: str = "call_id") -> DataFrame:
     """Keep scope rows whose id is ranked, ordered by rank; with no ranked ids or no
-    overlap the scope is returned unchanged (rank null). ``ranked`` is (doc_id, rank), bounded by k."""
+    overlap the scope is returned unchanged (rank null). ``ranked`` is (doc_id, rank), bounded by k.
+
+    The joined rows are written once: the overlap, the sort's sample and the sort all read them."""
     r = ranked.select(F.col("doc_id").alias("_rid"), F.col("rank"))
-    joined = scope.join(r, scope[id_col] == r["_rid"], "left").drop("_rid")
+    joined = staged(scope.join(F.broadcast(r), scope[id_col] == r["_rid"], "left").drop("_rid"), "rank-intersect")
     overlap = joined.select(F.count_if(F.col("rank").isNotNull())).scalar()
     return (joined.filter((overlap == 0) | F.col("rank").isNotNull())
                   .orderBy(F.col("rank").asc_nulls_last(), F.col(id_col)))
@@ -331,9 +367,23 @@ def present(scope: DataFrame, question: str, *, semantic: bool, top_k: int | Non
     if ranked is None:
         ranked = rows.withColumn("rank", F.lit(0))
     count = rows.select(F.count(F.lit(1))).scalar()
-    order = Window.orderBy(F.col("rank").asc_nulls_last(), F.col(id_col))
-    # a limited window keeps top_k rows a task; all rows are numbered in one only where all are shown
-    out = ranked.withColumn("position", F.row_number().over(order))
+    order = (F.col("rank").asc_nulls_last(), F.col(id_col))
     if semantic and top_k is not None:
-        out = out.where(F.col("position") <= max(1, int(top_k)))
+        # a limited window keeps top_k rows a task
+        out = ranked.withColumn("position", F.row_number().over(Window.orderBy(*order))).where(F.col("position") <= max(1, int(top_k)))
+    else:
+        out = numbered_in_order(ranked, order, "position")
     return out.withColumn("scope_count", count).drop("rank")
+
+
+def numbered_in_order(rows: DataFrame, order: Sequence, name: str) -> DataFrame:
+    """All rows with their number from 1 in ``order``. They are sorted in ranges by many tasks and written; a range's
+    first number is the sum of the sizes of those before it, of which there are as many as ranges."""
+    placed = staged(rows.orderBy(*order).withColumn("_place", F.monotonically_increasing_id()), "numbered")
+    placed = placed.select("*", F.shiftright("_place", 33).alias("_range"))
+    sizes = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(F.col("_range").alias("_of"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    out = placed.join(F.broadcast(starts), F.col("_range") == F.col("_of"))
+    number = F.col("_before") + F.col("_place").bitwiseAND(F.lit((1 << 33) - 1)) + 1
+    return out.withColumn(name, number.cast("int")).drop("_place", "_range", "_of", "_before")

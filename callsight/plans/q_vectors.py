@@ -11,7 +11,7 @@ from ..functions import vectors as vx
 from ..operators import ivf
 from ..operators import merge as mg
 from ..operators import vectors as vec
-from ..session import scratch_path
+from ..session import scratch_path, staged
 from ..sources import collections
 from . import fixtures as fx
 from .common import LABELED_SQL, labeled, r6
@@ -50,11 +50,16 @@ def _sparse_sql(src: str, id_col: str, text_col: str, name: str) -> str:
 """
 
 
-def index(spark, sf):
-    docs = vec.prepare_docs(labeled(spark, sf), DOC_FIELDS)
+def index(spark, sf, calls=None):
+    docs = vec.prepare_docs(labeled(spark, sf) if calls is None else calls, DOC_FIELDS)
     return vec.hash_embed(docs, "doc_id", "text")
 
 
+def _labeled_once(spark, sf):
+    """The labeled calls, for queries that read them as scope and as index."""
+    return staged(labeled(spark, sf), "labeled")
+
+
 @register("index_docs", covers="P13 D36", oracle=DOCS_SQL + """
 SELECT doc_id, sha256(text) AS text_sha, m_campaign AS campaign, m_type AS type, m_outcome AS outcome
 FROM docs_ne""")
@@ -267,8 +272,8 @@ def _question_vec(spark):
     return vec.question_vectors(qdf)
 
 
-def _scope(spark, sf):
-    return labeled(spark, sf).filter(F.col("Type") == "Support")
+def _scope(calls):
+    return calls.filter(F.col("Type") == "Support")
 
 
 QVEC_SQL = _sparse_sql(f"(SELECT 'q' AS qid, {q(QUESTION_TEXT)} AS text)", "qid", "text", "qv")
@@ -310,8 +315,9 @@ LEFT JOIN dots ON dots.doc_id = s.call_id AND dots.query_id = u.query_id""")
 def rerank_many(spark, sf):
     """Several questions over one scope; calls ending in 3 are not in the index and keep a null distance."""
     qdf = spark.createDataFrame(list(RERANK_QUESTIONS.items()), "question_id string, text string")
-    held = index(spark, sf).filter(F.substring("doc_id", -1, 1) != "3")
-    out = vec.rerank_scope(_scope(spark, sf).select("call_id"), held, vec.question_vectors(qdf))
+    calls = _labeled_once(spark, sf)
+    held = index(spark, sf, calls).filter(F.substring("doc_id", -1, 1) != "3")
+    out = vec.rerank_scope(_scope(calls).select("call_id"), held, vec.question_vectors(qdf))
     return out.select("call_id", "query_id", r6("distance").alias("distance"))
 
 
@@ -359,8 +365,9 @@ j AS (SELECT s.call_id, r.rank FROM scope s LEFT JOIN ranked r ON r.doc_id = s.c
 SELECT call_id, rank FROM j
 WHERE (SELECT count(rank) FROM j) = 0 OR rank IS NOT NULL""")
 def rank_intersect(spark, sf):
-    ranked = vec.knn(index(spark, sf), _question_vec(spark), k=50, metric="cosine", rank_digits=9)
-    return vec.rank_intersect(_scope(spark, sf), ranked.select("doc_id", "rank")).select("call_id", "rank")
+    calls = _labeled_once(spark, sf)
+    ranked = vec.knn(index(spark, sf, calls), _question_vec(spark), k=50, metric="cosine", rank_digits=9)
+    return vec.rank_intersect(_scope(calls).select("call_id"), ranked.select("doc_id", "rank")).select("call_id", "rank")
 
 
 PRESENT_MODES = ("near", "losing", "failing", "off")
@@ -375,8 +382,11 @@ UNION ALL SELECT m.mode, call_id, position, scope_count FROM plain, n, (VALUES (
 UNION ALL SELECT 'off', call_id, position, scope_count FROM plain, n""")
 def present_reordered(spark, sf):
     """A scope shown by a question's distance, by hooks that lose rows or fail (not used), and without semantic ranking."""
-    ranked = vec.rerank_indexed(index(spark, sf), _question_vec(spark), F.col("metadata")["type"] == "Support")
-    distances = ranked.select(F.col("doc_id").alias("_did"), F.round("distance", 9).alias("rank"))
+    calls = _labeled_once(spark, sf)
+    ranked = vec.rerank_indexed(index(spark, sf, calls), _question_vec(spark), F.col("metadata")["type"] == "Support")
+    # two hooks read the distances, four views the scope
+    distances = staged(ranked.select(F.col("doc_id").alias("_did"), F.round("distance", 9).alias("rank")), "distances")
+    scope_rows = staged(_scope(calls).select("call_id"), "scope")
 
     def near(scope, question):
         return scope.join(distances, scope["call_id"] == distances["_did"], "left")
@@ -389,7 +399,7 @@ def present_reordered(spark, sf):
 
     out = None
     for mode, hook in zip(PRESENT_MODES, (near, losing, failing, near)):
-        shown = vec.present(_scope(spark, sf).select("call_id"), QUESTION_TEXT, semantic=mode != "off", top_k=10, reorder=hook)
+        shown = vec.present(scope_rows, QUESTION_TEXT, semantic=mode != "off", top_k=10, reorder=hook)
         shown = shown.select(F.lit(mode).alias("mode"), "call_id", "position", "scope_count")
         out = shown if out is None else out.unionByName(shown)
     return out
