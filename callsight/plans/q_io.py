@@ -10,7 +10,7 @@ from ..functions import text as tx
 from ..operators import filters as flt
 from ..operators import segments as sg
 from ..operators import vectors as vec
-from ..session import scratch_path
+from ..session import scratch_path, staged
 from ..sources import io
 from ..streaming import ingest
 from . import fixtures as fx
@@ -220,7 +220,7 @@ FROM lim d LEFT JOIN sd ON sd.id = d.doc_id GROUP BY d.doc_id, d.text""")
 def index_update(spark, sf):
     """A first build of two thirds of the calls, then an update that replaces one third and adds the rest."""
     root = _scratch(spark, "collections")
-    calls, n = labeled(spark, sf), F.col("call_id").cast("bigint") % 3
+    calls, n = staged(labeled(spark, sf), "labeled"), F.col("call_id").cast("bigint") % 3      # three builds read them
     io.build_index(calls.filter(n != 2), root, "calls", DOC_FIELDS, rebuild=True)
     io.build_index(calls.filter(n == 2), root, "calls", DOC_FIELDS)
     changed = calls.filter(n == 1).withColumn("note", F.lit("v2"))
