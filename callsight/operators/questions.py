@@ -109,7 +109,14 @@ def _grp(s: Column, pat: str, i: int) -> Column:
 
 def first_date(fragment: Column) -> Column:
     """Q1: first explicit date in a fragment (ISO, D/M/Y, '13 Aug 2025', 'Aug 13 2025')."""
-    s = tx.unicode_trim(F.regexp_replace(fragment, ",", " "))
+    return _first_date(_date_text(fragment))
+
+
+def _date_text(fragment: Column) -> Column:
+    return tx.unicode_trim(F.regexp_replace(fragment, ",", " "))
+
+
+def _first_date(s: Column) -> Column:
     mm = _month_map()
     iso = _valid_date(_grp(s, ISO_RE, 1).cast("int"), _grp(s, ISO_RE, 2).cast("int"),
                       _grp(s, ISO_RE, 3).cast("int"))
@@ -136,6 +143,9 @@ def has_explicit_date(s: Column) -> Column:
 
 RANGE_PATTERNS = (r"between\s+(.*?)\s+and\s+(.*)", r"from\s+(.*?)\s+to\s+(.*)",
                   r"(.*?)\s+-\s+(.*)")                      # D27: spaces around the range hyphen
+#: what a text must hold for a range pattern to be found: the last one alone would be tried from every place to the text's end
+RANGE_SIGNS = (RANGE_PATTERNS[0], RANGE_PATTERNS[1], r"\s-\s")
+YEAR_RE = r"20\d{2}"                                         # in every explicit date
 
 
 def date_candidates(s: Column) -> Column:
@@ -143,12 +153,14 @@ def date_candidates(s: Column) -> Column:
 
     ``first_date`` is written once inside a higher-order function instead of seven
     times inline: the generated code stays small (no 64 KB codegen fallback and no
-    long compile) and each fragment is parsed exactly once."""
+    long compile) and each fragment is cleaned and parsed once, and only if the text has the year of
+    an explicit date (null without one)."""
     frags = []
-    for pat in RANGE_PATTERNS:
-        frags += [F.regexp_extract(s, pat, 1), F.regexp_extract(s, pat, 2)]
+    for pat, sign in zip(RANGE_PATTERNS, RANGE_SIGNS):
+        frags += [F.when(s.rlike(sign), F.regexp_extract(s, pat, i)).otherwise("") for i in (1, 2)]
     frags.append(s)
-    return F.transform(F.array(*frags), lambda f: first_date(f))
+    cleaned = F.transform(F.array(*frags), _date_text)
+    return F.when(s.rlike(YEAR_RE), F.transform(cleaned, lambda f: F.when(f.rlike(YEAR_RE), _first_date(f))))
 
 
 def parse_dates_from(s: Column, dts: Column, as_of: Column) -> Column:
@@ -160,9 +172,9 @@ def parse_dates_from(s: Column, dts: Column, as_of: Column) -> Column:
     for h in RANGE_HINTS:
         hint = hint | (F.instr(s, h) > 0)
     ranges = []
-    for i, pat in enumerate(RANGE_PATTERNS):
+    for i, sign in enumerate(RANGE_SIGNS):
         d1, d2 = dts[2 * i], dts[2 * i + 1]
-        ok = s.rlike(pat) & d1.isNotNull() & d2.isNotNull()
+        ok = d1.isNotNull() & d2.isNotNull() & s.rlike(sign)
         if i == 2:
             ok = ok & hint
         ranges.append((ok, F.least(d1, d2), F.greatest(d1, d2)))

@@ -165,8 +165,8 @@ GROUP BY 1, 2, 3, 4""")
 def audit_log(spark, sf):
     from .q_questions import answer_scope, specs
     root = _scratch(spark, "audit")
-    sp = specs(spark, sf)
-    counts = answer_scope(spark, sf).groupBy("question_id").agg(F.count(F.lit(1)).alias("row_count"))
+    sp = staged(specs(spark, sf), "question-specs")             # their scopes and the log read them
+    counts = answer_scope(spark, sf, sp=sp).withColumnRenamed("n", "row_count")
     lists = ("type_any", "outcome_any", "agents", "campaigns", "products")
     given = [F.when(F.size(c) > 0, F.col(c)).alias(c) if c in lists else F.col(c)     # keys without a value aren't written
              for c in ("date_from", "date_to", *lists, "min_amount", "max_amount")]
