@@ -222,12 +222,12 @@ def flagged_report(rows: DataFrame) -> DataFrame:
                     F.count_if(~inc).alias("excluded"))
 
 
-def scope_tallies(scope: DataFrame, key: str = "question_id", top: int = 3) -> DataFrame:
+def scope_tallies(scope: DataFrame, key: str = "question_id", top: int = 3, *, size: str | None = None) -> DataFrame:
     """Per key and dimension (type / outcome): top labels as 'Label (n), ...' ordered by
-    count desc then label, plus the scope size. Tallies are partial-aggregated counts; the
+    count desc then label, plus the scope size. A row is a call, or as many as its ``size`` column says. Tallies are partial-aggregated counts; the
     top-n per group is a WindowGroupLimit over at most #labels rows per group."""
     from pyspark.sql.window import Window
-    labels = scope.groupBy(key, "Type", "Outcome").agg(F.count(F.lit(1)).alias("n"))
+    labels = scope.groupBy(key, "Type", "Outcome").agg((F.sum(size) if size else F.count(F.lit(1))).alias("n"))
     dims = F.array(*[F.struct(F.lit(d).alias("dim"), F.col(c).alias("label")) for d, c in (("type", "Type"), ("outcome", "Outcome"))])
     t = labels.select(key, "n", F.inline(dims)).groupBy(key, "dim", "label").agg(F.sum("n").alias("n"))
     w = Window.partitionBy(key, "dim")

@@ -502,7 +502,8 @@ SELECT question_id, dim, string_agg(label || ' (' || n || ')', ', ' ORDER BY r)
        (SELECT count(*) FROM scope s2 WHERE s2.question_id = top3.question_id) AS scope_n
 FROM top3 GROUP BY question_id, dim""")
 def scope_tallies(spark, sf):
-    return agg.scope_tallies(flt.apply_specs(labeled(spark, sf), specs(spark, sf), TZ), "question_id")
+    sc = answer_scope(spark, sf, ("Type", "Outcome"))
+    return agg.scope_tallies(sc, "question_id", size="n")
 
 
 SHOWN = 5

@@ -59,6 +59,12 @@ def test_two_agent_columns_count_a_call_once(spark):
     assert _sorted(flt.apply_specs(calls, specs, by=()), "question_id", "n") == _sorted(listed, "question_id", "n")
 
 
+def test_tallies_of_sized_rows(spark):
+    rows = spark.createDataFrame([("q", "Support", "Refund", 3), ("q", "Inquiry", "Refund", 4)], "question_id string, Type string, Outcome string, n long")
+    out = {r.dim: (r.top3, r.scope_n) for r in agg.scope_tallies(rows, size="n").collect()}
+    assert out == {"type": ("Inquiry (4), Support (3)", 7), "outcome": ("Refund (7)", 7)}
+
+
 def test_questions_without_years_hold_no_dates(spark):
     from callsight.operators import questions as qx
     texts = ["calls - of 3 jan", "from 3 jan 2025 to jan 5, 2025", "a jan 3 2025 - b 5.1.2025", "1995-01-02 - 1995-02-03", "between 2025-01-02 and 2025-01-09", None]
