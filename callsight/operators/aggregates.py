@@ -247,18 +247,20 @@ ANSWER_TEXTS = {"shown": "Showing top {shown} of {total} calls.", "all": "{total
 
 
 def answer_sentences(scope: DataFrame, specs: DataFrame, key: str = "question_id", *, shown: int | None = None,
-                     order: str = "call_id", top: int = 3) -> DataFrame:
+                     order: str = "call_id", top: int = 3, sizes: DataFrame | None = None) -> DataFrame:
     """(key, answer): scope size, or how many of it are shown, the date range, and the most
     frequent types and outcomes of the shown rows; a spec without calls has its size 0 and dates.
 
-    The scope is computed once and written; its sizes are partial counts, and the display limit is a window
+    With ``sizes`` (key, n) the scope need hold the shown rows only. The scope is computed once and written; its sizes are partial counts, and the display limit is a window
     that Spark limits inside the tasks, so a question about everything sorts ``shown`` rows a task, not its scope."""
     from pyspark.sql.window import Window
 
     from ..session import staged
     from .questions import filled
     rows = staged(scope.select(key, "Type", "Outcome", F.col(order).alias("_order")), "answer-scope")
-    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_total"))
+    if sizes is None:
+        sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    sizes = sizes.withColumnRenamed("n", "_total")
     if shown is not None:
         rows = rows.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("_order"))).filter(F.col("_n") <= int(shown))
     tallies = scope_tallies(rows.select(key, "Type", "Outcome"), key, top)

@@ -531,4 +531,7 @@ LEFT JOIN top3 o ON o.question_id = s.question_id AND o.dim = 'outcome'""")
 def answer_sentences(spark, sf):
     from ..session import staged
     sp = staged(specs(spark, sf), "question-specs")
-    return agg.answer_sentences(flt.apply_specs(labeled(spark, sf), sp, TZ), sp, shown=SHOWN)
+    calls = staged(labeled(spark, sf).drop("transcript"), "labeled")       # the sizes and the shown calls read them
+    sizes = flt.apply_specs(calls, sp, TZ, by=())
+    scope = flt.apply_specs(calls, sp, TZ, by=("Type", "Outcome"), first=SHOWN)
+    return agg.answer_sentences(scope, sp, shown=SHOWN, sizes=sizes)

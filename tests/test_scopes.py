@@ -65,6 +65,14 @@ def test_tallies_of_sized_rows(spark):
     assert out == {"type": ("Inquiry (4), Support (3)", 7), "outcome": ("Refund (7)", 7)}
 
 
+def test_sentences_from_sizes_and_shown_rows(spark):
+    specs = spark.createDataFrame([("q", None, None), ("none", None, None)], "question_id string, date_from date, date_to date")
+    shown = spark.createDataFrame([("q", "Support", "Refund", "1"), ("q", "Support", "Resolved", "2")], "question_id string, Type string, Outcome string, call_id string")
+    sizes = spark.createDataFrame([("q", 9)], "question_id string, n long")
+    out = {r.question_id: r.answer for r in agg.answer_sentences(shown, specs, shown=2, sizes=sizes).collect()}
+    assert out["q"].startswith("Showing top 2 of 9 calls.") and out["none"] == "0 calls in scope."
+
+
 def test_questions_without_years_hold_no_dates(spark):
     from callsight.operators import questions as qx
     texts = ["calls - of 3 jan", "from 3 jan 2025 to jan 5, 2025", "a jan 3 2025 - b 5.1.2025", "1995-01-02 - 1995-02-03", "between 2025-01-02 and 2025-01-09", None]
